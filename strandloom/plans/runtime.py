@@ -8,8 +8,10 @@ the master is local (tests).
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +37,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the executors' Python workers (once a context)."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = pathlib.Path(__file__).resolve().parents[1]
+    folder = pathlib.Path(tempfile.mkdtemp(prefix="strandloom-py-"))
+    with zipfile.ZipFile(folder / "strandloom_package.zip", "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(folder / "strandloom_package.zip"))
+    _SHIPPED.add(sc.applicationId)
+
+
 class Table:
     """An intermediate table in the shared folder, with its row count and size."""
 
