@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.runtime import materialize, require
+from ..plans.runtime import materialize, require, ship
 from .arrow import mix
 
 #: Defaults: tries, signature values in the longest prefix, recall to reach at the threshold.
@@ -86,6 +86,7 @@ def similar_pairs(df: DataFrame, record: str, items: Column, threshold: float, m
     tables give empty results. Runs jobs.
     """
     require(df, record)
+    ship(df.sparkSession)
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     depth = depth_for(threshold, trees, max_depth, recall)

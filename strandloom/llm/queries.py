@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.clean import clean_chr, clean_id, clean_sequence, gc_fraction, score
 from ..operators.unpack import split_packed
 from ..plans.runtime import union_all
-from . import chunks, components, neardup, outrank, spans, topn
+from . import bpe, chunks, components, leakage, neardup, outrank, spans, topn
 
 #: Production parameters.
 SPAN = 40
@@ -18,6 +18,7 @@ ALLELE_LIMIT, ALLELE_OVERLAP, GAP = 2000, 60, 10
 REGION_LIMIT, REGION_OVERLAP = 3000, 100
 GRAM, PROBE_SIMILARITY = 8, 0.5
 MEMBERS, FAMILY_SIMILARITY = 4, 0.6
+LEAK = 12
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -83,6 +84,25 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return first.unionByName(second)
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode_corpus(_t(spark, d, "documents"), "doc_id", "text")
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(_t(spark, d, "documents"), "doc_id", "text", _t(spark, d, "benchmark"), "item_id", "text", LEAK)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p9_leaked_items(spark: SparkSession, d: str) -> DataFrame:
+    """Per held-out item the documents that hold a passage of it, and the longest one."""
+    n = _leaks(spark, d).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.max("span_words").alias("longest"))
+    zero = F.lit(0)
+    return _t(spark, d, "benchmark").select("item_id", "task").join(n, "item_id", "left").select("item_id", "task", F.coalesce("documents", zero).alias("documents"), F.coalesce("longest", zero).alias("longest"))
+
+
 _CLEAN_SEQ = r"upper(regexp_replace({}, '\s+', '', 'g'))"
 _CLEAN_ID = r"nullif(regexp_replace(regexp_replace({}, '^\s*(>\s*)?', ''), '\s+$', ''), '')"
 _CHR = r"'chr' || nullif(regexp_replace(upper(trim(chr)), '^CHR', ''), '')"
@@ -143,6 +163,9 @@ QUERIES = {
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p7_found": p7_found,
+    "p8_ids": p8_ids,
+    "p9_found": p9_found,
+    "p9_leaked_items": p9_leaked_items,
 }
 
 ORACLE = {
@@ -156,4 +179,10 @@ ORACLE = {
     "p5_found": f"select run_id, snp_id from (select run_id, snp_id, r0 + r1 + r2 + r3 as places from (select run_id, snp_id, {_PLACES} from ({_SNPS}) where run_id is not null and gc is not null and tm is not null and complexity is not null and hairpin is not null)) qualify row_number() over (partition by run_id order by places, snp_id) <= {BEST}",
     "p6_found": _PIECES,
     "p7_found": _P7_SQL,
+    "p9_found": rf"""
+        with w as (select doc_id, regexp_extract_all(lower(regexp_replace(text, '=\r?\n', '', 'g')), '[a-z0-9]+') as ws from documents),
+        g as (select doc_id, unnest(list_transform(range(1, len(ws) - {LEAK} + 2), lambda i: array_to_string(ws[i:i + {LEAK} - 1], ' '))) as gram from w where len(ws) >= {LEAK}),
+        v as (select item_id, regexp_extract_all(lower(text), '[a-z0-9]+') as ws from benchmark),
+        b as (select item_id, unnest(list_transform(range(1, len(ws) - {LEAK} + 2), lambda i: array_to_string(ws[i:i + {LEAK} - 1], ' '))) as gram from v where len(ws) >= {LEAK})
+        select distinct doc_id, item_id from g join b using (gram)""",
 }

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.runtime import materialize, require
+from ..plans.runtime import materialize, require, ship
 from .arrow import mix, text_bytes
 
 #: Letters of a q-gram token.
@@ -100,6 +100,7 @@ def shared_spans(df: DataFrame, record: str, sequence: str, span: int = 40, lett
     they don't count as another record. Other columns are ignored. Runs three jobs.
     """
     require(df, record, sequence)
+    ship(df.sparkSession)
     if span < Q:
         raise ValueError(f"span must be at least {Q}")
     rows = df.select(F.col(record).alias("rid"), F.col(sequence).alias("seq")).filter("rid is not null and length(seq) >= " + str(span))
