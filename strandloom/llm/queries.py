@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.clean import clean_chr, clean_id, clean_sequence, gc_fraction, score
 from ..operators.unpack import split_packed
 from ..plans.runtime import union_all
-from . import bpe, chunks, components, leakage, neardup, outrank, spans, topn
+from . import abuse, bpe, chunks, components, leakage, neardup, outrank, spans, topn
 
 #: Production parameters.
 SPAN = 40
@@ -103,6 +103,25 @@ def p9_leaked_items(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "benchmark").select("item_id", "task").join(n, "item_id", "left").select("item_id", "task", F.coalesce("documents", zero).alias("documents"), F.coalesce("longest", zero).alias("longest"))
 
 
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    documents = _t(spark, d, "documents")
+    model = abuse.train_from(documents, "doc_id", "text", _t(spark, d, "labels"), "toxic")
+    return abuse.score_documents(documents, "doc_id", "text", model)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).filter("flagged").select("doc_id").distinct()
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d)
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Share of affected documents per source."""
+    return abuse.rates(_scored(spark, d), _t(spark, d, "documents"), "doc_id", "source")
+
+
 _CLEAN_SEQ = r"upper(regexp_replace({}, '\s+', '', 'g'))"
 _CLEAN_ID = r"nullif(regexp_replace(regexp_replace({}, '^\s*(>\s*)?', ''), '\s+$', ''), '')"
 _CHR = r"'chr' || nullif(regexp_replace(upper(trim(chr)), '^CHR', ''), '')"
@@ -166,6 +185,9 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_leaked_items": p9_leaked_items,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
+    "p10_rates": p10_rates,
 }
 
 ORACLE = {
