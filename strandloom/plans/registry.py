@@ -1,24 +1,921 @@
-"""The queries of the library and the SQL they are checked against."""
+"""The queries of the library and the SQL that each is checked against.
+
+A query is registered with ``@query(name, sql)``; ``@view@`` in the SQL names a
+view or table (see ``views``). Queries run over whole tables.
+"""
 
 from __future__ import annotations
 
-from ..operators.unpack import split_packed
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import fold, seq, thermo
+from ..operators import assess, filters, haplo, intervals, kmers, popgen, probes, select, sets, taxa, unpack, variants
+from .views import ctes, view
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = ctes(sql)
+        return f
+
+    return add
+
+
+# ---- the flagship: variants, density, regions, one per window ----
+
+_W1 = "select *, count(*) over (partition by chr order by pos range between 60 preceding and 60 following) as n_near from @v_sites@"
+
 
-_TOKENS = r"""regexp_extract_all(members, '"(?:[^"]|"")*"|''(?:[^'']|'''')*''|[^\s,;|\[\]{}()]+')"""
+@query(
+    "flagship_select",
+    f"""with near as ({_W1}), kept as (select * from near where n_near <= 3),
+    inside as (select * from kept s where exists (select 1 from @v_bed@ b where b.chr = s.chr and s.pos > b.start and s.pos <= b.@end@))
+    select chr, pos, ref, alt, type from inside qualify row_number() over (partition by chr, pos // 10000 order by md5('42:' || chr || ':' || pos || ':' || ref || ':' || alt), pos, ref, alt) = 1""",
+)
+def flagship_select(spark, d):
+    """Variants that lie neither in a cluster nor outside the regions, one per window."""
+    v = view(spark, d, "v_sites")
+    kept = intervals.covered(variants.cluster_filter(v, 60, 3), view(spark, d, "v_bed"))
+    return select.select_priority(kept.withColumn("_p", F.lit(0)), "_p").select("chr", "pos", "ref", "alt", "type")
 
 
+# ---- packed fields ----
+
+
+@query(
+    "p4_found",
+    r"""with rows as (select distinct family_id, members from out_sample_clust where members is not null and family_id is not null),
+    toks as (select family_id, unnest(t) as tok, unnest(range(len(t))) as i from (select family_id, regexp_extract_all(members, '"(?:[^"]|"")*"|''(?:[^'']|'''')*''|[^\s,;|\[\]{}()]+') as t from rows)),
+    vals as (select family_id, i, trim(case when len(tok) >= 2 and tok[1] = '"' and tok[-1] = '"' then replace(tok[2:-2], '""', '"')
+      when len(tok) >= 2 and tok[1] = '''' and tok[-1] = '''' then replace(tok[2:-2], '''''', '''') else tok end) as member from toks)
+    select distinct family_id, cast(row_number() over (partition by family_id order by i) as int) as member_no, member from vals where member <> ''""",
+)
 def p4_found(spark, d):
-    families = spark.read.parquet(f"{d}/out_sample_clust.parquet").filter("family_id is not null")
-    return split_packed(families, "members", ["family_id"], "member", "member_no").distinct()
+    families = view(spark, d, "out_sample_clust").filter("family_id is not null")
+    return unpack.split_packed(families, "members", ["family_id"], "member", "member_no").distinct()
+
+
+# ---- record expressions ----
+
+
+@query("p1_tstv", "select chr, pos, ref, alt, case when ref || alt in ('AG', 'GA', 'CT', 'TC') then 'ts' else 'tv' end as type from (select distinct chr, pos, ref, alt from @v_snps@) as s")
+def p1_tstv(spark, d):
+    return variants.with_type(view(spark, d, "v_snps").select("chr", "pos", "ref", "alt").distinct())
+
+
+@query("p2_coords", "select chr, pos, ref, alt, pos - 41 as start, pos + 40 as stop, cast(40 as bigint) as off, pos - 40 as start80, pos + 40 as stop80 from @v_sites@")
+def p2_coords(spark, d):
+    v = view(spark, d, "v_sites")
+    (s, e, o), (s80, e80, _) = probes.probe_window(F.col("pos"), 81), probes.probe_window(F.col("pos"), 80)
+    return v.select("chr", "pos", "ref", "alt", s.alias("start"), e.alias("stop"), o.alias("off"), s80.alias("start80"), e80.alias("stop80"))
+
+
+_CUT = """select s.*, pos - 41 as a, pos + 40 as z, upper(substr(g.seq, cast(pos - 40 as int), 81)) as raw, g.seq as g from @v_gsnps@ s left join @v_genome@ g on g.chr = s.chr"""
+_REJECT = "case when g is null then 'no_chr' when a < 0 then 'before_start' when z > length(g) then 'after_end' when substr(g, cast(pos as int), 1) <> ref then 'ref_mismatch' end"
+_PID = "chr || ':' || cast(a + 1 as string) || '-' || cast(z as string) || '_' || cast(pos as string) || '_' || type || '_' || ref || '_' || alt"
+
+
+@query("p4_probe_cut", f"select probe_id, reject, case when reject is null then raw end as seq from (select {_PID} as probe_id, {_REJECT} as reject, raw from ({_CUT}))")
+def p4_probe_cut(spark, d):
+    return probes.cut_probes(view(spark, d, "v_gsnps"), view(spark, d, "v_genome")).select("probe_id", "reject", "seq")
+
+
+def _pick_sql(choices: str, key: str) -> str:
+    h = f"substr(md5({key}), 1, 6)"
+    value = " + ".join(f"(instr('0123456789abcdef', substr({h}, {i + 1}, 1)) - 1) * {16 ** (5 - i)}" for i in range(6))
+    return f"substr({choices}, cast(({value}) % length({choices}) + 1 as int), 1)"
+
+
+@query(
+    "p5_third_base",
+    f"""with c as (select *, {_PID} as probe_id from ({_CUT}) where {_REJECT} is null)
+    select probe_id, substr(raw, 1, 40) || {_pick_sql("translate('ACGT', ref || alt, '')", 'probe_id')} || substr(raw, 42) as seq from c""",
+)
+def p5_third_base(spark, d):
+    return probes.cut_probes(view(spark, d, "v_gsnps"), view(spark, d, "v_genome"), replace_snp=True).filter("reject is null").select("probe_id", "seq")
+
+
+@query("p6_probe_id", f"select {_PID} as probe_id from (select *, pos - 41 as a, pos + 40 as z from @v_sites@)")
+def p6_probe_id(spark, d):
+    start, end, _ = probes.probe_window(F.col("pos"), 81)
+    return view(spark, d, "v_sites").select(probes.probe_id(start, end).alias("probe_id"))
+
+
+_IDRX = r"^(.+):(\d+)-(\d+)_(\d+)_([a-z]+)_([A-Z]+)_([A-Z]+)$"
+
+
+@query("p7_parse_id", f"select probe_id, regexp_extract(probe_id, '{_IDRX}', 1) as chr, " + ", ".join(f"cast(regexp_extract(probe_id, '{_IDRX}', {i}) as bigint) as {n}" for i, n in ((2, "start1"), (3, "end1"), (4, "pos"))) + ", " + ", ".join(f"regexp_extract(probe_id, '{_IDRX}', {i}) as {n}" for i, n in ((5, "type"), (6, "ref"), (7, "alt"))) + f" from (select distinct probe_id from probe) where regexp_matches(probe_id, '{_IDRX}')")
+def p7_parse_id(spark, d):
+    return probes.parse_probe_id(view(spark, d, "probe").select("probe_id").distinct(), "probe_id")
+
+
+@query("p8_tiling", f"select chr, pos, tag, a as start, z as stop, {_PID} || '_' || tag as probe_id from (select *, pos - 41 + shift as a, pos + 40 + shift as z from @v_sites@, (values ('C', 0), ('L', 15), ('R', -15)) t(tag, shift))")
+def p8_tiling(spark, d):
+    return probes.tile_shifts(view(spark, d, "v_sites")).select("chr", "pos", "tag", "start", F.col("end").alias("stop"), "probe_id")
+
+
+@query(
+    "p12_positions",
+    f"""select chr, pos, place, allele, case when allele = 'REF' then ref else alt end as base, a as start, z as stop, {_PID} || '_' || place || '_' || allele as probe_id
+    from (select *, pos - 41 + shift as a, pos + 40 + shift as z from @v_sites@, (values ('C', 0), ('L1', 20), ('R2', -20), ('L3', 7)) t(place, shift), (values ('REF'), ('ALT')) u(allele))""",
+)
+def p12_positions(spark, d):
+    return probes.tile_alleles(view(spark, d, "v_sites"), "center,left,right,7").withColumnRenamed("end", "stop")
+
+
+@query("p13_adapter", "select id, 'ACGTN' || seq || 'TTT' as seq from @v_probes@")
+def p13_adapter(spark, d):
+    return view(spark, d, "v_probes").select("id", probes.add_adapters(F.col("seq"), "ACGTN", "TTT").alias("seq"))
+
+
+@query("p14_rename", "select id, 'panel_' || case when n < 10 ** greatest(4, length(cast(1 + (select count(*) from @v_probes@) as string))) then lpad(cast(n as string), cast(greatest(4, length(cast(1 + (select count(*) from @v_probes@) as string))) as int), '0') else cast(n as string) end as new_id from (select id, row_number() over (order by id, seq) as n from @v_probes@)")
+def p14_rename(spark, d):
+    return probes.rename_by_prefix(view(spark, d, "v_probes"), ["id", "seq"], "panel").select("id", "new_id")
+
+
+_MAP = "select trim(removed_id) as old_id, trim(kept_id) as new_id from @out_merge@ where removed_id is not null and kept_id is not null"
+
+
+@query("p15_rename_map", f"select p.id, p.seq, m.old_id is not null as mapped, coalesce(m.new_id, p.id) as new_id from @v_probes@ p left join (select old_id, min(new_id) as new_id from ({_MAP}) group by old_id) m on m.old_id = p.id")
+def p15_rename_map(spark, d):
+    m = view(spark, d, "out_merge").filter("removed_id is not null and kept_id is not null").select(F.trim("removed_id").alias("old_id"), F.trim("kept_id").alias("new_id"))
+    return probes.rename_by_map(view(spark, d, "v_probes"), m, "id").select("id", "seq", "mapped", "new_id")
+
+
+@query("p16_haplotype_id", r"select id, case when regexp_matches(id, '^(.*)_([0-9]+)$') then regexp_extract(id, '^(.*)_([0-9]+)$', 1) else id end as gene, case when regexp_matches(id, '^(.*)_([0-9]+)$') then regexp_extract(id, '^(.*)_([0-9]+)$', 2) end as allele from (select distinct probe_id as id from probe where probe_id is not null)")
+def p16_haplotype_id(spark, d):
+    ids = view(spark, d, "probe").select(F.col("probe_id").alias("id")).filter("id is not null").distinct()
+    gene, allele = probes.haplotype_id(F.col("id"))
+    return ids.select("id", gene.alias("gene"), allele.alias("allele"))
+
+
+@query("p17_snp_to_bed", "select chr, pos - 1 as start, pos as stop from @v_sites@")
+def p17_snp_to_bed(spark, d):
+    return probes.snp_to_bed(view(spark, d, "v_sites")).withColumnRenamed("end", "stop")
+
+
+@query("p18_fasta_to_tsv", "select id, seq, length(seq) as length, 100.0::double * (length(seq) - length(regexp_replace(seq, '[GC]', '', 'g'))) / nullif(length(seq) - length(regexp_replace(seq, '[ACGT]', '', 'g')), 0) as gc from @v_probes@")
+def p18_fasta_to_tsv(spark, d):
+    return view(spark, d, "v_probes").select("id", "seq", F.length("seq").cast("long").alias("length"), seq.gc_percent(F.col("seq")).alias("gc"))
+
+
+@query("p19_window", "select chr, pos, pos // 10000 as win from @v_sites@")
+def p19_window(spark, d):
+    return select.windows(view(spark, d, "v_sites"), 10_000).select("chr", "pos", "win")
+
+
+@query("p10_flank_clip", "select chr, pos, ref, alt, substr(g.seq, cast(greatest(pos - 40, 1) as int), cast(pos - greatest(pos - 40, 1) as int)) || ref || substr(g.seq, cast(pos + 1 as int), 40) as seq from @v_gsnps@ s join @v_genome@ g using (chr) where pos <= length(g.seq)")
+def p10_flank_clip(spark, d):
+    return probes.flanked(view(spark, d, "v_gsnps"), view(spark, d, "v_genome"), clip=True).select("chr", "pos", "ref", "alt", "seq")
+
+
+@query("p11_flank_full", "select chr, pos, ref, alt, substr(g.seq, cast(pos - 40 as int), 40) || ref || substr(g.seq, cast(pos + 1 as int), 40) as seq from @v_gsnps@ s join @v_genome@ g using (chr) where pos > 40 and pos + 40 <= length(g.seq)")
+def p11_flank_full(spark, d):
+    return probes.flanked(view(spark, d, "v_gsnps"), view(spark, d, "v_genome")).select("chr", "pos", "ref", "alt", "seq")
+
+
+@query("p20_iupac", "select id, length(regexp_replace(seq, '[ACGT]', '', 'g')) as n_other from @v_probes@ where length(regexp_replace(seq, '[ACGT]', '', 'g')) <= 2")
+def p20_iupac(spark, d):
+    p = view(spark, d, "v_probes").select("id", seq.ambiguous_count(F.col("seq")).cast("long").alias("n_other"))
+    return p.filter("n_other <= 2")
+
+
+@query("p20_iupac_replaced")
+def p20_iupac_replaced(spark, d):
+    """Ambiguity letters replaced; nothing but other unknown letters is left of them."""
+    p = view(spark, d, "v_probes")
+    return p.select("id", "seq", seq.replace_ambiguous(F.col("seq"), F.col("id")).alias("plain"))
+
+
+# ---- filters ----
+
+
+@query("f1_snp_valid", "select chr, pos, ref, alt, n_alt from @v_variants@ where length(ref) = 1 and alt in ('A', 'C', 'G', 'T')")
+def f1_snp_valid(spark, d):
+    return variants.valid_snps(view(spark, d, "v_variants"))
+
+
+@query("f2_biallelic", "select chr, pos, ref, alt, n_alt from @v_variants@ where length(ref) = 1 and alt in ('A', 'C', 'G', 'T') and n_alt = 1")
+def f2_biallelic(spark, d):
+    return variants.valid_snps(view(spark, d, "v_variants"), biallelic_only=True)
+
+
+@query("f5_reject_reasons", "select reject, count(*) as n from (select case when chr is null then 'no_chr' when pos is null or pos < 1 then 'bad_pos' when ref is null or alt is null then 'no_allele' when length(ref) <> 1 or length(alt) <> 1 then 'not_snp' when upper(ref) not in ('A','C','G','T') or upper(alt) not in ('A','C','G','T') then 'bad_base' when upper(ref) = upper(alt) then 'no_change' end as reject from @v_variants@) group by reject")
+def f5_reject_reasons(spark, d):
+    return variants.snp_rejects(view(spark, d, "v_variants")).groupBy("reject").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("f3_chr_pos_type", "select chr, pos, ref, alt, type from @v_sites@ where chr in ('chr1', 'chrX') and pos between 1000 and 150000 and type = 'ts'")
+def f3_chr_pos_type(spark, d):
+    return view(spark, d, "v_sites").filter(F.col("chr").isin("chr1", "chrX") & F.col("pos").between(1000, 150_000) & (F.col("type") == "ts"))
+
+
+@query(
+    "f9_cascade",
+    "select fail_reason, count(*) as n from (select case when not coalesce(gc between 35 and 65, false) then 'gc' when not coalesce(tm between 60 and 80, false) then 'tm' when not coalesce(complexity <= 2, false) then 'complexity' when not coalesce(hairpin <= 15, false) then 'hairpin' end as fail_reason from @v_snps@) group by fail_reason",
+)
+def f9_cascade(spark, d):
+    r = filters.in_range
+    tests = [("gc", r(F.col("gc"), 35, 65)), ("tm", r(F.col("tm"), 60, 80)), ("complexity", r(F.col("complexity"), -1, 2)), ("hairpin", r(F.col("hairpin"), -1, 15))]
+    return filters.reason_counts(filters.cascade(view(spark, d, "v_snps"), tests))
+
+
+_RANK = "(select v from (select {c} as v, row_number() over (order by {c}) - 1 as i, count(*) over () as n from {t} where {c} is not null) where i = least(cast(floor({p} * n) as bigint), n - 1))"
+
+
+@query("f10_threshold", f"select {_RANK.format(c='hairpin', t='@v_snps@', p=0.9)} as threshold")
+def f10_threshold(spark, d):
+    return filters.nearest_rank(view(spark, d, "v_snps"), "hairpin", 0.9)
+
+
+@query("f11_hairpin_filter", f"select snp_id, hairpin from @v_snps@ where hairpin <= {_RANK.format(c='hairpin', t='@v_snps@', p=0.9)}")
+def f11_hairpin_filter(spark, d):
+    return filters.at_most(view(spark, d, "v_snps").select("snp_id", "hairpin"), "hairpin", 0.9)
+
+
+@query("f14_kraken", "select p.id from @v_probes@ p where p.id not in (select id from (select id, sum(case when try_cast(split_part(x, ':', 1) as bigint) > 0 then coalesce(try_cast(split_part(x, ':', 2) as bigint), 0) else 0 end) as n from (select id, unnest(string_split(line, ' ')) as x from @v_kraken@) group by id) where n >= 30)")
+def f14_kraken(spark, d):
+    return filters.background_filter(view(spark, d, "v_probes").select("id"), [view(spark, d, "v_kraken")], 30)
+
+
+@query("f16_expression", "select snp_id, chr, pos from @v_snps@ where gc > 40 and type = 'tv' or tm < 60")
+def f16_expression(spark, d):
+    return filters.by_expression(view(spark, d, "v_snps"), "gc > 40 and type = 'tv' or tm < 60").select("snp_id", "chr", "pos")
+
+
+@query("f17_family", "with g as (select family_id, count(*) as n_members from @out_sample_clust@ group by family_id) select family_id, n_members, n_members / (select sum(n_members) from g) as proportion from g where n_members between 1 and 50 and n_members / (select sum(n_members) from g) between 0 and 0.5")
+def f17_family(spark, d):
+    return filters.family_filter(view(spark, d, "out_sample_clust").select("family_id", F.col("members").alias("member")), 1, 50, 0.0, 0.5)
+
+
+@query("f21_ranges", "select snp_id from @v_snps@ where gc between 40 and 60 and tm between 62 and 78 and hairpin between 0 and 20")
+def f21_ranges(spark, d):
+    return filters.all_in_ranges(view(spark, d, "v_snps"), {"gc": (40, 60), "tm": (62, 78), "hairpin": (0, 20)}).select("snp_id")
+
+
+@query("f22_rank_band", "select snp_id from (select snp_id, row_number() over (order by tm, snp_id) as r, count(*) over () as n from @v_snps@ where tm is not null) where r / n between 0.2 and 0.8")
+def f22_rank_band(spark, d):
+    return filters.rank_band(view(spark, d, "v_snps").select("snp_id", "tm"), "tm", ["snp_id"], 0.2, 0.8).select("snp_id")
+
+
+@query("f24_mapping", "select qname, rname, nm, mapq from @v_hits@ where mapq >= 30 and nm <= 3 and xo = 0 and (xs_score is null or xs_score < as_score * 0.8)")
+def f24_mapping(spark, d):
+    return filters.mapping_filter(view(spark, d, "v_hits"), "moderate").select("qname", "rname", "nm", "mapq")
+
+
+@query("f25_validate_snps", "select count(*) as n_rows, count(*) filter (pos is null or pos < 1) as n_bad_pos, count(*) filter (ref is null or not regexp_full_match(upper(ref), '[ACGT]')) as n_bad_ref, count(*) filter (alt is null or not regexp_full_match(upper(alt), '[ACGT]')) as n_bad_alt, count(*) filter (chr is null) as n_no_chr, (select count(*) from (select 1 from @v_variants@ group by chr, pos having count(*) > 1)) as n_dup_sites from @v_variants@")
+def f25_validate_snps(spark, d):
+    return filters.validate_snps(view(spark, d, "v_variants"))
+
+
+@query("f25_validate_sequences", "select count(*) as n_rows, count(*) filter (length(seq) = 0) as n_empty, count(*) filter (regexp_matches(seq, '[^ATCGN]')) as n_bad_letters, cast(min(length(seq)) as int) as min_length, cast(max(length(seq)) as int) as max_length from @v_probes@")
+def f25_validate_sequences(spark, d):
+    return filters.validate_sequences(view(spark, d, "v_probes"))
+
+
+@query("f25_validate_intervals", "select count(*) as n_rows, count(*) filter (start_pos is null or end_pos is null) as n_no_end, count(*) filter (start_pos < 0) as n_negative, count(*) filter (end_pos < start_pos) as n_reversed from bed_region")
+def f25_validate_intervals(spark, d):
+    return filters.validate_intervals(view(spark, d, "bed_region").select(F.col("start_pos").alias("start"), F.col("end_pos").alias("end")))
+
+
+# ---- joins and intervals ----
+
+
+@query("j2_bed_keep", "select chr, pos from @v_sites@ s where exists (select 1 from @v_bed@ b where b.chr = s.chr and s.pos > b.start and s.pos <= b.@end@)")
+def j2_bed_keep(spark, d):
+    return intervals.covered(view(spark, d, "v_sites"), view(spark, d, "v_bed")).select("chr", "pos")
+
+
+@query("j3_bed_remove", "select chr, pos from @v_sites@ s where not exists (select 1 from @v_bed@ b where b.chr = s.chr and s.pos > b.start and s.pos <= b.@end@)")
+def j3_bed_remove(spark, d):
+    return intervals.covered(view(spark, d, "v_sites"), view(spark, d, "v_bed"), keep=False).select("chr", "pos")
+
+
+_SLOP = "select name, b.chr, greatest(start - 500, 0) as start, least(@end@ + 500, len) as stop from @v_bed@ b join @v_chroms@ c using (chr) where least(@end@ + 500, len) > greatest(start - 500, 0)"
+
+
+@query("j4_slop_keep", f"select chr, pos from @v_sites@ s where exists (select 1 from ({_SLOP}) b where b.chr = s.chr and s.pos >= b.start and s.pos < b.stop)")
+def j4_slop_keep(spark, d):
+    wide = intervals.slop(view(spark, d, "v_bed"), view(spark, d, "v_chroms"), 500)
+    return intervals.covered(view(spark, d, "v_sites"), wide, base="as_is").select("chr", "pos")
+
+
+@query("j5_priority_flag", "select chr, pos, exists (select 1 from @v_bed@ b where b.chr = s.chr and s.pos >= b.start and s.pos <= b.@end@) as in_region from @v_sites@ s")
+def j5_priority_flag(spark, d):
+    return intervals.flag_covered(view(spark, d, "v_sites"), view(spark, d, "v_bed")).select("chr", "pos", "in_region")
+
+
+@query("j6_features", "select s.chr, s.pos, b.name from @v_sites@ s join @v_bed@ b on b.chr = s.chr and s.pos between b.start and b.@end@ where b.strand = '+'")
+def j6_features(spark, d):
+    return intervals.features_at(view(spark, d, "v_sites"), view(spark, d, "v_bed").filter("strand = '+'")).select("chr", "pos", "name")
+
+
+@query("j7_semi", "select snp_id, chr, pos, ref, alt from @v_snps@ s where (chr, pos, ref, alt) in (select chr, pos, ref, alt from @v_sites@ where type = 'tv')")
+def j7_semi(spark, d):
+    return view(spark, d, "v_snps").join(view(spark, d, "v_sites").filter("type = 'tv'"), ["chr", "pos", "ref", "alt"], "left_semi").select("snp_id", "chr", "pos", "ref", "alt")
+
+
+@query("j8_id_anti", "select distinct probe_id from probe where probe_id not in (select trim(removed_id) from out_merge where removed_id is not null)")
+def j8_id_anti(spark, d):
+    gone = view(spark, d, "out_merge").select(F.trim("removed_id").alias("probe_id")).filter("probe_id is not null")
+    return view(spark, d, "probe").select("probe_id").distinct().join(gone, "probe_id", "left_anti")
+
+
+@query("j11_accession", "select h.qname, h.rname, h.nm, coalesce(a.taxid, b.taxid) as taxid from @v_hits@ h left join @v_acc@ a on a.accession = h.rname left join @v_acc@ b on b.accession = split_part(h.rname, '.', 1)")
+def j11_accession(spark, d):
+    return taxa.with_taxid(view(spark, d, "v_hits"), view(spark, d, "v_acc")).select("qname", "rname", "nm", "taxid")
+
+
+@query("j15_sample_pop", "select pop, count(*) as n_samples from @v_pops@ where pop <> 'unknown' and sample in (select distinct sample from @v_gt@) group by pop")
+def j15_sample_pop(spark, d):
+    known = view(spark, d, "v_gt").select("sample").distinct()
+    return view(spark, d, "v_pops").filter("pop <> 'unknown'").join(known, "sample").groupBy("pop").agg(F.count(F.lit(1)).alias("n_samples"))
+
+
+@query("j18_tags_merge", "select a.snp_id, a.gc, b.tm, c.hairpin from (select snp_id, gc from @v_snps@) a join (select snp_id, tm from @v_snps@) b using (snp_id) join (select snp_id, hairpin from @v_snps@) c using (snp_id)")
+def j18_tags_merge(spark, d):
+    v = view(spark, d, "v_snps")
+    return sets.natural_merge([v.select("snp_id", c) for c in ("gc", "tm", "hairpin")])
+
+
+@query("s6_region_fetch", "select name, b.chr, case when strand = '-' then reverse(translate(substr(g.seq, cast(start + 1 as int), cast(@end@ - start as int)), 'ACGT', 'TGCA')) else substr(g.seq, cast(start + 1 as int), cast(@end@ - start as int)) end as seq from @v_bed@ b join @v_genome@ g on g.chr = b.chr where @end@ <= length(g.seq)")
+def s6_region_fetch(spark, d):
+    return intervals.region_sequences(view(spark, d, "v_bed"), view(spark, d, "v_genome")).select("name", "chr", "seq")
+
+
+@query("w7_complement", """with e as (select b.chr, greatest(start, 0) as s, least(@end@, len) as e from @v_bed@ b join @v_chroms@ c using (chr) where least(@end@, len) > greatest(start, 0)
+    union all select chr, len, len from @v_chroms@),
+    r as (select chr, s, coalesce(max(e) over (partition by chr order by s, e rows between unbounded preceding and 1 preceding), 0) as p from e)
+    select chr, p as start, s as stop from r where p < s""")
+def w7_complement(spark, d):
+    return intervals.complement(view(spark, d, "v_bed"), view(spark, d, "v_chroms")).withColumnRenamed("end", "stop")
+
+
+def _merge_sql(keys: str, source: str, distance: int) -> str:
+    return f"""with b as (select {keys}, start, @end@ as e from {source}),
+    r as (select *, max(e) over (partition by {keys} order by start, e rows between unbounded preceding and 1 preceding) as p from b),
+    i as (select *, sum(case when p is null or start > p + {distance} then 1 else 0 end) over (partition by {keys} order by start, e rows unbounded preceding) as g from r)
+    select {keys}, min(start) as start, max(e) as stop, count(*) as n from i group by {keys}, g"""
+
+
+@query("w8_merge_by_gene", _merge_sql("gene, chr", "@v_features@", 0))
+def w8_merge_by_gene(spark, d):
+    return intervals.merge_intervals(view(spark, d, "v_features"), ["gene", "chr"]).withColumnRenamed("end", "stop")
+
+
+@query("w9_merge", _merge_sql("chr", "@v_bed@", 1000))
+def w9_merge(spark, d):
+    return intervals.merge_intervals(view(spark, d, "v_bed"), distance=1000).withColumnRenamed("end", "stop")
+
+
+@query("a27_region_totals", f"with m as ({_merge_sql('chr', '@v_bed@', 0)}) select count(*) as n_regions, cast(sum(stop - start) as bigint) as total_bp from m")
+def a27_region_totals(spark, d):
+    return intervals.region_totals(intervals.merge_intervals(view(spark, d, "v_bed")))
+
+
+# ---- windows and tiles ----
+
+
+@query("w1_cluster", f"select chr, pos, ref, alt, cast(n_near as bigint) as n_near from ({_W1}) where n_near between 1 and 3")
+def w1_cluster(spark, d):
+    return variants.cluster_filter(view(spark, d, "v_sites"), 60, 3).select("chr", "pos", "ref", "alt", "n_near")
+
+
+@query("f23_count_band", f"select chr, pos, cast(n_near as bigint) as n_near from ({_W1}) where n_near between 2 and 5")
+def f23_count_band(spark, d):
+    return variants.cluster_filter(view(spark, d, "v_sites"), 60, 5, 2).select("chr", "pos", "n_near")
+
+
+_RND = "md5('42:' || chr || ':' || pos || ':' || ref || ':' || alt)"
+
+
+@query(
+    "w3_uniform",
+    f"""with w as (select *, pos // 10000 as win from @v_sites@), n as (select chr, win, row_number() over (order by chr, win) - 1 as i, count(*) over () as k from w group by chr, win),
+    r as (select w.*, row_number() over (partition by chr, win order by {_RND}, pos, ref, alt) as r from w)
+    select chr, pos, ref, alt from r join n using (chr, win) where r <= 1500 // k + case when i < 1500 % k then 1 else 0 end""",
+)
+def w3_uniform(spark, d):
+    return select.select_uniform(view(spark, d, "v_sites"), 1500).select("chr", "pos", "ref", "alt")
+
+
+_SCORED = """select *, {} as weighted_score from (select *, pos // 10000 as win, abs(gc - 50) as d0, abs(tm - 70) as d1, abs(complexity) as d2, abs(hairpin) as d3 from @v_snps@ where gc is not null and tm is not null and complexity is not null and hairpin is not null)""".format(
+    "0.0 + " + " + ".join(f"{w:.1f}::double * (1.0::double - (d{i} - min(d{i}) over (partition by chr, win)) / coalesce(nullif(max(d{i}) over (partition by chr, win) - min(d{i}) over (partition by chr, win), 0), 1.0))" for i, w in enumerate((1, 2, 1, 1)))
+)
+
+
+@query("w4_weighted", f"select chr, pos, ref, alt, round(weighted_score, 6) as weighted_score from ({_SCORED}) qualify row_number() over (partition by chr, win order by weighted_score desc, pos, ref, alt) <= 2")
+def w4_weighted(spark, d):
+    s = select.select_weighted(view(spark, d, "v_snps"), select.SCORES[:4], [1, 2, 1, 1], select.TARGETS[:4], 2)
+    return s.select("chr", "pos", "ref", "alt", F.round("weighted_score", 6).alias("weighted_score"))
+
+
+@query("w5_priority", f"select chr, pos, ref, alt from (select *, exists (select 1 from @v_bed@ b where b.chr = s.chr and s.pos between b.start and b.@end@) as f from @v_sites@ s) qualify row_number() over (partition by chr, pos // 10000 order by f desc, {_RND}, pos, ref, alt) <= 2")
+def w5_priority(spark, d):
+    flagged = intervals.flag_covered(view(spark, d, "v_sites"), view(spark, d, "v_bed"))
+    return select.select_priority(flagged, "in_region", 2).select("chr", "pos", "ref", "alt")
+
+
+_TILES = "select *, unnest(list_distinct(list_concat(range(0, n - 80, 30), [n - 81]))) as s from (select *, length(seq) as n from {}) where n >= 81"
+
+
+@query("w10_tile", f"select region_id, label, cast(row_number() over (partition by region_id, label order by s) as int) as tile_no, cast(s + 1 as int) as start1, cast(s + 81 as int) as end1, substr(seq, s + 1, 81) as tile from ({_TILES.format('@v_alleles@')}) qualify not contains(substr(seq, s + 1, 81), 'N')")
+def w10_tile(spark, d):
+    return probes.tile_regions(view(spark, d, "v_alleles"))
+
+
+@query(
+    "w11_tile_util",
+    "select id, id || ':' || s || '-' || (s + 40) || '_tile' || row_number() over (partition by id, seq order by s) as tile_id, substr(seq, s + 1, 40) as tile from (select *, unnest(list_distinct(list_concat(range(0, n - 39, 15), [n - 40]))) as s from (select *, length(seq) as n from @v_probes@) where n >= 40) union all select id, id || '_tile1', seq from @v_probes@ where length(seq) < 40",
+)
+def w11_tile_util(spark, d):
+    return probes.tile_sequences(view(spark, d, "v_probes"), length=40, step=15)
+
+
+@query("w12_haplo_tile", f"with t as (select region_id, label, s, substr(seq, s + 1, 81) as tile from ({_TILES.format('@v_alleles@')})), g as (select region_id, cast(s as int) as start, tile, min(label) as label, count(*) as n_alleles from t where not contains(tile, 'N') group by all) select *, count(*) over (partition by region_id, start) as n_forms from g")
+def w12_haplo_tile(spark, d):
+    return haplo.haplotype_tiles(view(spark, d, "v_alleles"))
+
+
+@query("a19_window_variation", f"with t as (select region_id, s, substr(seq, s + 1, 81) as tile from ({_TILES.format('@v_alleles@')})), g as (select region_id, s, count(distinct tile) as n from t where not contains(tile, 'N') group by all) select count(*) filter (n = 1) as n_fixed, count(*) filter (n > 1) as n_variant, cast(coalesce(sum(n) filter (n = 1), 0) as bigint) as tiles_fixed, cast(coalesce(sum(n) filter (n > 1), 0) as bigint) as tiles_variant from g")
+def a19_window_variation(spark, d):
+    return haplo.window_variation(haplo.haplotype_tiles(view(spark, d, "v_alleles")))
+
+
+@query("a20_variable_positions", f"with t as (select distinct region_id, cast(s as int) as start, substr(seq, s + 1, 81) as tile from ({_TILES.format('@v_alleles@')})), c as (select region_id, start, tile, unnest(range(0, 81)) as off from t where not contains(tile, 'N')), v as (select region_id, start, cast(off as int) as off from c group by all having count(distinct substr(tile, off + 1, 1)) > 1) select region_id, start, count(*) as n_variable, list_sort(list(off))[1:5] as first from v group by all")
+def a20_variable_positions(spark, d):
+    return haplo.variable_positions(view(spark, d, "v_alleles"))
+
+
+@query("w13_msa_tiles")
+def w13_msa_tiles(spark, d):
+    """Alleles with a gap put in as an aligner would; every tile maps back to its allele."""
+    a = view(spark, d, "v_alleles").select("region_id", "label", F.concat(F.substring("seq", 1, 50), F.lit("---"), F.expr("substring(seq, 51)")).alias("aligned"))
+    return haplo.aligned_tiles(a)
+
+
+@query("w14_dedup", "select id, seq from @v_probes@ qualify row_number() over (partition by seq order by id) = 1")
+def w14_dedup(spark, d):
+    return sets.first_wins(view(spark, d, "v_probes"), ["seq"], ["id"])
+
+
+_ASSESSED = "select distinct probe_id as id, upper(regexp_replace(sequence, '[^A-Za-z]+', '', 'g')) as seq from assessment_result where sequence is not null and probe_id is not null"
+_MERGED = f"""with every as (select 0 as no, 'probe' as name, id, seq from @v_probes@ union all select 1, 'assess', id, seq from ({_ASSESSED})),
+    ids as (select *, case when no = min(no) over (partition by id) then id else id || '_' || name end as new from every),
+    best as (select *, row_number() over (partition by seq order by no, id, new) as r, first_value(new) over (partition by seq order by no, id, new) as kept from ids)"""
+
+
+def _merged(spark, d):
+    a = view(spark, d, "assessment_result").filter("sequence is not null and probe_id is not null").select(F.col("probe_id").alias("id"), F.upper(F.regexp_replace("sequence", "[^A-Za-z]+", "")).alias("seq")).distinct()
+    return sets.merge_dedup([("probe", view(spark, d, "v_probes")), ("assess", a)])
+
+
+@query("w15_merge_dedup", f"{_MERGED} select new as id, seq from best where r = 1")
+def w15_merge_dedup(spark, d):
+    return _merged(spark, d)[0]
+
+
+@query("k7_removed_map", f"{_MERGED} select new as removed_id, kept as kept_id from best where new <> kept")
+def k7_removed_map(spark, d):
+    return _merged(spark, d)[1]
+
+
+@query("w16_ld_prune")
+def w16_ld_prune(spark, d):
+    return haplo.prune_linked(popgen.site_arrays(view(spark, d, "v_gt")))
+
+
+# ---- sorting, sampling, sets ----
+
+
+@query("t2_sample", f"select chr, pos, ref, alt from @v_sites@ order by md5('42:' || chr || ':' || pos || ':' || ref || ':' || alt), chr, pos limit 500")
+def t2_sample(spark, d):
+    return select.select_random(view(spark, d, "v_sites"), 500, ["chr", "pos", "ref", "alt"]).select("chr", "pos", "ref", "alt")
+
+
+@query("t6_proportional", """with o as (select id, sum(s) as stratum from (select distinct id, 1 as s from @v_probes@ union all select distinct trim(kept_id), 2 from out_merge where kept_id is not null) group by id),
+    n as (select stratum, greatest(1, (count(*) * 300) // (select count(*) from o)) as quota from o group by stratum)
+    select id, cast(stratum as bigint) as stratum from o join n using (stratum) qualify row_number() over (partition by stratum order by md5('42:' || id), id) <= any_value(quota) over (partition by stratum)""")
+def t6_proportional(spark, d):
+    b = view(spark, d, "out_merge").filter("kept_id is not null").select(F.trim("kept_id").alias("id"))
+    return select.proportional_sample(view(spark, d, "v_probes").select("id"), b, ["id"], 300)
+
+
+@query("t8_stratified", "select sample, pop from @v_pops@ where pop <> 'unknown' qualify row_number() over (partition by pop order by md5('42:' || sample), sample) <= 2")
+def t8_stratified(spark, d):
+    return select.stratified(view(spark, d, "v_pops").filter("pop <> 'unknown'"), ["pop"], 2, ["sample"])
+
+
+@query("t9_equal_strata", "select chr, pos from @v_sites@ qualify row_number() over (partition by chr order by md5('42:' || chr || ':' || pos), chr, pos) <= least(40, (select min(n) from (select count(*) as n from @v_sites@ group by chr)))")
+def t9_equal_strata(spark, d):
+    return select.equal_strata(view(spark, d, "v_sites"), "chr", 40, ["chr", "pos"]).select("chr", "pos")
+
+
+@query("t10_populations", "select distinct pop from @v_pops@ where pop <> 'unknown' order by pop limit 2")
+def t10_populations(spark, d):
+    return popgen.choose_populations(view(spark, d, "v_pops"), most=2)
+
+
+def _runs(spark, d):
+    s = view(spark, d, "v_snps")
+    return [s.filter(f"run_id % 3 = {i}").select("chr", "pos", "ref", "alt", "type") for i in range(3)]
+
+
+_RUNS = "with f as (select distinct chr, pos, ref, alt, type, run_id % 3 as no from @v_snps@ where run_id is not null), g as (select chr, pos, ref, alt, any_value(type) as type, count(distinct no) as n, min(no) as lo from f group by chr, pos, ref, alt) select chr, pos, ref, alt, type from g where "
+for _name, _how, _test in (("u1_intersect", "intersection", "n = 3"), ("u2_union", "union", "true"), ("u3_diff", "difference", "n = 1 and lo = 0"), ("u4_symdiff", "symmetric", "n % 2 = 1"), ("u4_exactly_one", "exactly_one", "n = 1")):
+
+    @query(_name, _RUNS + _test)
+    def _set(spark, d, how=_how):
+        return sets.combine(_runs(spark, d), ["chr", "pos", "ref", "alt"], how)
+
+
+# ---- aggregates ----
+
+
+@query("a1_stage_counts", "select count(*) as n_total, count(*) filter (length(ref) = 1 and alt in ('A','C','G','T')) as n_snp, count(*) filter (alt is not null and (length(ref) <> 1 or length(alt) <> 1)) as n_indel, count(*) filter (alt is null) as n_no_alt, count(*) filter (length(ref) = 1 and alt in ('A','C','G','T') and n_alt > 1) as n_multi from @v_variants@")
+def a1_stage_counts(spark, d):
+    return variants.stage_counts(view(spark, d, "v_variants"))
+
+
+@query("a31_type_counts", "select type, count(*) as n from @v_sites@ group by type")
+def a31_type_counts(spark, d):
+    return assess.type_counts(view(spark, d, "v_sites"))
+
+
+_KM = "select id, substr(seq, unnest(range(1, length(seq) - {k} + 2)), {k}) as m from {t} where length(seq) >= {k}"
+
+
+@query("a2_dust", f"with k as ({_KM.format(k=3, t='@v_probes@')}), c as (select id, m, count(*) as c from k group by all), n as (select id, cast(sum(c * (c - 1) // 2) as bigint) as num from c group by id) select p.id, case when length(seq) <= 3 then 0 else num::double / (length(seq) - 3) end as dust from @v_probes@ p left join n using (id)")
+def a2_dust(spark, d):
+    return view(spark, d, "v_probes").select("id", seq.dust(F.col("seq")).alias("dust"))
+
+
+@query("a3_entropy", "with c as (select id, seq, unnest(string_split(seq, '')) as ch from @v_probes@ where seq <> ''), n as (select id, seq, ch, count(*) as c from c group by all) select id, round(sum(-(c::double / length(seq)) * ln(c::double / length(seq))) / ln(2), 6) as entropy from n group by id, seq union all select id, null from @v_probes@ where seq = ''")
+def a3_entropy(spark, d):
+    return view(spark, d, "v_probes").select("id", F.round(seq.entropy(F.col("seq")), 6).alias("entropy"))
+
+
+@query("a4_window_entropy", "with w as (select id, seq, unnest(range(1, length(seq) - 19, 10)) as s from @v_probes@ where length(seq) >= 20), x as (select id, s, substr(seq, s, 20) as t from w), c as (select id, s, t, unnest(string_split(t, '')) as ch from x), n as (select id, s, ch, count(*) as c from c group by all), e as (select id, s, sum(-(c / 20.0::double) * ln(c / 20.0::double)) / ln(2) as h from n group by id, s) select id, round(min(h), 6) as low, round(max(h), 6) as high, count(*) as n from e group by id")
+def a4_window_entropy(spark, d):
+    e = view(spark, d, "v_probes").select("id", F.explode(seq.window_entropy(F.col("seq"), 20, 10)).alias("h"))
+    return e.groupBy("id").agg(F.round(F.min("h"), 6).alias("low"), F.round(F.max("h"), 6).alias("high"), F.count(F.lit(1)).alias("n"))
+
+
+_RC = "reverse(translate(regexp_replace(seq, '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA'))"
+_DIMER = f"""with p as (select id, seq from @v_probes@), r as (select id, {_RC} as seq from p), f as (select id, m, count(*) as n from ({_KM.format(k=11, t='p')}) group by all), b as (select id, m, count(*) as n from ({_KM.format(k=11, t='r')}) group by all), size as (select count(*) as pool from p)"""
+
+
+@query("a5_dimer", f"{_DIMER}, q as (select m, sum(n) as q from b group by m), h as (select f.id, cast(sum(f.n * greatest(q - coalesce(b.n, 0), 0)) as bigint) as hits from f join q using (m) left join b on b.id = f.id and b.m = f.m group by f.id) select p.id, coalesce(hits, 0) as hits, cast(greatest(length(seq) - 10, 0) as bigint) as n_kmers, pool from p left join h using (id), size")
+def a5_dimer(spark, d):
+    return kmers.dimer_raw(view(spark, d, "v_probes"), "id", "seq", 11, "fast")
+
+
+@query("a6_dimer", f"{_DIMER}, q as (select m, sum(n) as q from b where not contains(m, 'N') group by m), h as (select f.id, cast(sum(f.n * q) as bigint) as hits from f join q using (m) group by f.id) select p.id, round(100.0::double * coalesce(hits, 0) / pool, 6) as dimer from p left join h using (id), size")
+def a6_dimer(spark, d):
+    return kmers.dimer_scores(view(spark, d, "v_probes"), "id", "seq", 11, "total").withColumn("dimer", F.round("dimer", 6))
+
+
+@query("a7_dimer", f"{_DIMER}, q as (select m, sum(n) as q from (select * from f union all select * from b) group by m having sum(n) >= 2), h as (select f.id, cast(sum(f.n * q) as bigint) as hits from f join q using (m) group by f.id) select p.id, coalesce(hits, 0) as hits, cast(greatest(length(seq) - 10, 0) as bigint) as n_kmers, pool from p left join h using (id), size")
+def a7_dimer(spark, d):
+    return kmers.dimer_raw(view(spark, d, "v_probes"), "id", "seq", 11, "classic")
+
+
+_R6 = lambda c: f"round({c}, 6)"
+
+
+@query("a8_summary", "select metric, count(*) as n, round(avg(v), 6) as mean, round(stddev_pop(v), 6) as std, min(v) as min, max(v) as max, round(quantile_cont(v, 0.5), 6) as median from (" + " union all ".join(f"select '{c}' as metric, {c}::double as v from @v_snps@" for c in ("gc", "tm", "complexity", "hairpin")) + ") where v is not null group by metric")
+def a8_summary(spark, d):
+    s = assess.summary(view(spark, d, "v_snps"), ["gc", "tm", "complexity", "hairpin"])
+    return s.select("metric", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std")], "min", "max", F.round("median", 6).alias("median"))
+
+
+@query("a9_compare", "with b as (select 'gc' as metric, gc as v, type from @v_snps@ union all select 'tm', tm, type from @v_snps@) select metric, count(v) as n_before, round(avg(v), 6) as mean_before, round(stddev_samp(v), 6) as std_before, count(v) filter (type = 'ts') as n_after, round(avg(v) filter (type = 'ts'), 6) as mean_after, round(stddev_samp(v) filter (type = 'ts'), 6) as std_after, round(avg(v) filter (type = 'ts') - avg(v), 6) as delta_mean from b group by metric")
+def a9_compare(spark, d):
+    v = view(spark, d, "v_snps")
+    c = select.before_after(v, v.filter("type = 'ts'"), ["gc", "tm"])
+    return c.select("metric", "n_before", "n_after", *[F.round(x, 6).alias(x) for x in ("mean_before", "std_before", "mean_after", "std_after", "delta_mean")])
+
+
+@query("a10_rank_stats", f"select round(avg(hairpin), 6) as mean, min(hairpin) as min, max(hairpin) as max, any_value({_RANK.format(c='hairpin', t='@v_snps@', p=0.5)}) as upper_median, any_value({_RANK.format(c='hairpin', t='@v_snps@', p=0.95)}) as p95 from @v_snps@")
+def a10_rank_stats(spark, d):
+    return assess.rank_statistics(view(spark, d, "v_snps"), "hairpin").withColumn("mean", F.round("mean", 6))
+
+
+@query("a11_coverage", "with c as (select chr, count(*) as n, count(distinct pos // 10000) as w from @v_sites@ group by chr) select cast(sum(w) as bigint) as n_windows, count(*) as n_chroms, cast(sum(n) as bigint) as n_snps, round(avg(n), 6) as mean_per_chrom, round(stddev_pop(n), 6) as std_per_chrom from c")
+def a11_coverage(spark, d):
+    c = select.coverage(view(spark, d, "v_sites"))
+    return c.withColumn("mean_per_chrom", F.round("mean_per_chrom", 6)).withColumn("std_per_chrom", F.round("std_per_chrom", 6))
+
+
+@query("a28_family_report", f"with m as ({ORACLE['p4_found'].strip()}), g as (select family_id, count(*) as n_members, string_agg(member, ',' order by member_no) as members from m group by family_id) select family_id, n_members, n_members / (select sum(n_members) from g)::double as proportion, members from g")
+def a28_family_report(spark, d):
+    return assess.family_report(p4_found(spark, d))
+
+
+@query("a29_bins", "with h as (select id, sum(case when try_cast(split_part(x, ':', 1) as bigint) > 0 then coalesce(try_cast(split_part(x, ':', 2) as bigint), 0) else 0 end) as n from (select id, unnest(string_split(line, ' ')) as x from @v_kraken@) group by id, x is null) select case when n <= 0 then '0' when n <= 5 then '1-5' when n <= 10 then '6-10' when n <= 20 then '11-20' when n <= 50 then '21-50' else '>50' end as bin, count(*) as n from h group by 1")
+def a29_bins(spark, d):
+    return filters.kmer_bins(view(spark, d, "v_kraken").select("id", filters.kraken_hits(F.col("line")).alias("hits")), "hits")
+
+
+@query("a30_hist", "with h as (select cast(floor((tm - 40) / 2.5) as bigint) as bin, count(*) as n from @v_snps@ where tm is not null group by 1) select bin, n, round(100.0::double * n / (select sum(n) from h), 6) as percent from h")
+def a30_hist(spark, d):
+    return assess.histogram(view(spark, d, "v_snps"), "tm", 2.5, 40.0).withColumn("percent", F.round("percent", 6))
+
+
+@query("a30_plot_limits", "select round(case when k <= 60 then a - 0.5 else p1 - (p99 - p1) * 0.05 end, 6) as lo, round(case when k <= 60 then b + 0.5 else p99 + (p99 - p1) * 0.05 end, 6) as hi from (select count(distinct hairpin) as k, min(hairpin) as a, max(hairpin) as b, quantile_cont(hairpin, 0.01) as p1, quantile_cont(hairpin, 0.99) as p99 from @v_snps@)")
+def a30_plot_limits(spark, d):
+    return assess.plot_limits(view(spark, d, "v_snps"), "hairpin").select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+
+
+# ---- alignments and taxonomy ----
+
+_ROLL = """with m as (select * from @v_hits@ where as_score is not null), o as (select *, row_number() over (partition by qname, genome order by as_score desc, xs_score desc nulls last) as r from m),
+    g as (select qname, genome, count(*) as hits, max(case when r = 1 then as_score end) as best_as, max(case when r = 2 then as_score end) as s2, max(case when r = 1 then xs_score end) as xs from o group by all),
+    roll as (select qname, genome, hits, best_as, greatest(s2, xs) as second_as, best_as - greatest(s2, xs) as diff from g)"""
+
+
+def _rollup(spark, d):
+    return taxa.hit_rollup(view(spark, d, "v_hits"))
+
+
+@query("a12_hits", f"{_ROLL} select * from roll")
+def a12_hits(spark, d):
+    return _rollup(spark, d)
+
+
+@query("a13_mappable", f"{_ROLL} select qname, genome, hits = 1 as strict, hits = 1 or coalesce(diff >= 10, false) as relaxed from roll")
+def a13_mappable(spark, d):
+    h, g = F.col("hits"), F.col("diff")
+    return _rollup(spark, d).select("qname", "genome", taxa.mappable(h, g).alias("strict"), taxa.mappable(h, g, "relaxed").alias("relaxed"))
+
+
+@query("a14_access", f"{_ROLL}, g2 as (select qname, count(*) as aligned, count(*) filter (not (hits = 1 or coalesce(diff >= 10, false))) as multi from roll group by qname), i as (select o_orderkey as id from orders) select id, coalesce(aligned, 0) as aligned, coalesce(multi, 0) as multi, case when coalesce(aligned, 0) < 3 then 'not_aligned' when multi > 0 then 'multi_mapped' else 'ok' end as verdict from i left join g2 on g2.qname = i.id")
+def a14_access(spark, d):
+    ids = view(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
+    return taxa.accessible(ids, _rollup(spark, d), 3, mode="relaxed")
+
+
+_BEST = """with t as (select h.*, coalesce(a.taxid, b.taxid) as taxid, case when qlen > 0 then (qlen - nm) / qlen::double * 100.0 else 0.0 end as sim from @v_hits@ h left join @v_acc@ a on a.accession = h.rname left join @v_acc@ b on b.accession = split_part(h.rname, '.', 1)),
+    best as (select qname, taxid, nm, sim from t where taxid is not null qualify row_number() over (partition by qname, taxid order by nm, sim desc) = 1)"""
+
+
+def _best(spark, d):
+    return taxa.best_per_taxon(taxa.with_taxid(view(spark, d, "v_hits"), view(spark, d, "v_acc")))
+
+
+@query("a15_besthit", f"{_BEST} select qname, taxid, nm, round(sim, 6) as sim from best")
+def a15_besthit(spark, d):
+    return _best(spark, d).withColumn("sim", F.round("sim", 6))
+
+
+@query(
+    "a16_besthit_verdict",
+    f"""with recursive inside as (select taxid from @v_tree@ where taxid = 11 union select t.taxid from @v_tree@ t join inside i on t.parent = i.taxid), {_BEST[5:]},
+    x as (select *, taxid in (select taxid from inside) as tg from best),
+    f as (select qname, first(taxid order by nm, sim desc, taxid) as taxid, first(tg order by nm, sim desc, taxid) as tg, first(nm order by nm, sim desc, taxid) as nm, first(sim order by nm, sim desc, taxid) as sim, min(nm) filter (not tg) as onm from x group by qname)
+    select qname, taxid, case when not tg then 'not_target' when not (sim >= 95 or nm <= 4) then 'low_quality' when coalesce(onm - nm < 2, false) then 'ambiguous' else 'assigned' end as verdict from f""",
+)
+def a16_besthit_verdict(spark, d):
+    target = spark.createDataFrame([(11,)], "taxid int")
+    return taxa.best_hit_verdict(_best(spark, d), view(spark, d, "v_tree"), target, min_sim=95.0, max_nm=4)
+
+
+@query("g2_clade", "with recursive inside as (select taxid from @v_tree@ where taxid in (12, 101) union select t.taxid from @v_tree@ t join inside i on t.parent = i.taxid) select taxid from inside")
+def g2_clade(spark, d):
+    from ..operators.graph import descendants
+
+    return descendants(view(spark, d, "v_tree"), spark.createDataFrame([(12,), (101,)], "taxid int"))
+
+
+@query("g3_names", "select taxid, name from @v_tree@ where name in ('ASIA', 'root', 'EUROPE')")
+def g3_names(spark, d):
+    return taxa.names_to_ids(view(spark, d, "v_tree"), ["ASIA", "root", "EUROPE"])
+
+
+_LCA = f"""with recursive up as (select taxid, taxid as a, 0 as u from @v_tree@ union all select up.taxid, t.parent, u + 1 from up join @v_tree@ t on t.taxid = up.a where t.parent <> t.taxid), {_BEST[5:]},
+    q as (select distinct qname, b.taxid from best b join @v_tree@ t on t.taxid = b.taxid where nm between 0 and 2), n as (select qname, count(*) as n from q group by qname), dep as (select taxid, max(u) as dep from up group by taxid),
+    s as (select qname, a, count(*) as k from q join up using (taxid) group by all), l as (select s.qname, max_by(a, dep * 100000 + a) as lca from s join n using (qname) join dep on dep.taxid = s.a where k = n group by s.qname)"""
+
+
+def _lca(spark, d):
+    return taxa.common_ancestor(_best(spark, d).filter(F.col("nm").between(0, 2)), view(spark, d, "v_tree"))
+
+
+@query("g4_lca", f"{_LCA} select qname, lca from l")
+def g4_lca(spark, d):
+    return _lca(spark, d)
+
+
+@query("a17_taxid_counts", f"{_LCA} select lca as taxid, count(*) as n from l group by lca")
+def a17_taxid_counts(spark, d):
+    return taxa.taxon_counts(_lca(spark, d))
+
+
+# ---- haplotypes ----
+
+
+@query("a18_haplo_freq", "with a as (select region_id, unnest(map_values(alleles)) as seq from haplotype_set where region_id is not null), n as (select region_id, upper(seq) as seq, count(*) as n from a where seq is not null and seq <> '' group by all), t as (select *, sum(n) over (partition by region_id) as t, row_number() over (partition by region_id order by n desc, seq) as r from n) select region_id, 'H' || r as label, seq, n, n / t::double as freq from t where n / t::double >= 0.05")
+def a18_haplo_freq(spark, d):
+    a = view(spark, d, "haplotype_set").filter("region_id is not null and alleles is not null").select("region_id", F.explode(F.map_values("alleles")).alias("seq")).filter("seq is not null and seq <> ''").withColumn("seq", F.upper("seq"))
+    return haplo.haplotype_frequencies(a)
+
+
+@query("p21_apply_variant", """with r as (select name as region_id, b.chr, start, substr(g.seq, cast(start + 1 as int), cast(@end@ - start as int)) as seq from @v_bed@ b join @v_genome@ g on g.chr = b.chr where @end@ <= length(g.seq)),
+    v as (select region_id, hap, min(pos) as pos, arg_min(ref, (pos, ref, alt)) as ref, arg_min(alt, (pos, ref, alt)) as alt from (select r.region_id, pos % 2 as hap, pos, ref, alt from r join @v_gsnps@ s on s.chr = r.chr and s.pos > r.start and s.pos <= r.start + length(r.seq) and substr(r.seq, cast(pos - r.start as int), 1) = ref) group by region_id, hap)
+    select region_id, hap, substr(seq, 1, cast(pos - 1 - start as int)) || alt || substr(seq, cast(pos - start + 1 as int)) as allele from v join r using (region_id)""")
+def p21_apply_variant(spark, d):
+    """The first matching variant of each of two haplotypes, put into its region."""
+    r = intervals.region_sequences(view(spark, d, "v_bed"), view(spark, d, "v_genome"), stranded=False).withColumnRenamed("name", "region_id")
+    at = intervals.features_at(view(spark, d, "v_gsnps"), r.select("chr", "start", "end", "region_id", "seq"), base="one_based")
+    good = at.filter(F.substr("seq", (F.col("pos") - F.col("f_start")).cast("int"), F.lit(1)) == F.col("ref"))
+    first = good.groupBy("region_id", (F.col("pos") % 2).alias("hap")).agg(F.min(F.struct("pos", "ref", "alt")).alias("v"))
+    v = first.select("region_id", F.lit("s").alias("sample"), "hap", "v.*")
+    return haplo.apply_variants(r, v).select("region_id", "hap", "allele")
+
+
+# ---- population statistics ----
+
+_PAIRS = "select a.sample as s1, b.sample as s2, cast(coalesce(sum(abs(a.gt - b.gt)), 0) as bigint) as diff, count(a.gt + b.gt) as n_sites from {0} a join {0} b on a.chr = b.chr and a.pos = b.pos and a.sample < b.sample group by all"
+
+
+@query("s4_genotypes", "select distinct chr, pos, sample, gt from @v_gt@")
+def s4_genotypes(spark, d):
+    """Genotypes written as VCF fields and read back."""
+    g = view(spark, d, "v_gt").withColumn("field", F.concat(F.lit("12:"), F.when(F.col("gt").isNull(), "./.").when(F.col("gt") == 2, "1|1").when(F.col("gt") == 1, "0/1").otherwise("0|0")))
+    return g.select("chr", "pos", "sample", popgen.genotype(F.col("field"), F.lit("DP:GT")).alias("gt")).distinct()
+
+
+@query("a21_ibs", f"select s1, s2, diff, n_sites, diff / (2.0::double * nullif(n_sites, 0)) as d from ({_PAIRS.format('@v_gt@')})")
+def a21_ibs(spark, d):
+    return popgen.ibs_distance(view(spark, d, "v_gt"))
+
+
+@query(
+    "a22_corr",
+    f"""with half as (select * from @v_gt@ where pos % 2 = 0), a as (select s1, s2, diff / (2.0::double * nullif(n_sites, 0)) as x from ({_PAIRS.format('@v_gt@')})), b as (select s1, s2, diff / (2.0::double * nullif(n_sites, 0)) as y from ({_PAIRS.format('half')})),
+    j as (select x, y, rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0 as rx, rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0 as ry from a join b using (s1, s2) where x is not null and y is not null)
+    select count(*) as n_pairs, round(corr(x, y), 6) as pearson, round(corr(rx, ry), 6) as spearman, round(avg(abs(x - y)), 6) as mean_abs_diff from j""",
+)
+def a22_corr(spark, d):
+    g = view(spark, d, "v_gt")
+    c = popgen.compare_distances(popgen.ibs_distance(g), popgen.ibs_distance(g.filter("pos % 2 = 0")))
+    return c.select("n_pairs", *[F.round(x, 6).alias(x) for x in ("pearson", "spearman", "mean_abs_diff")])
+
+
+_AC = "select chr, pos, pop, cast(sum(gt) as int) as ac, cast(count(gt) * 2 as int) as an from @v_gt@ join @v_pops@ using (sample) where pop <> 'unknown' and gt is not null group by all"
+
+
+def _counts(spark, d):
+    return popgen.allele_counts(view(spark, d, "v_gt"), view(spark, d, "v_pops"))
+
+
+@query("a23_sfs", f"with c as ({_AC}), k as (select * from c qualify an = max(an) over (partition by pop)) select pop, least(ac, an - ac) as bin, count(*)::double as sites from k group by all")
+def a23_sfs(spark, d):
+    return popgen.sfs(_counts(spark, d))
+
+
+@query("a23_joint_sfs", f"with c as ({_AC}), k as (select * from c qualify an = max(an) over (partition by pop)), j as (select a.pop as p1, b.pop as p2, case when 2 * (a.ac + b.ac) > a.an + b.an then a.an - a.ac else a.ac end as i, case when 2 * (a.ac + b.ac) > a.an + b.an then b.an - b.ac else b.ac end as j from k a join k b on a.chr = b.chr and a.pos = b.pos and a.pop < b.pop) select p1, p2, i, j, count(*) as sites from j group by all")
+def a23_joint_sfs(spark, d):
+    return popgen.joint_sfs(_counts(spark, d))
+
+
+_CHOOSE = lambda a, b: f"(factorial(cast({a} as int)) / (factorial(cast({b} as int))::double * factorial(cast({a} - {b} as int))))"
+
+
+@query("a23_projected", f"with c as ({_AC}), k as (select pop, ac, an, count(*) as n from c where an >= 4 group by all), j as (select *, unnest(range(greatest(0, 4 - an + ac), least(4, ac) + 1)) as i from k) select pop, cast(least(i, 4 - i) as int) as bin, round(sum(n * {_CHOOSE('ac', 'i')} * {_CHOOSE('(an - ac)', '(4 - i)')} / {_CHOOSE('an', '4')}), 6) as sites from j group by all")
+def a23_projected(spark, d):
+    return popgen.sfs(_counts(spark, d), 4).withColumn("sites", F.round("sites", 6))
+
+
+@query("a24_tvd", f"with c as ({_AC}), k as (select *, pos % 2 = 0 as h from c qualify an = max(an) over (partition by pop)), b as (select pop, least(ac, an - ac) as bin, count(*) as n, count(*) filter (h) as m from k where least(ac, an - ac) >= 1 group by all) select pop, round(sum(abs(n / t - m / u)) / 2, 6) as tvd from (select *, sum(n) over (partition by pop)::double as t, sum(m) over (partition by pop)::double as u from b) group by pop")
+def a24_tvd(spark, d):
+    c = _counts(spark, d)
+    return popgen.sfs_distance(popgen.sfs(c), popgen.sfs(c.filter("pos % 2 = 0"))).withColumn("tvd", F.round("tvd", 6))
+
+
+@query("a25_projection", f"with c as ({_AC}), p as (select pop, an as projection, count(*) filter (ac > 0 and ac < an) as segregating from c group by all) select pop, max_by(projection, segregating * 1000 + projection) as projection, max(segregating) as segregating from p where projection <= 6 group by pop")
+def a25_projection(spark, d):
+    p = _counts(spark, d).groupBy("pop", F.col("an").alias("projection")).agg(F.count_if((F.col("ac") > 0) & (F.col("ac") < F.col("an"))).alias("segregating"))
+    return popgen.best_projection(p, 6)
+
+
+@query("g5_pca")
+def g5_pca(spark, d):
+    return popgen.pca(view(spark, d, "v_gt"))
+
+
+@query("g6_procrustes")
+def g6_procrustes(spark, d):
+    g = view(spark, d, "v_gt")
+    return popgen.pca_similarity(popgen.pca(g), popgen.pca(g.filter("pos % 2 = 0")))
+
+
+@query("g8_missing", "select chr, pos, sample, case when (select sum((instr('0123456789abcdef', substr(h, 9 + i, 1)) - 1) * pow(16, 6 - i)) from (select unnest(range(0, 7)) as i)) / pow(16, 7) >= case when instr('0123456789abcdef', substr(h, 1, 1)) <= 8 then 0.1 else 0.3 end then gt end as gt from (select *, md5('42:' || chr || ':' || pos || ':' || sample) as h from @v_gt@)")
+def g8_missing(spark, d):
+    return popgen.with_missing(view(spark, d, "v_gt"), [0.1, 0.3])
+
+
+# ---- scalar functions ----
+
+
+@query("x1_gc", "select id, 100.0::double * gc / nullif(n, 0) as gc, 100.0::double * gc / nullif(len, 0) as gc_full from (select id, length(seq) as len, length(seq) - length(regexp_replace(seq, '[GC]', '', 'g')) as gc, length(seq) - length(regexp_replace(seq, '[ACGT]', '', 'g')) as n from @v_probes@)")
+def x1_gc(spark, d):
+    return view(spark, d, "v_probes").select("id", seq.gc_percent(F.col("seq")).alias("gc"), seq.gc_percent_of_length(F.col("seq")).alias("gc_full"))
+
+
+@query("x2_revcomp", f"select id, {_RC} as rc, reverse(translate(seq, 'ACGT', 'TGCA')) as rc_keep, seq = reverse(translate(seq, 'ACGT', 'TGCA')) as palindrome from @v_probes@")
+def x2_revcomp(spark, d):
+    s = F.col("seq")
+    return view(spark, d, "v_probes").select("id", seq.reverse_complement(s).alias("rc"), seq.reverse_complement_keep(s).alias("rc_keep"), seq.is_palindrome(s).alias("palindrome"))
+
+
+def _nn_sql(part: int, table: str = "sugimoto_1996") -> str:
+    values = " ".join(f"when '{k}' then {v}" for k, v in thermo.steps(table, part).items())
+    t = thermo.TABLES[table]
+    return f"(select cast(sum(case substr(seq, i, 2) {values} end) as int) from (select unnest(range(1, length(seq))) as i)) + {round(t['init'][part] * 10)} + case when seq = reverse(translate(seq, 'ACGT', 'TGCA')) then {round(t['sym'][part] * 10)} else 0 end"
+
+
+_THERMO = f"select id, seq, case when ok then {_nn_sql(1)} end as s, case when ok then {_nn_sql(0)} end as h from (select *, length(seq) >= 2 and regexp_full_match(seq, '[ACGT]+') as ok from @v_probes@)"
+
+
+@query("x5_thermo", f"select id, cast(s as int) as entropy_tenths, cast(h as int) as enthalpy_tenths, round(h / 10.0::double - 310.15::double * (s / 10.0::double) / 1000.0::double, 6) as gibbs from ({_THERMO})")
+def x5_thermo(spark, d):
+    s = F.col("seq")
+    return view(spark, d, "v_probes").select("id", thermo.entropy_tenths(s).alias("entropy_tenths"), thermo.enthalpy_tenths(s).alias("enthalpy_tenths"), F.round(thermo.gibbs_energy(s), 6).alias("gibbs"))
+
+
+@query("x3_tm", f"select id, round(100.0::double * h / (s / 10.0::double + 0.368::double * (length(seq) - 1) * ln(0.05::double) + 1.987::double * ln(2.5e-7::double)) - 273.15::double, 6) as tm from ({_THERMO}) where length(seq) >= 14")
+def x3_tm(spark, d):
+    p = view(spark, d, "v_probes").filter(F.length("seq") >= 14)
+    return p.select("id", F.round(thermo.tm_nn(F.col("seq")), 6).alias("tm"))
+
+
+@query("x4_tm_simple", "select id, case when n > 0 then 2.0::double * n + 2 * gc end as wallace, case when n > 0 then round(81.5::double + 16.6::double * log10(0.05::double) + 41.0::double * gc / n - 500.0::double / length(seq), 6) end as tm_gc from (select *, length(seq) - length(regexp_replace(seq, '[GC]', '', 'g')) as gc, length(seq) - length(regexp_replace(seq, '[ACGT]', '', 'g')) as n from @v_probes@)")
+def x4_tm_simple(spark, d):
+    s = F.col("seq")
+    return view(spark, d, "v_probes").select("id", thermo.tm_wallace(s).alias("wallace"), F.round(thermo.tm_gc(s), 6).alias("tm_gc"))
+
+
+@query("x7_hairpin_energy")
+def x7_hairpin_energy(spark, d):
+    """Approximate energies; not a folding engine's values."""
+    return view(spark, d, "v_probes").select("id", fold.hairpin_energy(F.col("seq")).alias("hairpin"))
+
+
+@query("x8_hairpin_sw")
+def x8_hairpin_sw(spark, d):
+    return view(spark, d, "v_probes").select("id", fold.hairpin_alignment(F.col("seq")).alias("hairpin"))
+
+
+@query("x9_canonical", f"with k as (select m from ({_KM.format(k=11, t='@v_probes@')}) where not contains(m, 'N')) select least(m, reverse(translate(m, 'ACGT', 'TGCA'))) as kmer, count(*) as n from k group by 1")
+def x9_canonical(spark, d):
+    k = view(spark, d, "v_probes").select(F.explode(seq.kmers(F.col("seq"), 11)).alias("m")).filter(~F.contains("m", F.lit("N")))
+    return k.groupBy(seq.canonical(F.col("m")).alias("kmer")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("x10_score", "select snp_id, round(greatest(0, 1 - abs(coalesce(gc, 50) - 50) / 50) + greatest(0, 1 - abs(coalesce(tm, 70) - 70) / 30) + greatest(0, 1 - abs(coalesce(complexity, 0)) / 5) + greatest(0, 1 - abs(coalesce(hairpin, 0)) / 50) + 1, 6) as score from @v_snps@")
+def x10_score(spark, d):
+    s = select.composite_score({c: F.col(c) for c in ("gc", "tm", "complexity", "hairpin")})
+    return view(spark, d, "v_snps").select("snp_id", F.round(s, 6).alias("score"))
+
+
+# ---- k-mer graph ----
+
+_EDGES = f"""k as (select distinct id, least(m, reverse(translate(m, 'ACGT', 'TGCA'))) as m from ({_KM.format(k=11, t='@v_probes@')}) where not contains(m, 'N')), nk as (select id, count(*) as nk from k group by id),
+    u as (select m from k group by m having count(*) between 2 and 100), kk as (select k.* from k semi join u using (m)),
+    pr as (select a.id as a, b.id as b, count(*) as shared from kk a join kk b on a.m = b.m and a.id < b.id group by all),
+    ed as (select a, b, shared, least(x.nk, y.nk) as smaller from pr join nk x on x.id = a join nk y on y.id = b where shared >= 0.5 * least(x.nk, y.nk))"""
+
+
+@query("j10_kmer_edges", f"with {_EDGES} select * from ed")
+def j10_kmer_edges(spark, d):
+    return kmers.shared_kmer_edges(view(spark, d, "v_probes"), "id", "seq").withColumn("smaller", F.col("smaller").cast("long"))
+
+
+@query(
+    "g1_smart_dimer",
+    f"""with recursive {_EDGES}, e2 as (select a, b from ed union select b, a from ed), rc as (select a as id, a as g from e2 union select e2.b, rc.g from rc join e2 on e2.a = rc.id), gr as (select id, min(g) as group_id from rc group by id),
+    dg as (select a as id, count(*) as degree from e2 group by a), al as (select p.id, coalesce(gr.group_id, p.id) as group_id, coalesce(degree, 0) as degree from @v_probes@ p left join gr using (id) left join dg using (id))
+    select id, group_id, degree, row_number() over (partition by group_id order by degree, id) = 1 as keep from al""",
+)
+def g1_smart_dimer(spark, d):
+    return kmers.dimer_groups(view(spark, d, "v_probes"), "id", "seq")
+
 
+@query("g1_group_stats")
+def g1_group_stats(spark, d):
+    return kmers.group_stats(kmers.dimer_groups(view(spark, d, "v_probes"), "id", "seq"), "id")
 
-QUERIES = {"p4_found": p4_found}
 
-ORACLE = {
-    "p4_found": rf"""
-        with rows as (select distinct family_id, members from out_sample_clust where members is not null and family_id is not null),
-        toks as (select family_id, unnest(t) as tok, unnest(range(len(t))) as i from (select family_id, {_TOKENS} as t from rows)),
-        vals as (select family_id, i, trim(case when len(tok) >= 2 and tok[1] = '"' and tok[-1] = '"' then replace(tok[2:-2], '""', '"')
-          when len(tok) >= 2 and tok[1] = '''' and tok[-1] = '''' then replace(tok[2:-2], '''''', '''') else tok end) as member from toks)
-        select distinct family_id, cast(row_number() over (partition by family_id order by i) as int) as member_no, member from vals where member <> ''""",
-}
+@query("g9_families")
+def g9_families(spark, d):
+    """Linked families standing in for greedy clustering."""
+    return assess.greedy_families(view(spark, d, "v_probes"), "id", "seq")
