@@ -125,7 +125,7 @@ def replace_ambiguous(seq: Column, key: Column) -> Column:
 
 def third_base(ref: Column, alt: Column, key: Column) -> Column:
     """A base that is neither ref nor alt, chosen by the key."""
-    return pick(F.translate(F.lit("ACGT"), F.concat(F.upper(ref), F.upper(alt)), F.lit("")), key)
+    return pick(F.regexp_replace(F.lit("ACGT"), F.concat(F.lit("["), F.upper(ref), F.upper(alt), F.lit("]")), F.lit("")), key)
 
 
 def similarity_percent(length: Column, mismatches: Column) -> Column:

@@ -563,7 +563,7 @@ def a3_entropy(spark, d):
     return view(spark, d, "v_probes").select("id", F.round(seq.entropy(F.col("seq")), 6).alias("entropy"))
 
 
-@query("a4_window_entropy", "with w as (select id, seq, unnest(range(1, length(seq) - 19, 10)) as s from @v_probes@ where length(seq) >= 20), x as (select id, s, substr(seq, s, 20) as t from w), c as (select id, s, t, unnest(string_split(t, '')) as ch from x), n as (select id, s, ch, count(*) as c from c group by all), e as (select id, s, sum(-(c / 20.0::double) * ln(c / 20.0::double)) / ln(2) as h from n group by id, s) select id, round(min(h), 6) as low, round(max(h), 6) as high, count(*) as n from e group by id")
+@query("a4_window_entropy", "with w as (select id, seq, unnest(range(1, length(seq) - 18, 10)) as s from @v_probes@ where length(seq) >= 20), x as (select id, s, substr(seq, s, 20) as t from w), c as (select id, s, t, unnest(string_split(t, '')) as ch from x), n as (select id, s, ch, count(*) as c from c group by all), e as (select id, s, sum(-(c / 20.0::double) * ln(c / 20.0::double)) / ln(2) as h from n group by id, s) select id, round(min(h), 6) as low, round(max(h), 6) as high, count(*) as n from e group by id")
 def a4_window_entropy(spark, d):
     e = view(spark, d, "v_probes").select("id", F.explode(seq.window_entropy(F.col("seq"), 20, 10)).alias("h"))
     return e.groupBy("id").agg(F.round(F.min("h"), 6).alias("low"), F.round(F.max("h"), 6).alias("high"), F.count(F.lit(1)).alias("n"))
