@@ -3,8 +3,9 @@
 ``split_text``: one bounded-quantifier regular expression per item walks the
 text.  Its ordered alternatives are: all of the rest, if it fits; up to the last
 boundary within reach (strongest boundary first); as many characters as the
-limit allows.  A match consumes only up to where the next piece starts, the
-overlap lies in its lookahead, so offsets are running sums of match lengths.
+limit allows.  Matches don't overlap; the overlap is looked back from the end of
+the piece before, so offsets are running sums of match lengths, and a piece after
+the first has that much less to consume.
 
 ``split_extent``: the same rule for items that have a length and boundary
 offsets but no text, with SQL array functions.
@@ -22,9 +23,10 @@ def piece_pattern(limit: int, overlap: int, boundaries: list[str]) -> str:
     """The walking pattern. ``boundaries``: zero-width patterns, strongest first."""
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and less than limit")
-    step = limit - overlap
-    cut = "".join(rf"[\s\S]{{1,{step}}}(?=[\s\S]{{{overlap}}}{b})|" for b in boundaries)
-    return rf"[\s\S]{{1,{limit}}}+\z|{cut}[\s\S]{{{step}}}"
+    reach = limit - overlap
+    first = "".join(rf"\A[\s\S]{{{overlap + 1},{limit}}}{b}|" for b in boundaries)
+    later = "".join(rf"[\s\S]{{1,{reach}}}{b}|" for b in boundaries)
+    return rf"\A[\s\S]{{1,{limit}}}+\z|{first}\A[\s\S]{{{limit}}}|[\s\S]{{1,{reach}}}+\z|{later}[\s\S]{{{reach}}}"
 
 
 def split_text(text: Column, limit: int, overlap: int, boundaries: list[str]) -> Column:
@@ -36,13 +38,8 @@ def split_text(text: Column, limit: int, overlap: int, boundaries: list[str]) ->
 
     def walk(parts):
         def step(s, p):
-            return _let(
-                F.struct((s["at"] + F.length(p)).alias("to"), F.size(s["out"]).alias("no")),
-                lambda v: F.struct(
-                    v["to"].alias("at"),
-                    F.array_append(s["out"], F.struct((v["no"] + 1).alias("piece_no"), s["at"].alias("start_off"), (v["to"] + F.when(v["no"] + 1 < F.size(parts), overlap).otherwise(0)).alias("end_off"))).alias("out"),
-                ),
-            )
+            piece = F.struct((F.size(s["out"]) + 1).alias("piece_no"), F.greatest(s["at"] - overlap, F.lit(0)).alias("start_off"), (s["at"] + F.length(p)).alias("end_off"))
+            return F.struct((s["at"] + F.length(p)).alias("at"), F.array_append(s["out"], piece).alias("out"))
 
         return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(PIECE).alias("out")), step)["out"]
 
