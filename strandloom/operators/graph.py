@@ -12,8 +12,8 @@ from ..plans.runtime import materialize
 def connected(edges: DataFrame, a: str, b: str, max_rounds: int = 50) -> DataFrame:
     """(id, group_id): the smallest vertex linked with each vertex of the edges.
 
-    Labels are lowered to the smallest of the neighbours' labels, then to the label's
-    own label (halving long chains), until nothing changes; each round is cut with a
+    Labels are lowered to the smallest of the neighbours' labels and to the label's own
+    label (halving long chains), and labels hear of lower ones, until nothing changes; each round is cut with a
     table in the shared folder. RuntimeError beyond ``max_rounds``.
     """
     e = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("x"), F.col(b).alias("y"))
@@ -21,9 +21,12 @@ def connected(edges: DataFrame, a: str, b: str, max_rounds: int = 50) -> DataFra
     labels = materialize(both.df.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("label")))
     for _ in range(max_rounds):
         near = both.df.join(labels.df.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("label").alias("near"))
-        low = labels.df.join(near, "x").select("x", F.col("label").alias("old"), F.least("label", "near").alias("low"))
-        jump = low.join(labels.df.select(F.col("x").alias("low"), F.col("label").alias("far")), "low", "left")
-        new = materialize(jump.select("x", "old", F.least("low", "far").alias("label")))
+        low = materialize(labels.df.join(near, "x").select("x", F.col("label").alias("old"), F.least("label", "near").alias("low")))
+        # the old label hears of the lower one too, so whole trees hook on at once
+        told = low.df.groupBy(F.col("old").alias("x")).agg(F.min("low").alias("told"))
+        jump = low.df.join(labels.df.select(F.col("x").alias("low"), F.col("label").alias("far")), "low", "left").join(told, "x", "left")
+        new = materialize(jump.select("x", "old", F.least("low", "far", "told").alias("label")))
+        low.drop()
         changed = not new.df.filter("label <> old").isEmpty()
         labels.drop()
         labels = new
