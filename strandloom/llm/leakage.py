@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..plans.runtime import require, ship, union_all
 from .arrow import mix, ragged, text_bytes
@@ -204,7 +205,7 @@ def leaked_items(corpus: DataFrame, key: str, text: str, items: DataFrame, item_
         names = spark.createDataFrame(list(enumerate(ids)), f"item int, `{item_key}` {items.schema[item_key].dataType.simpleString()}")
         found = docs.mapInArrow(scan(spark.sparkContext.broadcast(item_index(texts, span, k, w))), schema)
         out.append(found.join(F.broadcast(names), "item").select(F.col("_k").alias(key), item_key, "span_words", "at_word").distinct())
-    return union_all(out) if out else spark.createDataFrame([], docs.select(F.col("_k").alias(key)).schema.add(items.schema[item_key]).add("span_words", "int").add("at_word", "int"))
+    return union_all(out) if out else spark.createDataFrame([], docs.select(F.col("_k").alias(key)).schema.add(items.schema[item_key]).add("span_words", IntegerType()).add("at_word", IntegerType()))
 
 
 def _blocks(items: DataFrame, block: int):
