@@ -98,11 +98,19 @@ def features_at(points: DataFrame, bed: DataFrame, base: str = "inclusive", widt
 
 def region_sequences(bed: DataFrame, genome: DataFrame, stranded: bool = True) -> DataFrame:
     """Adds ``seq`` to intervals inside the genome table (chr, seq); minus-strand regions
-    are reverse-complemented if ``stranded``. Intervals beyond an end are dropped."""
-    got = clean_intervals(bed).join(genome.withColumnRenamed("seq", "_g"), "chr").filter((F.col("start") >= 0) & (F.col("end") <= F.length("_g")))
-    cut = F.upper(F.substr(F.col("_g"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")))
-    seq = F.when(F.col("strand") == "-", reverse_complement_keep(cut)).otherwise(cut) if stranded and "strand" in bed.columns else cut
-    return got.withColumn("seq", seq).drop("_g")
+    are reverse-complemented if ``stranded``. Intervals beyond an end are dropped;
+    repeated rows count once. Regions meet chunks of the genome by (chr, chunk) and
+    are put together again, so only the letters of a region are moved and grouped."""
+    from .probes import CHUNK, genome_chunks
+
+    sizes = genome.select("chr", F.length("seq").cast("long").alias("_len"))
+    ok = clean_intervals(bed).distinct().join(sizes, "chr").filter((F.col("start") >= 0) & (F.col("end") <= F.col("_len"))).drop("_len")
+    t = ok.withColumn("_chunk", F.explode(F.sequence(F.floor(F.col("start") / CHUNK), F.floor((F.col("end") - 1) / CHUNK)))).join(genome_chunks(genome, 0), ["chr", "_chunk"])
+    lo, hi = F.greatest("start", "_from"), F.least(F.col("end"), F.col("_from") + CHUNK)
+    t = t.withColumn("_part", F.substr("_piece", (lo - F.col("_from") + 1).cast("int"), (hi - lo).cast("int")))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "_part"))), lambda x: x["_part"])
+    got = t.groupBy(*bed.columns).agg(F.array_join(parts, "").alias("seq"))
+    return got.withColumn("seq", F.when(F.col("strand") == "-", reverse_complement_keep(F.col("seq"))).otherwise(F.col("seq"))) if stranded and "strand" in bed.columns else got
 
 
 def region_totals(bed: DataFrame) -> DataFrame:

@@ -49,20 +49,44 @@ def parse_probe_id(df: DataFrame, column: str) -> DataFrame:
     return df.filter(F.col(column).rlike(_ID)).select(column, part(1, "string").alias("chr"), part(2, "bigint").alias("start1"), part(3, "bigint").alias("end1"), part(4, "bigint").alias("pos"), part(5, "string").alias("type"), part(6, "string").alias("ref"), part(7, "string").alias("alt"))
 
 
+#: Letters of a genome chunk.
+CHUNK = 4096
+
+
+def genome_chunks(genome: DataFrame, halo: int, size: int = CHUNK) -> DataFrame:
+    """A genome (chr, seq) as (chr, _chunk, _from, _piece): chunks of ``size`` letters with
+    ``halo`` letters on both sides, so that a lookup moves and scans a chunk and never a
+    chromosome. ``_from`` is the 0-based place of the piece's first letter."""
+    n = F.length("seq")
+    t = genome.select("chr", F.upper("seq").alias("_s"), F.explode(F.sequence(F.lit(0), F.floor(F.greatest(n - 1, F.lit(0)) / size))).alias("_chunk"))
+    start = F.greatest(F.col("_chunk") * size - halo, F.lit(0))
+    return t.select("chr", "_chunk", start.alias("_from"), F.substr("_s", (start + 1).cast("int"), (F.col("_chunk") * size + size + halo - start).cast("int")).alias("_piece"))
+
+
+def _on_genome(snps: DataFrame, genome: DataFrame, halo: int) -> tuple[DataFrame, object]:
+    """SNPs with their chromosome's length (``_len``, null if unknown) and chunk, and a
+    function (0-based start, length) -> letters. The start must lie within halo of pos."""
+    sizes = genome.select("chr", F.length("seq").cast("long").alias("_len"))
+    keyed = snps.withColumn("_chunk", F.floor(F.greatest(F.col("pos") - 1, F.lit(0)) / CHUNK))
+    j = keyed.join(sizes, "chr", "left").join(genome_chunks(genome, halo), ["chr", "_chunk"], "left")
+    return j, lambda start, n: F.substr(F.col("_piece"), (start - F.col("_from") + 1).cast("int"), F.lit(n) if isinstance(n, int) else n.cast("int"))
+
+
 def cut_probes(snps: DataFrame, genome: DataFrame, length: int = 81, shift: int = 0, replace_snp: bool = False) -> DataFrame:
     """SNP-centred probes: snps (chr, pos, type, ref, alt) with ``start``, ``end``,
     ``probe_id``, ``seq`` and ``reject``: null, or the first of no_chr, before_start,
     after_end, ref_mismatch. With ``replace_snp`` the SNP's base is replaced by one
-    that is neither allele (the same one on every run)."""
+    that is neither allele (the same one on every run). SNPs meet chunks of the
+    genome by (chr, chunk), whatever the chromosomes' sizes."""
     check_shift(length, shift)
     start, end, off = probe_window(F.col("pos"), length, shift)
-    j = snps.join(genome.withColumnRenamed("seq", "_g"), "chr", "left").withColumn("start", start).withColumn("end", end)
-    raw = F.upper(F.substr(F.col("_g"), (F.col("start") + 1).cast("int"), F.lit(length)))
-    base = F.upper(F.substr(F.col("_g"), F.col("pos").cast("int"), F.lit(1)))
-    reject = F.when(F.col("_g").isNull(), "no_chr").when(F.col("start") < 0, "before_start").when(F.col("end") > F.length("_g"), "after_end").when(base != F.upper("ref"), "ref_mismatch")
+    j, letters = _on_genome(snps, genome, 2 * length)
+    j = j.withColumn("start", start).withColumn("end", end)
+    raw, base = letters(F.col("start"), length), letters(F.col("pos") - 1, 1)
+    reject = F.when(F.col("_len").isNull(), "no_chr").when(F.col("start") < 0, "before_start").when(F.col("end") > F.col("_len"), "after_end").when(base != F.upper("ref"), "ref_mismatch")
     j = j.withColumn("reject", reject).withColumn("probe_id", probe_id(F.col("start"), F.col("end")))
     seq = F.overlay(raw, third_base(F.col("ref"), F.col("alt"), F.col("probe_id")), (off + 1).cast("int")) if replace_snp else raw
-    return j.withColumn("seq", F.when(F.col("reject").isNull(), seq)).drop("_g")
+    return j.withColumn("seq", F.when(F.col("reject").isNull(), seq)).drop("_chunk", "_len", "_from", "_piece")
 
 
 def tile_shifts(snps: DataFrame, length: int = 81, offset: int = 15) -> DataFrame:
@@ -105,12 +129,10 @@ def flanked(df: DataFrame, genome: DataFrame, length: int = 81, clip: bool = Fal
     """The sequence around each SNP as left flank + ref + right flank; probes that the
     chromosome's ends cut short are dropped, or kept short with ``clip``."""
     start, end, _ = probe_window(F.col("pos"), length)
-    g = df.join(genome.withColumnRenamed("seq", "_g"), "chr")
-    s, e = F.greatest(start, F.lit(0)), F.least(end, F.length("_g"))
-    off = F.col("pos") - 1 - s
-    raw = F.upper(F.substr(F.col("_g"), (s + 1).cast("int"), F.greatest(e - s, F.lit(0)).cast("int")))
-    seq = F.concat(F.substr(raw, F.lit(1), off.cast("int")), F.upper("ref"), F.substr(raw, (off + 2).cast("int"), F.lit(length)))
-    out = g.filter((F.col("pos") >= 1) & (F.col("pos") <= F.length("_g"))).withColumn("seq", seq).drop("_g")
+    j, letters = _on_genome(df, genome, 2 * length)
+    s, e = F.greatest(start, F.lit(0)), F.least(end, F.col("_len"))
+    seq = F.concat(letters(s, F.col("pos") - 1 - s), F.upper("ref"), letters(F.col("pos"), F.greatest(e - F.col("pos"), F.lit(0))))
+    out = j.filter((F.col("pos") >= 1) & (F.col("pos") <= F.col("_len"))).withColumn("seq", seq).drop("_chunk", "_len", "_from", "_piece")
     return out if clip else out.filter(F.length("seq") == length)
 
 
