@@ -95,45 +95,60 @@ def prune_linked(genotypes: DataFrame, window: int = 50, step: int = 5, r2: floa
     """Sites (chr, pos) left after greedy pruning: within windows of ``window`` sites moved by
     ``step`` sites, of two sites with squared correlation above ``r2`` the later goes.
 
-    ``genotypes``: chr, pos, gts (array of 0/1/2, null missing, one order of samples).
-    The greedy order is sequential per chromosome; a chromosome is cut into chunks of
-    1000 windows whose sites travel with a halo of one window, so a task holds a chunk.
+    ``genotypes``: chr, pos, gts (array of 0/1/2, null missing, one order of samples; one row
+    a site). A site that is left when its first window is done is left for good, so a site goes
+    exactly if one that stays lies before it in a common window and is linked with it. The links
+    are found in chunks with the last ``window`` sites of the chunk before in front; what
+    stays follows from them in one walk along each chromosome, which streams a bit mask per
+    site and remembers one window.
     """
     from .probes import dense_index
 
-    block = 1000 * step
+    block = max(1000 * step, window)  # a halo reaches into one chunk only
     numbered = dense_index(genotypes.filter("chr is not null and pos is not null"), ["chr", "pos"], "_i")
     first = numbered.groupBy("chr").agg(F.min("_i").alias("_first"))
     sites = numbered.join(first, "chr").withColumn("_n", F.col("_i") - F.col("_first")).select("chr", "pos", "gts", "_n")
-    chunk = F.floor(F.col("_n") / block)
-    parts = F.array_distinct(F.array(chunk, F.floor(F.greatest(F.col("_n") - window, F.lit(0)) / block)))
+    parts = F.array_distinct(F.array(F.floor(F.col("_n") / block), F.floor((F.col("_n") + window) / block)))
     tiled = sites.withColumn("_c", F.explode(parts))
 
-    def prune(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def links(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        """Bit d - 1 of ``_before``: the site d places before is linked and in a common window."""
         import numpy as np
 
         pdf = pdf.sort_values("_n").reset_index(drop=True)
-        g = np.array([[np.nan if v is None else v for v in x] for x in pdf["gts"]], float)
-        alive = np.ones(len(pdf), bool)
-        for s in range(0, max(len(pdf), 1), step):
-            idx = np.arange(s, min(s + window, len(pdf)))
-            for a in range(len(idx)):
-                i = idx[a]
-                if not alive[i]:
-                    continue
-                rest = idx[a + 1 :][alive[idx[a + 1 :]]]
-                if not len(rest):
-                    continue
-                ok = ~np.isnan(g[i]) & ~np.isnan(g[rest])
-                n = ok.sum(1)
-                x, y = np.where(ok, g[i], 0), np.where(ok, g[rest], 0)
-                sx, sy = x.sum(1), y.sum(1)
-                cov, vx, vy = n * (x * y).sum(1) - sx * sy, n * (x * x).sum(1) - sx * sx, n * (y * y).sum(1) - sy * sy
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    c = cov * cov / (vx * vy)
-                alive[rest[np.nan_to_num(c) > r2]] = False
-        own = pdf["_n"] // block == key[1]
-        return pdf.loc[alive & own, ["chr", "pos"]]
+        n = pdf["_n"].to_numpy()
+        g = np.array([[np.nan if v is None else v for v in x] for x in pdf["gts"]], float).reshape(len(pdf), -1)
+        known = (~np.isnan(g)).astype(float)
+        x = np.nan_to_num(g)
+        square = x * x
+        dot = lambda a, b: np.einsum("ij,ij->i", a, b)
+        linked = np.zeros((len(pdf), max(window - 1, 1)), bool)
+        for d in range(1, min(window, len(pdf))):
+            a, b = slice(None, -d), slice(d, None)
+            both, sx, sy = dot(known[a], known[b]), dot(x[a], known[b]), dot(known[a], x[b])
+            cov = both * dot(x[a], x[b]) - sx * sy
+            vx, vy = both * dot(square[a], known[b]) - sx * sx, both * dot(known[a], square[b]) - sy * sy
+            with np.errstate(divide="ignore", invalid="ignore"):
+                high = np.nan_to_num(cov * cov / (vx * vy)) > r2
+            linked[d:, d - 1] = high & (n[b] < n[a] // step * step + window)
+        own = n // block == key[1]
+        out = pdf.loc[own, ["chr", "pos", "_n"]]
+        return out.assign(_before=[r.tobytes() for r in np.packbits(linked[own], axis=1, bitorder="little")])
+
+    def walk(batches):
+        import pyarrow as pa
+
+        at, kept, full = None, 0, (1 << window) - 1
+        for batch in batches:
+            stays = []
+            for c, before in zip(batch.column("chr").to_pylist(), batch.column("_before").to_pylist()):
+                if c != at:
+                    at, kept = c, 0
+                stay = not int.from_bytes(before, "little") & kept
+                kept = (kept << 1 | stay) & full
+                stays.append(stay)
+            yield batch.select(["chr", "pos"]).filter(pa.array(stays, pa.bool_()))
 
     kinds = {f.name: f.dataType.simpleString() for f in genotypes.schema}
-    return tiled.groupBy("chr", "_c").applyInPandas(prune, f"chr {kinds['chr']}, pos {kinds['pos']}")
+    masks = tiled.groupBy("chr", "_c").applyInPandas(links, f"chr {kinds['chr']}, pos {kinds['pos']}, _n bigint, _before binary")
+    return masks.repartition("chr").sortWithinPartitions("chr", "_n").mapInArrow(walk, f"chr {kinds['chr']}, pos {kinds['pos']}")

@@ -266,6 +266,30 @@ def test_prune_linked(spark):
     assert haplo.prune_linked(df.limit(0)).count() == 0
 
 
+def pruned(g, window, step, r2):
+    """Indices left by the greedy rule over all sites at once, window after window."""
+    alive = [True] * len(g)
+    for s in range(0, len(g), step):
+        for i in range(s, min(s + window, len(g))):
+            for j in range(i + 1, min(s + window, len(g))) if alive[i] else ():
+                if alive[j]:
+                    both = [(x, y) for x, y in zip(g[i], g[j]) if x is not None and y is not None]
+                    n, sx, sy = len(both), sum(x for x, _ in both), sum(y for _, y in both)
+                    cov = n * sum(x * y for x, y in both) - sx * sy
+                    v = (n * sum(x * x for x, _ in both) - sx * sx) * (n * sum(y * y for _, y in both) - sy * sy)
+                    alive[j] = not (v and cov * cov / v > r2)
+    return {i for i, x in enumerate(alive) if x}
+
+
+@pytest.mark.parametrize("window, step, sites", [(10, 1, 2600), (7, 3, 3500)])
+def test_prune_linked_over_chunks(spark, window, step, sites):
+    rng = random.Random(window)
+    g = {c: [[rng.choice([0, 1, 2, None]) for _ in range(8)] for _ in range(sites)] for c in ("chr1", "chr2")}
+    df = spark.createDataFrame([(c, i + 1, x) for c in g for i, x in enumerate(g[c])], "chr string, pos int, gts array<int>").repartition(5)
+    kept = {(r.chr, r.pos - 1) for r in haplo.prune_linked(df, window, step, 0.2).collect()}
+    assert kept == {(c, i) for c in g for i in pruned(g[c], window, step, 0.2)}
+
+
 def test_genotypes_and_p_values(spark):
     f = ["0/1", "1|1", "./.", ".", "0|0", "1/2", "x/1", "0", "2|0:9"]
     assert [r[0] for r in spark.createDataFrame([(x,) for x in f], "f string").select(popgen.genotype(F.col("f"))).collect()] == [1, 2, None, None, 0, 2, None, None, 1]
