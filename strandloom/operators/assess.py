@@ -55,12 +55,12 @@ def type_counts(df: DataFrame) -> DataFrame:
 
 
 def greedy_families(df: DataFrame, key: str, seq: str, k: int = 11, min_shared: float = 0.8) -> DataFrame:
-    """Families of similar sequences: those linked by shared k-mers (see shared_kmer_edges);
+    """Families of similar sequences: those linked by shared k-mers (see linked_families);
     the representative is the longest, ties by key. Linked groups stand in for a greedy
     clustering and are not identical to it. (key, family_id, representative)."""
-    from .kmers import dimer_groups
+    from .kmers import linked_families
 
-    g = dimer_groups(df, key, seq, k, min_shared)
+    g = linked_families(df, key, seq, k, min_shared)
     lengths = df.filter(F.col(seq).isNotNull()).select(key, F.length(seq).alias("_n"))
     rep = g.join(lengths, key).groupBy("group_id").agg(F.min(F.struct((-F.col("_n")).alias("n"), key))[key].alias("representative"))
     return g.join(rep, "group_id").select(key, F.col("group_id").alias("family_id"), "representative")

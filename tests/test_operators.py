@@ -218,6 +218,29 @@ def test_dimer_groups(spark):
     assert kmers.dimer_groups(df.limit(0), "id", "seq").count() == 0
 
 
+def test_families_of_many_copies(spark):
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    base, made = letters(80), [letters(80) for _ in range(10)] + ["", "ACGT", "ACGTN" * 10]
+    made += [base] * 130 + [base[:40] + letters(1) + base[41:] + letters(i % 3) for i in range(20)]
+    for _ in range(120):  # near copies, one or two letters changed: some are linked over others only
+        x = list(base)
+        for i in rng.sample(range(80), rng.choice([1, 2])):
+            x[i] = rng.choice("ACGT")
+        made.append("".join(x))
+    rng.shuffle(made)
+    comp = lambda m: min(m, m.translate(str.maketrans("ACGT", "TGCA"))[::-1])
+    ks = [{comp(s[i : i + 11]) for i in range(len(s) - 10) if "N" not in s[i : i + 11]} for s in made]
+    want = list(range(len(made)))
+    for i, j in itertools.combinations(range(len(made)), 2):
+        if min(len(ks[i]), len(ks[j])) and len(ks[i] & ks[j]) >= 0.8 * min(len(ks[i]), len(ks[j])) and want[i] != want[j]:
+            lo, hi = sorted((want[i], want[j]))
+            want = [lo if x == hi else x for x in want]
+    df = spark.createDataFrame(list(enumerate(made)), "id int, seq string")
+    got = dict(rows(assess.greedy_families(df, "id", "seq"), "id", "family_id"))
+    assert max(want.count(x) for x in want) > 200 and got == dict(enumerate(want))
+
+
 def test_connected_long_chain(spark):
     n = 300
     order = list(range(n))
