@@ -741,6 +741,51 @@ def p21_apply_variant(spark, d):
     return haplo.apply_variants(r, v).select("region_id", "hap", "allele")
 
 
+# ---- cutting on chromosomes of whole length, at the SNPs' own places ----
+
+
+def _whole(sql: str) -> str:
+    return sql.replace("@v_gsnps@", "@v_wsnps@").replace("@v_genome@", "@v_wgenome@")
+
+
+@query("p4_probe_cut_whole", _whole(f"select probe_id, reject, case when reject is null then raw end as seq from (select {_PID} as probe_id, {_REJECT} as reject, raw from ({_CUT}))"))
+def p4_probe_cut_whole(spark, d):
+    return probes.cut_probes(view(spark, d, "v_wsnps"), view(spark, d, "v_wgenome")).select("probe_id", "reject", "seq")
+
+
+@query(
+    "p5_third_base_whole",
+    _whole(f"""with c as (select *, {_PID} as probe_id from ({_CUT}) where {_REJECT} is null)
+    select probe_id, substr(raw, 1, 40) || {_pick_sql("translate('ACGT', ref || alt, '')", 'probe_id')} || substr(raw, 42) as seq from c"""),
+)
+def p5_third_base_whole(spark, d):
+    return probes.cut_probes(view(spark, d, "v_wsnps"), view(spark, d, "v_wgenome"), replace_snp=True).filter("reject is null").select("probe_id", "seq")
+
+
+@query("p10_flank_clip_whole", "select chr, pos, ref, alt, substr(g.seq, cast(greatest(pos - 40, 1) as int), cast(pos - greatest(pos - 40, 1) as int)) || ref || substr(g.seq, cast(pos + 1 as int), 40) as seq from @v_wsnps@ s join @v_wgenome@ g using (chr) where pos <= length(g.seq)")
+def p10_flank_clip_whole(spark, d):
+    return probes.flanked(view(spark, d, "v_wsnps"), view(spark, d, "v_wgenome"), clip=True).select("chr", "pos", "ref", "alt", "seq")
+
+
+@query("p11_flank_full_whole", "select chr, pos, ref, alt, substr(g.seq, cast(pos - 40 as int), 40) || ref || substr(g.seq, cast(pos + 1 as int), 40) as seq from @v_wsnps@ s join @v_wgenome@ g using (chr) where pos > 40 and pos + 40 <= length(g.seq)")
+def p11_flank_full_whole(spark, d):
+    return probes.flanked(view(spark, d, "v_wsnps"), view(spark, d, "v_wgenome")).select("chr", "pos", "ref", "alt", "seq")
+
+
+@query("s6_region_fetch_whole", "select name, b.chr, case when strand = '-' then reverse(translate(substr(g.seq, cast(start + 1 as int), cast(@end@ - start as int)), 'ACGT', 'TGCA')) else substr(g.seq, cast(start + 1 as int), cast(@end@ - start as int)) end as seq from @v_bed@ b join @v_wgenome@ g on g.chr = b.chr where @end@ <= length(g.seq)")
+def s6_region_fetch_whole(spark, d):
+    return intervals.region_sequences(view(spark, d, "v_bed"), view(spark, d, "v_wgenome")).select("name", "chr", "seq")
+
+
+@query("p21_apply_variants_whole")
+def p21_apply_variants_whole(spark, d):
+    """All variants of each of two haplotypes, put into their regions."""
+    r = intervals.region_sequences(view(spark, d, "v_bed"), view(spark, d, "v_wgenome"), stranded=False).withColumnRenamed("name", "region_id")
+    at = intervals.features_at(view(spark, d, "v_wsnps"), r.select("chr", "start", "end", "region_id"), base="one_based")
+    v = at.select("region_id", F.lit("s").alias("sample"), (F.col("pos") % 2).alias("hap"), "pos", "ref", "alt")
+    return haplo.apply_variants(r, v).select("region_id", "hap", "allele")
+
+
 # ---- population statistics ----
 
 _PAIRS = "select a.sample as s1, b.sample as s2, cast(coalesce(sum(abs(a.gt - b.gt)), 0) as bigint) as diff, count(a.gt + b.gt) as n_sites from {0} a join {0} b on a.chr = b.chr and a.pos = b.pos and a.sample < b.sample group by all"

@@ -34,6 +34,14 @@ VIEWS: dict[str, str | tuple[str, str]] = {
     # SNPs on that genome: two of three agree with its base, some lie near its ends, some on no chromosome of it
     "v_gsnps": """select distinct s.chr, p as pos, case when p % 3 > 0 then coalesce(substr(g.seq, cast(p as int), 1), ref) else ref end as ref, alt, type from (
         select case when pos % 97 = 0 then 'chrUn' else chr end as chr, pos % 20000 + 1 as p, ref, alt, type from @v_sites@) as s left join @v_genome@ as g on g.chr = s.chr""",
+    # the same generator up to each chromosome's length and the last region's end, and all SNPs at their own places on it
+    "v_wlens": "select c.chr, cast(greatest(len, coalesce(last, 0)) as bigint) as len from @v_chroms@ as c left join (select chr, max(@end@) as last from @v_bed@ group by chr) as b on b.chr = c.chr",
+    "v_wgenome": (
+        "select chr, array_join(transform(sequence(0, (len - 1) div 32), i -> translate(md5(chr || ':' || cast(i as string)), '0123456789abcdef', 'ACGTACGTACGTACGT')), '') as seq from @v_wlens@",
+        "select chr, array_to_string(list_transform(range(0, (len - 1) // 32 + 1), lambda i: translate(md5(chr || ':' || cast(i as string)), '0123456789abcdef', 'ACGTACGTACGTACGT')), '') as seq from @v_wlens@",
+    ),
+    "v_wsnps": """select distinct chr, pos, case when pos % 3 > 0 and chr <> 'chrUn' then translate(substr(md5(chr || ':' || cast((pos - 1) @div@ 32 as string)), cast((pos - 1) % 32 + 1 as int), 1), '0123456789abcdef', 'ACGTACGTACGTACGT') else ref end as ref, alt, type from (
+        select case when pos % 97 = 0 then 'chrUn' else chr end as chr, pos, ref, alt, type from @v_sites@) as s""",
     "v_gt": (
         "select chr, pos, sample, cast(nullif((instr('0123456789abcdef', substr(md5(chr || ':' || cast(pos as string) || sample), 1, 1)) - 1) % 4, 3) as int) as gt from @v_sites@ lateral view explode(array('s00', 's01', 's02', 's03', 's04', 's05', 's06', 's07', 's08', 's09', 's10', 's11')) as sample",
         "select chr, pos, sample, cast(nullif((instr('0123456789abcdef', substr(md5(chr || ':' || cast(pos as string) || sample), 1, 1)) - 1) % 4, 3) as int) as gt from @v_sites@, unnest(['s00', 's01', 's02', 's03', 's04', 's05', 's06', 's07', 's08', 's09', 's10', 's11']) as t(sample)",
