@@ -301,6 +301,16 @@ def test_mail_text_is_read_plainly():
     assert all(len(x) == mailtext.WINDOW for x in seen) and len({i for x in seen for i in x}) == 100
 
 
+def test_latin_1_block_is_read_to_its_end():
+    import base64
+
+    text = "The meeting was moved to the next week because of the weather. " * 6
+    block = lambda raw: base64.b64encode(raw).decode()
+    assert "voilà, and this is the end" in mailtext.plain(block((text + "voilà, and this is the end").encode("latin-1")))
+    cut = mailtext.plain(block((text + "voilà").encode()[:-1]))
+    assert "voil" in cut and "voilã" not in cut
+
+
 def test_gradients():
     net = gru.Network(["a", "bad", "dog"], 1)
     for k in net.w:
