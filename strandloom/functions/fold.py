@@ -73,7 +73,7 @@ def hairpin_stem(seqs: list[str], stack: float = 1.5, min_stem: int = 3, min_loo
         run = np.zeros((rows, len(i)))
         size = np.zeros((rows, len(i)), np.int32)
         live = np.ones((rows, len(i)), bool)
-        for s in range(min(12, (m - gap) // 2 + 1)):
+        for s in range((m - gap) // 2 + 1):
             ok = (i - s >= 0) & (j + s < m)
             x = np.where(ok, a[:, np.maximum(i - s, 0)], 9)
             y = np.where(ok, a[:, np.minimum(j + s, m - 1)], 9)

@@ -116,6 +116,11 @@ def test_hairpin_alignment(spark):
     assert got == [py_align(x) for x in s] + [None]
 
 
+def test_hairpin_stem_of_any_length():
+    for pairs in (12, 13, 30):
+        assert fold.hairpin_stem(["A" * pairs + "CCCC" + "T" * pairs])[0] == round(1.5 * (pairs - 1) - 1.4 * math.log(4), 2)
+
+
 def test_intervals(spark):
     rng = random.Random(2)
     bed = [(f"chr{rng.randint(1, 2)}", a := rng.randint(0, 50_000), a + rng.randint(1, 15_000), f"n{i}") for i in range(30)] + [("chr1", 10, 10, "empty"), (None, 1, 2, "null"), ("chr1", None, 5, "open")]
