@@ -903,6 +903,16 @@ def x3_tm(spark, d):
     return p.select("id", F.round(thermo.tm_nn(F.col("seq")), 6).alias("tm"))
 
 
+@query(
+    "x3_tm_all",
+    f"""select id, case when length(seq) >= 14 then round(100.0::double * h / (s / 10.0::double + 0.368::double * (length(seq) - 1) * ln(0.05::double) + 1.987::double * ln(2.5e-7::double)) - 273.15::double, 6)
+    when regexp_full_match(seq, '[ACGT]+') then 2.0::double * length(seq) + 2 * length(regexp_replace(seq, '[AT]', '', 'g')) end as tm from ({_THERMO})""",
+)
+def x3_tm_all(spark, d):
+    """Of all probes, short ones by the Wallace rule."""
+    return view(spark, d, "v_probes").select("id", F.round(thermo.tm_nn(F.col("seq")), 6).alias("tm"))
+
+
 @query("x4_tm_simple", "select id, case when n > 0 then 2.0::double * n + 2 * gc end as wallace, case when n > 0 then round(81.5::double + 16.6::double * log10(0.05::double) + 41.0::double * gc / n - 500.0::double / length(seq), 6) end as tm_gc from (select *, length(seq) - length(regexp_replace(seq, '[GC]', '', 'g')) as gc, length(seq) - length(regexp_replace(seq, '[ACGT]', '', 'g')) as n from @v_probes@)")
 def x4_tm_simple(spark, d):
     s = F.col("seq")

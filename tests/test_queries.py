@@ -4,6 +4,7 @@ import pytest
 from conftest import DATA, same_rows
 from pyspark.sql import functions as F
 
+from strandloom.functions import thermo
 from strandloom.plans import registry
 from strandloom.plans.views import ctes, view
 
@@ -45,6 +46,13 @@ def test_all_variants_are_applied(spark, duck):
     assert got == want and most > 1
 
 
+def test_tm_of_short_probes(spark, duck):
+    every = registry.QUERIES["x3_tm_all"](spark, str(DATA))
+    assert every.count() == view(spark, str(DATA), "v_probes").count()
+    short = spark.createDataFrame([("ACGTA",), ("",), ("ANA",), ("acg",), (None,)], "s string").select(thermo.tm_nn(F.col("s"))).collect()
+    assert [r[0] for r in short] == [14.0, None, None, 10.0, None]
+
+
 def test_entry(spark, duck):
     import __spark_entry__ as entry
 
