@@ -1,9 +1,9 @@
-"""Near-duplicate sets (of shingles, of members) with a MinHash LSH forest.
+"""Near-duplicate sets (of shingles, of members) with MinHash banding.
 
-Method: every distinct set has one MinHash signature; each of ``trees`` prefix
-tries is keyed by ``max_depth`` signature values.  Matched prefixes are shortened
-from ``max_depth`` until the probability that two sets at the threshold meet in
-some trie reaches the target recall; pairs that meet there are verified exactly.
+Method: fixed-depth banding stands in for an LSH forest.  Every distinct set has
+``trees`` bucket keys, each of the same number of signature values: the most, up to
+``max_depth``, with which two sets at the threshold meet in some bucket with the target
+recall, computed from the threshold; pairs that meet there are verified exactly.
 
 Skew: equal sets are one class before anything is paired.  A prefix that is
 shared by more than ``hot`` classes isn't paired inside; its classes go through
