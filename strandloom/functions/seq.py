@@ -63,8 +63,11 @@ def mutation_type(ref: Column, alt: Column) -> Column:
 
 def kmers(seq: Column, k: int) -> Column:
     """All k-mers in order, with repeats; empty for shorter sequences."""
-    at = F.sequence(F.lit(1), F.greatest(F.length(seq) - (k - 1), F.lit(1)))
-    return F.when(F.length(seq) >= k, F.transform(at, lambda i: F.substr(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    def cut(s):
+        at = F.sequence(F.lit(1), F.greatest(F.length(s) - (k - 1), F.lit(1)))
+        return F.when(F.length(s) >= k, F.transform(at, lambda i: F.substr(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+
+    return let(seq, cut)
 
 
 def canonical(kmer: Column) -> Column:

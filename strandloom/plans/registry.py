@@ -66,13 +66,13 @@ def p4_found(spark, d):
 # ---- record expressions ----
 
 
-@query("p1_tstv", "select chr, pos, ref, alt, case when ref || alt in ('AG', 'GA', 'CT', 'TC') then 'ts' else 'tv' end as type from (select distinct chr, pos, ref, alt from @v_snps@) as s")
-def p1_tstv(spark, d):
+@query("rec1_tstv", "select chr, pos, ref, alt, case when ref || alt in ('AG', 'GA', 'CT', 'TC') then 'ts' else 'tv' end as type from (select distinct chr, pos, ref, alt from @v_snps@) as s")
+def rec1_tstv(spark, d):
     return variants.with_type(view(spark, d, "v_snps").select("chr", "pos", "ref", "alt").distinct())
 
 
-@query("p2_coords", "select chr, pos, ref, alt, pos - 41 as start, pos + 40 as stop, cast(40 as bigint) as off, pos - 40 as start80, pos + 40 as stop80 from @v_sites@")
-def p2_coords(spark, d):
+@query("rec2_coords", "select chr, pos, ref, alt, pos - 41 as start, pos + 40 as stop, cast(40 as bigint) as off, pos - 40 as start80, pos + 40 as stop80 from @v_sites@")
+def rec2_coords(spark, d):
     v = view(spark, d, "v_sites")
     (s, e, o), (s80, e80, _) = probes.probe_window(F.col("pos"), 81), probes.probe_window(F.col("pos"), 80)
     return v.select("chr", "pos", "ref", "alt", s.alias("start"), e.alias("stop"), o.alias("off"), s80.alias("start80"), e80.alias("stop80"))
@@ -83,8 +83,8 @@ _REJECT = "case when g is null then 'no_chr' when a < 0 then 'before_start' when
 _PID = "chr || ':' || cast(a + 1 as string) || '-' || cast(z as string) || '_' || cast(pos as string) || '_' || type || '_' || ref || '_' || alt"
 
 
-@query("p4_probe_cut", f"select probe_id, reject, case when reject is null then raw end as seq from (select {_PID} as probe_id, {_REJECT} as reject, raw from ({_CUT}))")
-def p4_probe_cut(spark, d):
+@query("rec4_probe_cut", f"select probe_id, reject, case when reject is null then raw end as seq from (select {_PID} as probe_id, {_REJECT} as reject, raw from ({_CUT}))")
+def rec4_probe_cut(spark, d):
     return probes.cut_probes(view(spark, d, "v_gsnps"), view(spark, d, "v_genome")).select("probe_id", "reject", "seq")
 
 
@@ -95,16 +95,16 @@ def _pick_sql(choices: str, key: str) -> str:
 
 
 @query(
-    "p5_third_base",
+    "rec5_third_base",
     f"""with c as (select *, {_PID} as probe_id from ({_CUT}) where {_REJECT} is null)
     select probe_id, substr(raw, 1, 40) || {_pick_sql("translate('ACGT', ref || alt, '')", 'probe_id')} || substr(raw, 42) as seq from c""",
 )
-def p5_third_base(spark, d):
+def rec5_third_base(spark, d):
     return probes.cut_probes(view(spark, d, "v_gsnps"), view(spark, d, "v_genome"), replace_snp=True).filter("reject is null").select("probe_id", "seq")
 
 
-@query("p6_probe_id", f"select {_PID} as probe_id from (select *, pos - 41 as a, pos + 40 as z from @v_sites@)")
-def p6_probe_id(spark, d):
+@query("rec6_probe_id", f"select {_PID} as probe_id from (select *, pos - 41 as a, pos + 40 as z from @v_sites@)")
+def rec6_probe_id(spark, d):
     start, end, _ = probes.probe_window(F.col("pos"), 81)
     return view(spark, d, "v_sites").select(probes.probe_id(start, end).alias("probe_id"))
 
@@ -112,84 +112,84 @@ def p6_probe_id(spark, d):
 _IDRX = r"^(.+):(\d+)-(\d+)_(\d+)_([a-z]+)_([A-Z]+)_([A-Z]+)$"
 
 
-@query("p7_parse_id", f"select probe_id, regexp_extract(probe_id, '{_IDRX}', 1) as chr, " + ", ".join(f"cast(regexp_extract(probe_id, '{_IDRX}', {i}) as bigint) as {n}" for i, n in ((2, "start1"), (3, "end1"), (4, "pos"))) + ", " + ", ".join(f"regexp_extract(probe_id, '{_IDRX}', {i}) as {n}" for i, n in ((5, "type"), (6, "ref"), (7, "alt"))) + f" from (select distinct probe_id from probe) where regexp_matches(probe_id, '{_IDRX}')")
-def p7_parse_id(spark, d):
+@query("rec7_parse_id", f"select probe_id, regexp_extract(probe_id, '{_IDRX}', 1) as chr, " + ", ".join(f"cast(regexp_extract(probe_id, '{_IDRX}', {i}) as bigint) as {n}" for i, n in ((2, "start1"), (3, "end1"), (4, "pos"))) + ", " + ", ".join(f"regexp_extract(probe_id, '{_IDRX}', {i}) as {n}" for i, n in ((5, "type"), (6, "ref"), (7, "alt"))) + f" from (select distinct probe_id from probe) where regexp_matches(probe_id, '{_IDRX}')")
+def rec7_parse_id(spark, d):
     return probes.parse_probe_id(view(spark, d, "probe").select("probe_id").distinct(), "probe_id")
 
 
-@query("p8_tiling", f"select chr, pos, tag, a as start, z as stop, {_PID} || '_' || tag as probe_id from (select *, pos - 41 + shift as a, pos + 40 + shift as z from @v_sites@, (values ('C', 0), ('L', 15), ('R', -15)) t(tag, shift))")
-def p8_tiling(spark, d):
+@query("rec8_tiling", f"select chr, pos, tag, a as start, z as stop, {_PID} || '_' || tag as probe_id from (select *, pos - 41 + shift as a, pos + 40 + shift as z from @v_sites@, (values ('C', 0), ('L', 15), ('R', -15)) t(tag, shift))")
+def rec8_tiling(spark, d):
     return probes.tile_shifts(view(spark, d, "v_sites")).select("chr", "pos", "tag", "start", F.col("end").alias("stop"), "probe_id")
 
 
 @query(
-    "p12_positions",
+    "rec12_positions",
     f"""select chr, pos, place, allele, case when allele = 'REF' then ref else alt end as base, a as start, z as stop, {_PID} || '_' || place || '_' || allele as probe_id
     from (select *, pos - 41 + shift as a, pos + 40 + shift as z from @v_sites@, (values ('C', 0), ('L1', 20), ('R2', -20), ('L3', 7)) t(place, shift), (values ('REF'), ('ALT')) u(allele))""",
 )
-def p12_positions(spark, d):
+def rec12_positions(spark, d):
     return probes.tile_alleles(view(spark, d, "v_sites"), "center,left,right,7").withColumnRenamed("end", "stop")
 
 
-@query("p13_adapter", "select id, 'ACGTN' || seq || 'TTT' as seq from @v_probes@")
-def p13_adapter(spark, d):
+@query("rec13_adapter", "select id, 'ACGTN' || seq || 'TTT' as seq from @v_probes@")
+def rec13_adapter(spark, d):
     return view(spark, d, "v_probes").select("id", probes.add_adapters(F.col("seq"), "ACGTN", "TTT").alias("seq"))
 
 
-@query("p14_rename", "select id, 'panel_' || case when n < 10 ** greatest(4, length(cast(1 + (select count(*) from @v_probes@) as string))) then lpad(cast(n as string), cast(greatest(4, length(cast(1 + (select count(*) from @v_probes@) as string))) as int), '0') else cast(n as string) end as new_id from (select id, row_number() over (order by id, seq) as n from @v_probes@)")
-def p14_rename(spark, d):
+@query("rec14_rename", "select id, 'panel_' || case when n < 10 ** greatest(4, length(cast(1 + (select count(*) from @v_probes@) as string))) then lpad(cast(n as string), cast(greatest(4, length(cast(1 + (select count(*) from @v_probes@) as string))) as int), '0') else cast(n as string) end as new_id from (select id, row_number() over (order by id, seq) as n from @v_probes@)")
+def rec14_rename(spark, d):
     return probes.rename_by_prefix(view(spark, d, "v_probes"), ["id", "seq"], "panel").select("id", "new_id")
 
 
 _MAP = "select trim(removed_id) as old_id, trim(kept_id) as new_id from @out_merge@ where removed_id is not null and kept_id is not null"
 
 
-@query("p15_rename_map", f"select p.id, p.seq, m.old_id is not null as mapped, coalesce(m.new_id, p.id) as new_id from @v_probes@ p left join (select old_id, min(new_id) as new_id from ({_MAP}) group by old_id) m on m.old_id = p.id")
-def p15_rename_map(spark, d):
+@query("rec15_rename_map", f"select p.id, p.seq, m.old_id is not null as mapped, coalesce(m.new_id, p.id) as new_id from @v_probes@ p left join (select old_id, min(new_id) as new_id from ({_MAP}) group by old_id) m on m.old_id = p.id")
+def rec15_rename_map(spark, d):
     m = view(spark, d, "out_merge").filter("removed_id is not null and kept_id is not null").select(F.trim("removed_id").alias("old_id"), F.trim("kept_id").alias("new_id"))
     return probes.rename_by_map(view(spark, d, "v_probes"), m, "id").select("id", "seq", "mapped", "new_id")
 
 
-@query("p16_haplotype_id", r"select id, case when regexp_matches(id, '^(.*)_([0-9]+)$') then regexp_extract(id, '^(.*)_([0-9]+)$', 1) else id end as gene, case when regexp_matches(id, '^(.*)_([0-9]+)$') then regexp_extract(id, '^(.*)_([0-9]+)$', 2) end as allele from (select distinct probe_id as id from probe where probe_id is not null)")
-def p16_haplotype_id(spark, d):
+@query("rec16_haplotype_id", r"select id, case when regexp_matches(id, '^(.*)_([0-9]+)$') then regexp_extract(id, '^(.*)_([0-9]+)$', 1) else id end as gene, case when regexp_matches(id, '^(.*)_([0-9]+)$') then regexp_extract(id, '^(.*)_([0-9]+)$', 2) end as allele from (select distinct probe_id as id from probe where probe_id is not null)")
+def rec16_haplotype_id(spark, d):
     ids = view(spark, d, "probe").select(F.col("probe_id").alias("id")).filter("id is not null").distinct()
     gene, allele = probes.haplotype_id(F.col("id"))
     return ids.select("id", gene.alias("gene"), allele.alias("allele"))
 
 
-@query("p17_snp_to_bed", "select chr, pos - 1 as start, pos as stop from @v_sites@")
-def p17_snp_to_bed(spark, d):
+@query("rec17_snp_to_bed", "select chr, pos - 1 as start, pos as stop from @v_sites@")
+def rec17_snp_to_bed(spark, d):
     return probes.snp_to_bed(view(spark, d, "v_sites")).withColumnRenamed("end", "stop")
 
 
-@query("p18_fasta_to_tsv", "select id, seq, length(seq) as length, 100.0::double * (length(seq) - length(regexp_replace(seq, '[GC]', '', 'g'))) / nullif(length(seq) - length(regexp_replace(seq, '[ACGT]', '', 'g')), 0) as gc from @v_probes@")
-def p18_fasta_to_tsv(spark, d):
+@query("rec18_fasta_to_tsv", "select id, seq, length(seq) as length, 100.0::double * (length(seq) - length(regexp_replace(seq, '[GC]', '', 'g'))) / nullif(length(seq) - length(regexp_replace(seq, '[ACGT]', '', 'g')), 0) as gc from @v_probes@")
+def rec18_fasta_to_tsv(spark, d):
     return view(spark, d, "v_probes").select("id", "seq", F.length("seq").cast("long").alias("length"), seq.gc_percent(F.col("seq")).alias("gc"))
 
 
-@query("p19_window", "select chr, pos, pos // 10000 as win from @v_sites@")
-def p19_window(spark, d):
+@query("rec19_window", "select chr, pos, pos // 10000 as win from @v_sites@")
+def rec19_window(spark, d):
     return select.windows(view(spark, d, "v_sites"), 10_000).select("chr", "pos", "win")
 
 
-@query("p10_flank_clip", "select chr, pos, ref, alt, substr(g.seq, cast(greatest(pos - 40, 1) as int), cast(pos - greatest(pos - 40, 1) as int)) || ref || substr(g.seq, cast(pos + 1 as int), 40) as seq from @v_gsnps@ s join @v_genome@ g using (chr) where pos <= length(g.seq)")
-def p10_flank_clip(spark, d):
+@query("rec10_flank_clip", "select chr, pos, ref, alt, substr(g.seq, cast(greatest(pos - 40, 1) as int), cast(pos - greatest(pos - 40, 1) as int)) || ref || substr(g.seq, cast(pos + 1 as int), 40) as seq from @v_gsnps@ s join @v_genome@ g using (chr) where pos <= length(g.seq)")
+def rec10_flank_clip(spark, d):
     return probes.flanked(view(spark, d, "v_gsnps"), view(spark, d, "v_genome"), clip=True).select("chr", "pos", "ref", "alt", "seq")
 
 
-@query("p11_flank_full", "select chr, pos, ref, alt, substr(g.seq, cast(pos - 40 as int), 40) || ref || substr(g.seq, cast(pos + 1 as int), 40) as seq from @v_gsnps@ s join @v_genome@ g using (chr) where pos > 40 and pos + 40 <= length(g.seq)")
-def p11_flank_full(spark, d):
+@query("rec11_flank_full", "select chr, pos, ref, alt, substr(g.seq, cast(pos - 40 as int), 40) || ref || substr(g.seq, cast(pos + 1 as int), 40) as seq from @v_gsnps@ s join @v_genome@ g using (chr) where pos > 40 and pos + 40 <= length(g.seq)")
+def rec11_flank_full(spark, d):
     return probes.flanked(view(spark, d, "v_gsnps"), view(spark, d, "v_genome")).select("chr", "pos", "ref", "alt", "seq")
 
 
-@query("p20_iupac", "select id, length(regexp_replace(seq, '[ACGT]', '', 'g')) as n_other from @v_probes@ where length(regexp_replace(seq, '[ACGT]', '', 'g')) <= 2")
-def p20_iupac(spark, d):
+@query("rec20_iupac", "select id, length(regexp_replace(seq, '[ACGT]', '', 'g')) as n_other from @v_probes@ where length(regexp_replace(seq, '[ACGT]', '', 'g')) <= 2")
+def rec20_iupac(spark, d):
     p = view(spark, d, "v_probes").select("id", seq.ambiguous_count(F.col("seq")).cast("long").alias("n_other"))
     return p.filter("n_other <= 2")
 
 
-@query("p20_iupac_replaced")
-def p20_iupac_replaced(spark, d):
+@query("rec20_iupac_replaced")
+def rec20_iupac_replaced(spark, d):
     """Ambiguity letters replaced; nothing but other unknown letters is left of them."""
     p = view(spark, d, "v_probes")
     return p.select("id", "seq", seq.replace_ambiguous(F.col("seq"), F.col("id")).alias("plain"))
@@ -728,10 +728,10 @@ def a18_haplo_freq(spark, d):
     return haplo.haplotype_frequencies(a)
 
 
-@query("p21_apply_variant", """with r as (select name as region_id, b.chr, start, substr(g.seq, cast(start + 1 as int), cast(@end@ - start as int)) as seq from @v_bed@ b join @v_genome@ g on g.chr = b.chr where @end@ <= length(g.seq)),
+@query("rec21_apply_variant", """with r as (select name as region_id, b.chr, start, substr(g.seq, cast(start + 1 as int), cast(@end@ - start as int)) as seq from @v_bed@ b join @v_genome@ g on g.chr = b.chr where @end@ <= length(g.seq)),
     v as (select region_id, hap, min(pos) as pos, arg_min(ref, (pos, ref, alt)) as ref, arg_min(alt, (pos, ref, alt)) as alt from (select r.region_id, pos % 2 as hap, pos, ref, alt from r join @v_gsnps@ s on s.chr = r.chr and s.pos > r.start and s.pos <= r.start + length(r.seq) and substr(r.seq, cast(pos - r.start as int), 1) = ref) group by region_id, hap)
     select region_id, hap, substr(seq, 1, cast(pos - 1 - start as int)) || alt || substr(seq, cast(pos - start + 1 as int)) as allele from v join r using (region_id)""")
-def p21_apply_variant(spark, d):
+def rec21_apply_variant(spark, d):
     """The first matching variant of each of two haplotypes, put into its region."""
     r = intervals.region_sequences(view(spark, d, "v_bed"), view(spark, d, "v_genome"), stranded=False).withColumnRenamed("name", "region_id")
     at = intervals.features_at(view(spark, d, "v_gsnps"), r.select("chr", "start", "end", "region_id", "seq"), base="one_based")
@@ -748,27 +748,27 @@ def _whole(sql: str) -> str:
     return sql.replace("@v_gsnps@", "@v_wsnps@").replace("@v_genome@", "@v_wgenome@")
 
 
-@query("p4_probe_cut_whole", _whole(f"select probe_id, reject, case when reject is null then raw end as seq from (select {_PID} as probe_id, {_REJECT} as reject, raw from ({_CUT}))"))
-def p4_probe_cut_whole(spark, d):
+@query("rec4_probe_cut_whole", _whole(f"select probe_id, reject, case when reject is null then raw end as seq from (select {_PID} as probe_id, {_REJECT} as reject, raw from ({_CUT}))"))
+def rec4_probe_cut_whole(spark, d):
     return probes.cut_probes(view(spark, d, "v_wsnps"), view(spark, d, "v_wgenome")).select("probe_id", "reject", "seq")
 
 
 @query(
-    "p5_third_base_whole",
+    "rec5_third_base_whole",
     _whole(f"""with c as (select *, {_PID} as probe_id from ({_CUT}) where {_REJECT} is null)
     select probe_id, substr(raw, 1, 40) || {_pick_sql("translate('ACGT', ref || alt, '')", 'probe_id')} || substr(raw, 42) as seq from c"""),
 )
-def p5_third_base_whole(spark, d):
+def rec5_third_base_whole(spark, d):
     return probes.cut_probes(view(spark, d, "v_wsnps"), view(spark, d, "v_wgenome"), replace_snp=True).filter("reject is null").select("probe_id", "seq")
 
 
-@query("p10_flank_clip_whole", "select chr, pos, ref, alt, substr(g.seq, cast(greatest(pos - 40, 1) as int), cast(pos - greatest(pos - 40, 1) as int)) || ref || substr(g.seq, cast(pos + 1 as int), 40) as seq from @v_wsnps@ s join @v_wgenome@ g using (chr) where pos <= length(g.seq)")
-def p10_flank_clip_whole(spark, d):
+@query("rec10_flank_clip_whole", "select chr, pos, ref, alt, substr(g.seq, cast(greatest(pos - 40, 1) as int), cast(pos - greatest(pos - 40, 1) as int)) || ref || substr(g.seq, cast(pos + 1 as int), 40) as seq from @v_wsnps@ s join @v_wgenome@ g using (chr) where pos <= length(g.seq)")
+def rec10_flank_clip_whole(spark, d):
     return probes.flanked(view(spark, d, "v_wsnps"), view(spark, d, "v_wgenome"), clip=True).select("chr", "pos", "ref", "alt", "seq")
 
 
-@query("p11_flank_full_whole", "select chr, pos, ref, alt, substr(g.seq, cast(pos - 40 as int), 40) || ref || substr(g.seq, cast(pos + 1 as int), 40) as seq from @v_wsnps@ s join @v_wgenome@ g using (chr) where pos > 40 and pos + 40 <= length(g.seq)")
-def p11_flank_full_whole(spark, d):
+@query("rec11_flank_full_whole", "select chr, pos, ref, alt, substr(g.seq, cast(pos - 40 as int), 40) || ref || substr(g.seq, cast(pos + 1 as int), 40) as seq from @v_wsnps@ s join @v_wgenome@ g using (chr) where pos > 40 and pos + 40 <= length(g.seq)")
+def rec11_flank_full_whole(spark, d):
     return probes.flanked(view(spark, d, "v_wsnps"), view(spark, d, "v_wgenome")).select("chr", "pos", "ref", "alt", "seq")
 
 
@@ -777,8 +777,8 @@ def s6_region_fetch_whole(spark, d):
     return intervals.region_sequences(view(spark, d, "v_bed"), view(spark, d, "v_wgenome")).select("name", "chr", "seq")
 
 
-@query("p21_apply_variants_whole")
-def p21_apply_variants_whole(spark, d):
+@query("rec21_apply_variants_whole")
+def rec21_apply_variants_whole(spark, d):
     """All variants of each of two haplotypes, put into their regions."""
     r = intervals.region_sequences(view(spark, d, "v_bed"), view(spark, d, "v_wgenome"), stranded=False).withColumnRenamed("name", "region_id")
     at = intervals.features_at(view(spark, d, "v_wsnps"), r.select("chr", "start", "end", "region_id"), base="one_based")

@@ -42,7 +42,7 @@ def test_all_variants_are_applied(spark, duck):
             most = max(most, sum(x != y for x, y in zip(allele, seq)))
             if here:
                 want[name, hap] = "".join(allele)
-    got = {(r.region_id, r.hap): r.allele for r in registry.QUERIES["p21_apply_variants_whole"](spark, str(DATA)).collect()}
+    got = {(r.region_id, r.hap): r.allele for r in registry.QUERIES["rec21_apply_variants_whole"](spark, str(DATA)).collect()}
     assert got == want and most > 1
 
 
