@@ -6,7 +6,9 @@ worker has not met before are concatenated, and a *pair occurrence index* maps
 each mergeable pair to all its positions among them.  Active ranks are applied in
 ascending order to all their positions at once, and only the lists of the pairs
 next to a merge are updated.  A merge can only create pairs of a higher rank, so
-one ascending pass is exact.  Pieces already encoded come from a bounded cache.
+one ascending pass is exact.  Pieces already encoded come from a bounded cache; a
+piece is found by a hash and taken only if its characters are the same, so two pieces
+of one hash never share their ids.
 """
 
 from __future__ import annotations
@@ -24,16 +26,30 @@ from pyspark.sql import functions as F
 from ..plans.runtime import require, ship
 from .arrow import mix, ragged, text_bytes
 
-#: Default vocabulary file (HF tokenizers layout: model.vocab, model.merges).
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
-#: Code points handled at once, and pieces kept in a worker's cache.
-CHUNK, CACHE = 1 << 21, 1 << 20
+#: Vocabulary of the stated problem, and the session setting that names its folder.
+VOCABULARY, FOLDER_SETTING = "byte_bpe_50k.json", "spark.strandloom.tokenizers"
+#: Code points handled at once, pieces kept in a worker's cache, and the longest piece that is kept.
+CHUNK, CACHE, KEPT = 1 << 21, 1 << 20, 256
+#: Characters on both sides of a character that decide whether a piece starts there, and more.
+NEAR = 8
 
 _LETTER, _NUMBER, _SPACE, _OTHER = 0, 1, 2, 3
 #: Contractions that the pre-tokenisation splits off, without their apostrophe (fixed values).
 _CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
+def vocabulary_path(name: str = VOCABULARY, folder: str | None = None) -> str:
+    """The file of a vocabulary: in ``folder`` if given, else where the public package of
+    tokenizer files has it. RuntimeError if it is in neither."""
+    if folder:
+        return f"{folder.rstrip('/')}/{name}"
+    try:
+        import public_tokenizers
+    except ModuleNotFoundError as e:
+        raise RuntimeError(f"name the vocabulary's file, or its folder in {FOLDER_SETTING}") from e
+    return public_tokenizers.path(name)
+
+
 def byte_symbols() -> dict[str, int]:
     """The vocabulary's printable stand-ins for bytes: printable bytes stand for
     themselves, the others for code points from 256 on, in order."""
@@ -109,7 +125,7 @@ def piece_starts(cp: np.ndarray, cls: np.ndarray, fresh: np.ndarray) -> np.ndarr
 
 
 class Encoder:
-    """Encodes code points; keeps a bounded cache of pieces by hash."""
+    """Encodes code points; keeps a bounded cache of pieces."""
 
     def __init__(self, vocabulary: dict[str, np.ndarray]):
         self.single, merges, self.classes = vocabulary["single"], vocabulary["merges"], vocabulary["classes"]
@@ -119,45 +135,72 @@ class Encoder:
         order = np.argsort(merges[:, 0] * self.size + merges[:, 1]) if len(merges) else np.empty(0, np.int64)
         self.pair_keys, self.pair_rank = (merges[:, 0] * self.size + merges[:, 1])[order], order
         self.base = np.uint64(0x9E3779B97F4A7C15)
-        inverse = np.uint64(pow(int(self.base), -1, 1 << 64))
-        self.power = self._powers(self.base)
-        self.unpower = self._powers(inverse)
+        self.power = self.unpower = np.ones(1, np.uint64)
         self.clear()
 
-    @staticmethod
-    def _powers(b: np.uint64) -> np.ndarray:
-        out = np.full(CHUNK + 1, b, np.uint64)
-        out[0] = 1
-        return np.cumprod(out, dtype=np.uint64)
+    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.power) < n:
+            size = max(n, CHUNK + 1)
+            both = []
+            for b in (self.base, np.uint64(pow(int(self.base), -1, 1 << 64))):
+                out = np.full(size, b, np.uint64)
+                out[0] = 1
+                both.append(np.cumprod(out, dtype=np.uint64))
+            self.power, self.unpower = both
+        return self.power, self.unpower
 
     def clear(self) -> None:
         self.slots = 1 << 22
         self.table_hash = np.zeros(self.slots, np.uint64)
         self.table_piece = np.full(self.slots, -1, np.int32)
         self.overflow: dict[int, int] = {}
-        self.flat = np.empty(1 << 16, np.int32)
-        self.offset = np.zeros(1 << 14, np.int64)
+        self.flat, self.letters = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.uint32)
+        self.offset, self.letter_offset = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.pieces = 0
 
-    def encode(self, cp: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, ids per piece, piece starts) of one chunk of at most CHUNK code points."""
-        start = np.flatnonzero(piece_starts(cp, self.classes[cp], fresh))
+    def encode(self, cp: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids per piece) of code points whose pieces start at ``start`` (the first at 0)."""
         end = np.append(start[1:], len(cp))
+        power, unpower = self._powers(len(cp) + 1)
         sums = np.zeros(len(cp) + 1, np.uint64)
-        np.cumsum((cp.astype(np.uint64) + np.uint64(1)) * self.power[: len(cp)], out=sums[1:])
-        h = mix((sums[end] - sums[start]) * self.unpower[start] + (end - start).astype(np.uint64))
-        piece = self._find(h)
-        miss = np.flatnonzero(piece < 0)
+        np.cumsum((cp.astype(np.uint64) + np.uint64(1)) * power[: len(cp)], out=sums[1:])
+        h = mix((sums[end] - sums[start]) * unpower[start] + (end - start).astype(np.uint64))
+        kept = end - start <= KEPT
+        piece = np.where(kept, self._find(h), -1)
+        miss = np.flatnonzero((piece < 0) & kept)
         if len(miss):
             if self.pieces > CACHE:
                 self.clear()
-                miss = np.arange(len(h))
+                miss = np.flatnonzero(kept)
             fresh_h, first = np.unique(h[miss], return_index=True)
             at = miss[first]
             self._learn(fresh_h, cp, start[at], end[at])
             piece[miss] = self._find(h[miss])
+        # long pieces, and those whose hash another piece has in the cache, are merged as they are
+        other = np.flatnonzero(~self._same(piece, cp, start, end))
         lengths = self.offset[piece + 1] - self.offset[piece]
-        return self.flat[ragged(self.offset[piece], lengths)], lengths, start
+        if not len(other):
+            return self.flat[ragged(self.offset[piece], lengths)], lengths
+        size = end[other] - start[other]
+        ids, lengths[other] = self.merge(cp[ragged(start[other], size)], size)
+        out = np.empty(int(lengths.sum()), np.int32)
+        place = np.cumsum(lengths) - lengths
+        cached = np.ones(len(start), bool)
+        cached[other] = False
+        out[ragged(place[other], lengths[other])] = ids
+        out[ragged(place[cached], lengths[cached])] = self.flat[ragged(self.offset[piece[cached]], lengths[cached])]
+        return out, lengths
+
+    def _same(self, piece: np.ndarray, cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether each cached piece (-1: none) has the characters cp[start:end]."""
+        size = end - start
+        same = (piece >= 0) & (self.letter_offset[piece + 1] - self.letter_offset[piece] == size)
+        at = np.flatnonzero(same)
+        if len(at):
+            n = size[at]
+            equal = self.letters[ragged(self.letter_offset[piece[at]], n)] == cp[ragged(start[at], n)]
+            same[at] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+        return same
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         slot = (h & np.uint64(self.slots - 1)).astype(np.int64)
@@ -173,12 +216,10 @@ class Encoder:
         ids, sizes = self.merge(letters, lengths)
         need = self.pieces + len(h) + 1
         if need >= len(self.offset):
-            self.offset = np.concatenate([self.offset, np.zeros(max(need, len(self.offset)), np.int64)])
-        base = int(self.offset[self.pieces])
-        if base + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty(max(len(ids), len(self.flat)), np.int32)])
-        self.flat[base : base + len(ids)] = ids
-        self.offset[self.pieces + 1 : need] = base + np.cumsum(sizes)
+            more = np.zeros(max(need, len(self.offset)), np.int64)
+            self.offset, self.letter_offset = np.concatenate([self.offset, more]), np.concatenate([self.letter_offset, more])
+        self.flat = self._put(self.flat, self.offset, ids, sizes)
+        self.letters = self._put(self.letters, self.letter_offset, letters, lengths)
         number = np.arange(self.pieces, self.pieces + len(h))
         slot = (h & np.uint64(self.slots - 1)).astype(np.int64)
         free = self.table_piece[slot] < 0
@@ -190,6 +231,14 @@ class Encoder:
             self.overflow[int(h[i])] = int(number[i])
         self.pieces += len(h)
 
+    def _put(self, store: np.ndarray, offset: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        base = int(offset[self.pieces])
+        if base + len(values) > len(store):
+            store = np.concatenate([store, np.empty(max(len(values), len(store)), store.dtype)])
+        store[base : base + len(values)] = values
+        offset[self.pieces + 1 : self.pieces + 1 + len(sizes)] = base + np.cumsum(sizes)
+        return store
+
     def merge(self, letters: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """BPE of concatenated pieces by the pair occurrence index: (ids, ids per piece)."""
         data = np.frombuffer(letters.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8"), np.uint8)
@@ -255,25 +304,33 @@ class Encoder:
         return out[alive], sizes
 
 
-def safe_cuts(cp: np.ndarray, cls: np.ndarray, bounds: np.ndarray) -> list[int]:
-    """Chunk ends: text ends, or inside a longer text a blank that follows a word
-    (always a piece start); a stretch without one is cut nowhere."""
-    cuts, at, n = [], 0, len(cp)
-    while at < n:
-        far = at + CHUNK
-        if far >= n:
-            cuts.append(n)
-            break
-        i = int(np.searchsorted(bounds, far, "right")) - 1
-        if bounds[i] > at:
-            at = int(bounds[i])
-        else:
-            inner = np.flatnonzero((cp[at + 1 : far] == 32) & (cls[at : far - 1] != _SPACE))
-            if not len(inner):
-                raise ValueError(f"a text has a stretch of {CHUNK} characters without a blank after a word")
-            at = at + 1 + int(inner[-1])
-        cuts.append(at)
-    return cuts
+def starts_between(cp: np.ndarray, cls: np.ndarray, fresh: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Where pieces start within [lo, hi); what lies around that stretch is looked at too."""
+    a, b = max(lo - NEAR, 0), min(hi + NEAR, len(cp))
+    return lo + np.flatnonzero(piece_starts(cp[a:b], cls[a:b], fresh[a:b])[lo - a : hi - a])
+
+
+def chunk_end(cp: np.ndarray, cls: np.ndarray, fresh: np.ndarray, at: int) -> int:
+    """The last start of a piece (or the end) within CHUNK of ``at``, else the next one after it."""
+    n, far = len(cp), at + CHUNK
+    if far >= n:
+        return n
+    step = 1024
+    hi = far + 1
+    while hi > at + 1:  # backwards, in growing steps
+        lo = max(at + 1, hi - step)
+        found = starts_between(cp, cls, fresh, lo, hi)
+        if len(found):
+            return int(found[-1])
+        hi, step = lo, step * 4
+    lo = far + 1
+    while lo < n:
+        hi = min(n, lo + CHUNK)
+        found = starts_between(cp, cls, fresh, lo, hi)
+        if len(found):
+            return int(found[0])
+        lo = hi
+    return n
 
 
 #: The worker's encoder, kept between tasks, by the vocabulary's content.
@@ -290,30 +347,44 @@ def encode_texts(encoder: Encoder, column: pa.Array) -> pa.Array:
     fresh = np.zeros(len(cp) + 1, bool)
     fresh[bounds[:-1]] = True
     fresh = fresh[:-1]
-    at, parts, counts = 0, [], []
+    at, parts = 0, []
     ids_at = np.zeros(len(cp) + 1, np.int64)
-    for end in safe_cuts(cp, encoder.classes[cp], bounds) if len(cp) else []:
-        f = fresh[at:end].copy()
-        f[0] = True
-        ids, lengths, start = encoder.encode(cp[at:end], f)
+    cls = encoder.classes[cp]
+    while at < len(cp):
+        end = chunk_end(cp, cls, fresh, at)
+        start = starts_between(cp, cls, fresh, at, end)
+        ids, lengths = encoder.encode(cp[at:end], start - at)
         parts.append(ids)
-        ids_at[at + start + 1] = lengths
+        ids_at[start + 1] = lengths
         at = end
     total = np.cumsum(ids_at)
     return pa.ListArray.from_arrays(pa.array(total[bounds].astype(np.int32)), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int32)))
 
 
-def encode_corpus(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, ids: str = "ids") -> DataFrame:
+def slices(column: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows (first, count) of a string column with about ``size`` bytes each; a longer text is a run of its own."""
+    _, off = text_bytes(column)
+    at, n = 0, len(column)
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(off, off[at] + size, "right")) - 1)
+        yield at, to - at
+        at = to
+
+
+def encode_corpus(df: DataFrame, key: str, text: str, vocabulary: str | None = None, ids: str = "ids") -> DataFrame:
     """One row per row of ``df``: ``key`` and ``ids``, the text's token ids without
     special tokens (their strings are ordinary text).
 
     Null and empty texts give the empty list; a null key is kept; repeated rows
-    stay. Texts of any length are encoded whole. Other columns are ignored. The
-    vocabulary (bounded by its file) is sent to the executors once; no shuffle.
+    stay. Texts of any length are encoded whole, also without any blank. Other columns
+    are ignored. ``vocabulary`` is a file; without it, ``VOCABULARY`` is looked for (see
+    ``vocabulary_path``) in the folder that the session names in ``FOLDER_SETTING``. It
+    (bounded by its file) is sent to the executors once; no shuffle.
     """
     require(df, key, text)
     ship(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary))
+    path = vocabulary or vocabulary_path(folder=df.sparkSession.conf.get(FOLDER_SETTING, None))
+    shared = df.sparkSession.sparkContext.broadcast(load_vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _WORKER.get(shared.value["key"])
@@ -321,8 +392,8 @@ def encode_corpus(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULA
             _WORKER.clear()
             encoder = _WORKER[shared.value["key"]] = Encoder(shared.value)
         for b in batches:
-            for i in range(0, b.num_rows, 1000):
-                part = b.slice(i, 1000)
+            for i, n in slices(b.column(1), CHUNK):
+                part = b.slice(i, n)
                 yield pa.RecordBatch.from_arrays([part.column(0), encode_texts(encoder, part.column(1))], [key, ids])
 
     kind = df.schema[key].dataType.simpleString()

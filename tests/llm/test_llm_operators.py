@@ -210,7 +210,7 @@ def test_grams(spark):
 
 def tokenizer():
     tokenizers = pytest.importorskip("tokenizers")
-    t = tokenizers.Tokenizer.from_file(bpe.VOCABULARY)
+    t = tokenizers.Tokenizer.from_file(bpe.vocabulary_path())
     t.encode_special_tokens = True
     return t
 
@@ -221,7 +221,7 @@ HARD = ["don't I'll 'tis  ''s 's\n\n x\t y  \n", "", None, "a" * 5000, "  ", "\n
 def test_bpe_equals_the_public_library():
     t, rng = tokenizer(), random.Random(9)
     texts = HARD + ["".join(rng.choice(" \n\t'sltmdrev'  aé1.,!?-日 ") for _ in range(rng.randint(0, 60))) for _ in range(3000)]
-    enc = bpe.Encoder(bpe.load_vocabulary(bpe.VOCABULARY))
+    enc = bpe.Encoder(bpe.load_vocabulary(bpe.vocabulary_path()))
     want = [x.ids for x in t.encode_batch([s or "" for s in texts], add_special_tokens=False)]
     assert bpe.encode_texts(enc, pa.array(texts)).to_pylist() == want
     enc.pieces = bpe.CACHE + 1  # a full cache starts anew
@@ -231,11 +231,39 @@ def test_bpe_equals_the_public_library():
 def test_bpe_cuts_long_texts(monkeypatch):
     t = tokenizer()
     monkeypatch.setattr(bpe, "CHUNK", 64)
-    enc = bpe.Encoder(bpe.load_vocabulary(bpe.VOCABULARY))
-    texts = ["it's a rather long line of words, isn't it? " * 9, "x", "  two   blanks\n\nhere " * 7]
+    enc = bpe.Encoder(bpe.load_vocabulary(bpe.vocabulary_path()))
+    texts = ["it's a rather long line of words, isn't it? " * 9, "x", "  two   blanks\n\nhere " * 7, " " * 200 + "x" * 300 + "\n" * 100 + "y's" * 90, "'s" * 200]
     assert bpe.encode_texts(enc, pa.array(texts)).to_pylist() == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def thue_morse(n):
+    w = "a"
+    for _ in range(n):
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w
+
+
+@pytest.mark.parametrize("kept", [256, 4096])
+def test_bpe_tells_pieces_of_one_hash_apart(monkeypatch, kept):
+    monkeypatch.setattr(bpe, "KEPT", kept)
+    t, w = tokenizer(), thue_morse(11)
+    other = w.translate(str.maketrans("ab", "ba"))
+    enc = bpe.Encoder(bpe.load_vocabulary(bpe.vocabulary_path()))
+    texts = [w, other, f"{other} {w} of {other} words", w]
+    want = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    assert bpe.encode_texts(enc, pa.array(texts)).to_pylist() == want
+    assert [bpe.encode_texts(enc, pa.array([x])).to_pylist()[0] for x in reversed(texts)] == want[::-1]
+
+
+def test_bpe_takes_a_text_without_any_blank():
+    t, rng = tokenizer(), random.Random(12)
+    long = "".join(rng.choice("acgt") for _ in range(5_000_000))
+    enc = bpe.Encoder(bpe.load_vocabulary(bpe.vocabulary_path()))
+    texts = ["before it", long, "after it"]
+    got = bpe.encode_texts(enc, pa.array(texts)).to_pylist()
+    assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_encode_corpus(spark):
     t = tokenizer()
     df = spark.createDataFrame([(i, s, "x") for i, s in enumerate(HARD)] + [(None, "null key", "x")], "doc_id bigint, text string, ids string")
