@@ -19,8 +19,7 @@ def rows(df, *columns):
 
 
 def py_shared(records, span):
-    best = {}
-    grams = {}
+    best, grams = {}, {}
     for i, s in records:
         for k in range(len(s) - span + 1):
             g = s[k : k + span]
@@ -32,8 +31,8 @@ def py_shared(records, span):
             if len(grams.get(s[k : k + span], ())) > 1:
                 at.update(range(k, k + span))
         if at:
-            best[i] = best.get(i, 0) + len(at)
-    return best
+            best.setdefault(i, set()).update(at)
+    return {i: len(at) for i, at in best.items()}
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -54,6 +53,24 @@ def test_shared_spans(spark, seed):
         spans.shared_spans(df, "id", "seq", 5)
 
 
+def test_shared_spans_of_long_records(spark):
+    rng = random.Random(3)
+    base = "".join(rng.choice("ACGT") for _ in range(1_000_000))
+    other = "".join(rng.choice("ACGT") for _ in range(1_000_000))
+    df = spark.createDataFrame([("a", base), ("b", other[:500_000] + base[1000:1100] + other[500_000:]), ("c", "A" * 200_000), ("d", "A" * 41)], "id string, seq string")
+    assert {r.id: (r.shared_bp, r.spans) for r in spans.shared_spans(df, "id", "seq", 40).collect()} == {"a": (100, 1), "b": (100, 1), "c": (200_000, 1), "d": (41, 1)}
+
+
+def test_packed_spans_are_exact():
+    rng = random.Random(4)
+    for letters, span in ((b"ACGT", 40), (b"ACGT", 33), (b"ACGT", 17), (b"AB", 70), (bytes(range(65, 91)), 16), (b"A", 20)):
+        data = np.frombuffer(bytes(rng.choice(letters[:3]) for _ in range(400)), np.uint8)
+        at = np.arange(400 - span + 1)
+        keys = [tuple(k) for k in spans.pack_spans(data, at, span, letters)]
+        texts = [data[i : i + span].tobytes() for i in at]
+        assert len(set(keys)) == len(set(texts)) == len(set(zip(keys, texts)))
+
+
 def test_compact_windows_cover_every_span():
     rng = np.random.default_rng(3)
     h = rng.integers(0, 20, 300).astype(np.uint64)
