@@ -64,6 +64,10 @@ class Table:
     def df(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
+    def read(self, schema: str) -> DataFrame:
+        """The table with its partition columns, also where nothing was written."""
+        return self.spark.read.schema(schema).parquet(self.path)
+
     def rows(self) -> int:
         return self.df.count()
 
