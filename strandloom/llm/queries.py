@@ -73,15 +73,24 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return union_all([chunks.explode_pieces(x, "pieces") for x in (a, r)]).distinct()
 
 
-def p7_found(spark: SparkSession, d: str) -> DataFrame:
+def _alike(spark: SparkSession, d: str) -> list[tuple[str, str, DataFrame, DataFrame]]:
+    """(kind, id column, members, pairs) of the near-duplicate probes and families."""
     probes = _t(spark, d, "probe").select("probe_id", clean_sequence(F.col("sequence")).alias("seq"))
-    m, p = neardup.similar_pairs(probes, "probe_id", neardup.grams(F.col("seq"), GRAM), PROBE_SIMILARITY)
-    first = neardup.record_pairs(m, p, "probe_id").select(F.lit("probe").alias("kind"), "id_a", "id_b")
     members = split_packed(_t(spark, d, "out_sample_clust").filter("family_id is not null"), "members", ["family_id"], "member", "member_no")
     families = members.groupBy("family_id").agg(F.collect_set("member").alias("members"))
-    m, p = neardup.similar_pairs(families, "family_id", F.col("members"), FAMILY_SIMILARITY, MEMBERS)
-    second = neardup.record_pairs(m, p, "family_id").select(F.lit("family").alias("kind"), "id_a", "id_b")
-    return first.unionByName(second)
+    return [
+        ("probe", "probe_id", *neardup.similar_pairs(probes, "probe_id", F.col("seq"), PROBE_SIMILARITY, gram=GRAM)),
+        ("family", "family_id", *neardup.similar_pairs(families, "family_id", F.col("members"), FAMILY_SIMILARITY, MEMBERS)),
+    ]
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return union_all([neardup.record_pairs(m, p, key).select(F.lit(kind).alias("kind"), "id_a", "id_b") for kind, key, m, p in _alike(spark, d)])
+
+
+def p7_links(spark: SparkSession, d: str) -> DataFrame:
+    """One row per probe and family: its class of equal sets and how many others are alike enough."""
+    return union_all([neardup.record_links(m, p, key).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), "class_id", "links") for kind, key, m, p in _alike(spark, d)])
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -160,7 +169,7 @@ walk as (
 )
 select distinct kind, region_id, label, cast(piece_no as int) as piece_no, cast(s as int) as start_off, cast(e as int) as end_off from walk
 """
-_P7_SQL = rf"""
+_P7_PAIRS = rf"""
 {_MEMBERS_SQL.strip()},
 fam as (select distinct family_id as id, member as item from vals where member <> ''),
 fs as (select id, count(*) as n from fam group by id having count(*) >= {MEMBERS}),
@@ -169,10 +178,19 @@ pg as (select distinct id, unnest(list_transform(range(1, len(seq) - {GRAM} + 2)
 ps as (select id, count(*) as n from pg group by id),
 pp as (select a.id as id_a, b.id as id_b, count(*) as c from pg a join pg b on a.item = b.item and a.id < b.id group by all),
 ff as (select a.id as id_a, b.id as id_b, count(*) as c from (select fam.* from fam semi join fs using (id)) a join (select fam.* from fam semi join fs using (id)) b on a.item = b.item and a.id < b.id group by all)
+"""
+_P7_SQL = rf"""{_P7_PAIRS}
 select 'probe' as kind, id_a, id_b from pp join ps x on x.id = id_a join ps y on y.id = id_b where c >= {PROBE_SIMILARITY} * (x.n + y.n - c) - 1e-9
 union all
 select 'family', id_a, id_b from ff join fs x on x.id = id_a join fs y on y.id = id_b where c >= {FAMILY_SIMILARITY} * (x.n + y.n - c) - 1e-9
 """
+_P7_LINKS_SQL = rf"""{_P7_PAIRS},
+every as ({_P7_SQL[len(_P7_PAIRS):]}),
+ends as (select kind, id_a as id from every union all select kind, id_b from every),
+deg as (select kind, id, count(*) as links from ends group by all),
+whole as (select 'probe' as kind, id, list_sort(list(item)) as x from pg group by id union all select 'family', fam.id, list_sort(list(item)) from fam semi join fs using (id) group by fam.id)
+select kind, id, min(id) over (partition by kind, x) as class_id, coalesce(links, 0) as links from whole left join deg using (kind, id)
+"""
 
 QUERIES = {
     "p1_found": p1_found,
@@ -182,6 +200,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p7_found": p7_found,
+    "p7_links": p7_links,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_leaked_items": p9_leaked_items,
@@ -201,6 +220,7 @@ ORACLE = {
     "p5_found": f"select run_id, snp_id from (select run_id, snp_id, r0 + r1 + r2 + r3 as places from (select run_id, snp_id, {_PLACES} from ({_SNPS}) where run_id is not null and gc is not null and tm is not null and complexity is not null and hairpin is not null)) qualify row_number() over (partition by run_id order by places, snp_id) <= {BEST}",
     "p6_found": _PIECES,
     "p7_found": _P7_SQL,
+    "p7_links": _P7_LINKS_SQL,
     "p9_found": rf"""
         with w as (select doc_id, regexp_extract_all(lower(regexp_replace(text, '=\r?\n', '', 'g')), '[a-z0-9]+') as ws from documents),
         g as (select doc_id, unnest(list_transform(range(1, len(ws) - {LEAK} + 2), lambda i: array_to_string(ws[i:i + {LEAK} - 1], ' '))) as gram from w where len(ws) >= {LEAK}),

@@ -209,11 +209,63 @@ def test_similar_pairs(spark, hot):
     ok = [(i, set(s)) for i, s in sets if s and len(set(s)) >= 4]
     want = sorted((min(a, b), max(a, b)) for k, (a, x) in enumerate(ok) for b, y in ok[k + 1 :] if len(x & y) >= 0.6 * len(x | y))
     assert rows(neardup.record_pairs(m, p, "id"), "id_a", "id_b") == want and len(want) > 50
+    links = {i: sum(i in w for w in want) for i, _ in ok}
+    assert {r.id: r.links for r in neardup.record_links(m, p, "id").collect()} == links
+    assert {r.class_id for r in neardup.record_links(m, p, "id").filter("id in ('copy1', 'copy2')").collect()} == {"copy1"}
     m, p = neardup.similar_pairs(df.limit(0), "id", F.col("items"), 0.6)
-    assert neardup.record_pairs(m, p, "id").count() == 0
-    assert 1 - (1 - 0.6 ** neardup.depth_for(0.6, 40, 5, 0.9995)) ** 40 >= 0.9995
+    assert neardup.record_pairs(m, p, "id").count() == 0 and neardup.record_links(m, p, "id").count() == 0
     with pytest.raises(ValueError):
-        neardup.depth_for(0.1, 2, 5, 0.999)
+        neardup.plan(0.1, 0.999, 2)
+
+
+@pytest.mark.parametrize("hot", [2000, 4])
+def test_similar_texts(spark, hot):
+    rng = random.Random(18)
+    base = ["".join(rng.choice("ACGT") for _ in range(90)) for _ in range(10)]
+    recs = []
+    for i in range(160):
+        s = list(rng.choice(base))
+        for _ in range(rng.randint(0, 4)):
+            s[rng.randrange(90)] = rng.choice("ACGTé")
+        recs.append((f"t{i:03d}", "".join(s)))
+    recs += [("copy1", base[1]), ("copy2", base[1]), ("short", "ACG"), ("empty", ""), ("t000", base[2][:40])]
+    df = spark.createDataFrame(recs + [("null", None), (None, base[0])], "id string, seq string")
+    m, p = neardup.similar_pairs(df, "id", F.col("seq"), 0.5, gram=8, hot=hot)
+    sets = {}
+    for i, s in recs:
+        sets.setdefault(i, set()).update(s[k : k + 8] for k in range(len(s) - 7))
+    ok = sorted((i, s) for i, s in sets.items() if s)
+    want = [(a, b) for k, (a, x) in enumerate(ok) for b, y in ok[k + 1 :] if len(x & y) >= 0.5 * len(x | y)]
+    assert rows(neardup.record_pairs(m, p, "id"), "id_a", "id_b") == want and len(want) > 50
+
+
+def test_forest_reaches_the_recall_at_the_threshold():
+    for threshold in (0.5, 0.6, 0.8, 1.0):
+        trees, depth = neardup.plan(threshold)
+        assert trees <= neardup.TREES and 1 - (1 - threshold**depth) ** trees >= neardup.RECALL
+
+
+@pytest.mark.parametrize("hot,size", [(50, 7), (3, 5), (3, 1000), (6, 2)])
+def test_walk_over_borders_finds_what_one_walk_finds(hot, size):
+    """Sorted labels cut into any partitions and batches: every run's pairs, or its sets as crowded."""
+    rng = np.random.default_rng(hot * 100 + size)
+    label = np.sort(rng.choice([1, 2, 3, 4, 4, 4, 5, 9, 12, 13], 60)).astype(np.int64)
+    rest, cls = rng.integers(0, 3, 60) << 32, np.arange(60)
+    runs = {k: cls[label == k].tolist() for k in set(label.tolist())}
+    want = {(a, b) for r in runs.values() if len(r) <= hot for a in r for b in r if a < b}
+    crowded = {c for r in runs.values() if len(r) > hot for c in r}
+    for cut in ([60], [1, 60], [20, 21, 40, 60], [7, 33, 34, 35, 60]):
+        out, at = [], 0
+        for end in cut:
+            parts = [(label[i : min(i + size, end)], rest[i : min(i + size, end)], cls[i : min(i + size, end)]) for i in range(at, end, size)]
+            out += list(neardup.walk_runs(iter(parts), 3, hot, True))
+            at = end
+        edges = sorted((a, b, c) for k, *v in out for kind, a, b, c in zip(k, *v) if kind == 1)
+        e = np.array(edges, np.int64).reshape(-1, 3)
+        out += list(neardup.walk_runs(iter([(e[:, 0], e[:, 1], e[:, 2])]), 3, hot, False))
+        flat = [(kind, int(a), int(b)) for k, *v in out for kind, a, b, _ in zip(k, *v)]
+        assert {(a, b) for kind, a, b in flat if kind == 0} == want
+        assert {a for kind, a, _ in flat if kind == 2} == crowded
 
 
 def test_grams(spark):
