@@ -3,36 +3,40 @@
 Method: every run of K words has a hash; of every W consecutive hashes the
 smallest is kept as a fingerprint (the last one on ties), in the held-out items
 and in the corpus alike.  With K + W - 1 = the wanted span, every shared span
-of that many words contains a fingerprint of both.  Corpus fingerprints are looked
-up in the items' index and each hit is extended word by word to an exact span.
-
-The items are the stated query set: they are taken in blocks of bounded size,
-and each block's index is sent to the executors, so the corpus is scanned once
-per block, without a shuffle of texts and without per-document groups.
+of that many words contains a fingerprint of both.  Fingerprints of corpus and items
+are joined by hash; the hits of a document and an item on one diagonal (word place in
+the one less that in the other) are one row, which meets both texts again and is
+extended word by word, comparing the words themselves.
+
+The items' fingerprints are broadcast only if they were measured to be small;
+otherwise the join shuffles fingerprints, never texts. A fingerprint that is
+frequent on both sides gives a row for each document and item that have it in common,
+as the result does.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
-from ..plans.runtime import require, ship, union_all
+from ..plans.runtime import lookup_join, materialize, require, ship
 from .arrow import mix, ragged, text_bytes
 
 #: Words hashed together; the window follows from the wanted span.
 K = 6
-#: Characters of held-out texts in one block, and bytes of corpus text handled at once.
-BLOCK, CHUNK = 16 << 20, 4 << 20
+#: Bytes of corpus text handled at once.
+CHUNK = 4 << 20
 
 _LOWER = np.zeros(256, np.uint8)
 _LOWER[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
 _LOWER[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
 _LOWER[ord("0") : ord("9") + 1] = np.arange(ord("0"), ord("9") + 1)
+_SOFT, _WORD = re.compile(rb"=\r?\n"), re.compile(rb"[A-Za-z0-9]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POWERS: list[np.ndarray] = []
@@ -113,69 +117,59 @@ def winnow(h: np.ndarray, bounds: np.ndarray, k: int, w: int) -> tuple[np.ndarra
     return g[picked], picked
 
 
-def match_spans(h: np.ndarray, bounds: np.ndarray, index: dict, span: int, k: int, w: int) -> tuple[np.ndarray, ...]:
-    """(text, item, longest common span in words, its first word) of all texts and items
-    that have ``span`` consecutive words in common. Hits are extended up to their ends."""
-    fp, at = winnow(h, bounds, k, w)
-    lo, hi = np.searchsorted(index["fp"], fp), np.searchsorted(index["fp"], fp, "right")
-    n = hi - lo
-    hit = n > 0
-    pos, place = np.repeat(at[hit], n[hit]), ragged(lo[hit], n[hit])
-    ipos = index["at"][place]
-    text = np.searchsorted(bounds, pos, "right") - 1
-    item = np.searchsorted(index["bounds"], ipos, "right") - 1
-    # extended to the left first: hits of one stretch then have one start and are extended to the right once
-    words = index["words"]
-    t0, t1, i0, i1 = bounds[text], bounds[text + 1], index["bounds"][item], index["bounds"][item + 1]
-    a, b = pos.copy(), ipos.copy()
-    live = np.arange(len(a))
-    while len(live):
-        go = (a[live] > t0[live]) & (b[live] > i0[live])
-        live = live[go]
-        live = live[h[a[live] - 1] == words[b[live] - 1]]
-        a[live] -= 1
-        b[live] -= 1
-    key = np.unique(np.stack([text, item, a, b]), axis=1) if len(a) else np.empty((4, 0), np.int64)
-    text, item, a, b = key
-    t1, i1 = bounds[text + 1], index["bounds"][item + 1]
-    c, d = a.copy(), b.copy()
-    live = np.arange(len(a))
-    while len(live):
-        go = (c[live] < t1[live]) & (d[live] < i1[live])
-        live = live[go]
-        live = live[h[c[live]] == words[d[live]]]
-        c[live] += 1
-        d[live] += 1
-    size = c - a
-    long = size >= span
-    text, item, a, size = text[long], item[long], a[long], size[long]
-    order = np.lexsort((a, -size, item, text))
-    text, item, a, size = text[order], item[order], a[order], size[order]
-    new = np.ones(len(text), bool)
-    new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1])
-    return text[new], item[new], size[new], a[new] - bounds[text[new]]
-
-
-def item_index(texts: list[str], span: int, k: int, w: int, soft_breaks: bool = False) -> dict:
-    """The fingerprints of a block of items, sorted, with their places and words."""
-    data, off = text_bytes(pa.array(texts, pa.string()))
-    h, bounds = word_hashes(data, off, soft_breaks)
-    fp, at = winnow(h, bounds, k, w)
-    order = np.argsort(fp, kind="stable")
-    return {"fp": fp[order], "at": at[order], "words": h, "bounds": bounds}
-
-
-def leaked_items(corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, span: int = 12, soft_breaks: bool = True, k: int = K, block: int = BLOCK) -> DataFrame:
+def plain_words(text: str, soft_breaks: bool) -> list[bytes]:
+    """The words of a text, in lower case: those that ``word_hashes`` numbers."""
+    data = text.encode()
+    if soft_breaks:
+        data = _SOFT.sub(b"", data)
+    return _WORD.findall(data.lower())
+
+
+def longest_run(a: list[bytes], b: list[bytes], places: list[int], shift: int) -> tuple[int, int]:
+    """(words, first place in a) of the longest run of equal words a[i] = b[i - shift] that
+    holds one of ``places`` (sorted); (0, 0) if the words there differ."""
+    best, at, end = 0, 0, -1
+    lowest, highest = max(0, shift), min(len(a), len(b) + shift)
+    for p in places:
+        if p < end or not lowest <= p < highest or a[p] != b[p - shift]:
+            continue
+        lo = hi = p
+        while lo > lowest and a[lo - 1] == b[lo - 1 - shift]:
+            lo -= 1
+        while hi < highest and a[hi] == b[hi - shift]:
+            hi += 1
+        end = hi
+        if hi - lo > best:
+            best, at = hi - lo, lo
+    return best, at
+
+
+def _fingerprints(texts: DataFrame, kind: str, soft_breaks: bool, k: int, w: int) -> DataFrame:
+    """(id, fp, at) of a table (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            step = max(1, CHUNK * max(b.num_rows, 1) // (b.column(1).nbytes + 1))
+            for i in range(0, b.num_rows, step):
+                part = b.slice(i, step)
+                h, bounds = word_hashes(*text_bytes(part.column(1)), soft_breaks)
+                fp, at = winnow(h, bounds, k, w)
+                row = np.searchsorted(bounds, at, "right") - 1
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(fp.view(np.int64)), pa.array((at - bounds[row]).astype(np.int32))], ["id", "fp", "at"])
+
+    return texts.mapInArrow(run, f"id {kind}, fp long, at int")
+
+
+def leaked_items(corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, span: int = 12, soft_breaks: bool = True, k: int = K) -> DataFrame:
     """Documents that share ``span`` consecutive words with a held-out item:
     key, item key, ``span_words`` (longest common run) and ``at_word`` (where it
     starts in the document, from 0; the first of the longest).
 
     Words are longest runs of ASCII letters and digits, compared without case;
     with ``soft_breaks`` a ``=`` before a line break joins the lines in the corpus.
-    Null and short texts share nothing; null keys are left out; repeated rows give
-    one row each, made distinct. Items are read to the driver in blocks of
-    ``block`` characters (they are the stated query set), each block a scan of the
-    whole corpus. An empty side gives an empty result. Other columns are ignored.
+    Null and short texts share nothing; null keys are left out. One row for each
+    document and item: of several texts under one key, the longest run of all. An empty
+    side gives an empty result. Other columns are ignored. Runs jobs.
     """
     require(corpus, key, text)
     require(items, item_key, item_text)
@@ -184,38 +178,40 @@ def leaked_items(corpus: DataFrame, key: str, text: str, items: DataFrame, item_
     spark = corpus.sparkSession
     ship(spark)
     w = span - k + 1
-    docs = corpus.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t")).filter("_k is not null and length(_t) >= " + str(span))
-    schema = f"_k {corpus.schema[key].dataType.simpleString()}, item int, span_words int, at_word int"
-
-    def scan(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                step = max(1, CHUNK * max(b.num_rows, 1) // (b.column(1).nbytes + 1))
-                for i in range(0, b.num_rows, step):
-                    part = b.slice(i, step)
-                    h, bounds = word_hashes(*text_bytes(part.column(1)), soft_breaks)
-                    t, item, n, at = match_spans(h, bounds, shared.value, span, k, w)
-                    if len(t):
-                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(t)), *(pa.array(x.astype(np.int32)) for x in (item, n, at))], ["_k", "item", "span_words", "at_word"])
-
-        return run
-
-    out = []
-    for ids, texts in _blocks(items.filter(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(item_key, item_text).distinct().orderBy(item_key, item_text), block):
-        names = spark.createDataFrame(list(enumerate(ids)), f"item int, `{item_key}` {items.schema[item_key].dataType.simpleString()}")
-        found = docs.mapInArrow(scan(spark.sparkContext.broadcast(item_index(texts, span, k, w))), schema)
-        out.append(found.join(F.broadcast(names), "item").select(F.col("_k").alias(key), item_key, "span_words", "at_word").distinct())
-    return union_all(out) if out else spark.createDataFrame([], docs.select(F.col("_k").alias(key)).schema.add(items.schema[item_key]).add("span_words", IntegerType()).add("at_word", IntegerType()))
-
-
-def _blocks(items: DataFrame, block: int):
-    ids, texts, size = [], [], 0
-    for row in items.toLocalIterator():
-        if texts and size + len(row[1]) > block:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-        ids.append(row[0])
-        texts.append(row[1])
-        size += len(row[1])
-    if texts:
-        yield ids, texts
+    kind, item_kind = corpus.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
+    docs = corpus.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).filter("id is not null and length(text) >= " + str(span))
+    held = items.select(F.col(item_key).alias("id"), F.col(item_text).cast("string").alias("text")).filter("id is not null and length(text) >= " + str(span)).distinct()
+    theirs = materialize(_fingerprints(held, item_kind, False, k, w).distinct().select("fp", F.col("id").alias("item"), F.col("at").alias("item_at")))
+    ours = _fingerprints(docs, kind, soft_breaks, k, w)
+    hits = lookup_join(ours, theirs, ["fp"]).groupBy("id", "item", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.array_sort(F.collect_set("at")).alias("places"))
+    # the diagonals of one document and item travel together with its text once
+    pairs = materialize(hits.groupBy("id", "item").agg(F.collect_list(F.struct("shift", "places")).alias("hits")))
+    touched = materialize(pairs.df.select("id").distinct())
+    texts = lookup_join(docs, touched, ["id"])
+    known = materialize(held.select(F.col("id").alias("item"), F.col("text").alias("item_text")))
+    both = lookup_join(texts.join(pairs.df, "id"), known, ["item"]).select("id", "item", "text", "item_text", "hits")
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine: dict[str, list[bytes]] = {}
+        for b in batches:
+            rows = []
+            last, words = None, []
+            for i in range(b.num_rows):
+                t, it = b.column(2)[i].as_py(), b.column(3)[i].as_py()
+                if t != last:
+                    last, words = t, plain_words(t, soft_breaks)
+                if it not in mine:
+                    if len(mine) > 1000:
+                        mine.clear()
+                    mine[it] = plain_words(it, False)
+                runs = [longest_run(words, mine[it], x["places"], x["shift"]) for x in b.column(4)[i].as_py()]
+                n, at = max(runs, key=lambda r: (r[0], -r[1]))
+                if n >= span:
+                    rows.append((i, n, at))
+            if rows:
+                pick, n, at = (pa.array(x, pa.int32()) for x in zip(*rows))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), n, at], ["id", "item", "span_words", "at_word"])
+
+    found = both.mapInArrow(extend, f"id {kind}, item {item_kind}, span_words int, at_word int")
+    best = found.groupBy("id", "item").agg(F.max(F.struct("span_words", (-F.col("at_word")).alias("before"))).alias("b"))
+    return best.select(F.col("id").alias(key), F.col("item").alias(item_key), F.col("b.span_words").alias("span_words"), (-F.col("b.before")).alias("at_word"))

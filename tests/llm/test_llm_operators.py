@@ -350,8 +350,10 @@ def py_words(t, soft):
     return [w.lower() for w in re.findall("[A-Za-z0-9]+", t)]
 
 
-@pytest.mark.parametrize("block", [1 << 24, 300])
-def test_leaked_items(spark, block):
+@pytest.mark.parametrize("small", [True, False])
+def test_leaked_items(spark, small, monkeypatch):
+    if not small:  # a fingerprint table too large to be broadcast
+        monkeypatch.setattr(leakage, "lookup_join", lambda left, right, on: left.join(right.df, on))
     rng = random.Random(10)
     vocab = [f"w{i}" for i in range(40)] + ["A", "a", "b2"]
     line = lambda n: [rng.choice(vocab) for _ in range(n)]
@@ -371,13 +373,33 @@ def test_leaked_items(spark, block):
     grams = lambda ws: {tuple(ws[i : i + 12]) for i in range(len(ws) - 11)}
     known = {i: grams(py_words(t or "", False)) for i, t in items}
     want = sorted((i, j) for i, t in docs for j in known if grams(py_words(t or "", True)) & known[j])
-    got = leakage.leaked_items(d, "doc_id", "text", it, "item_id", "text", 12, block=block)
+    got = leakage.leaked_items(d, "doc_id", "text", it, "item_id", "text", 12)
     assert rows(got, "doc_id", "item_id") == want and len(want) > 5
-    assert got.agg(F.min("span_words")).first()[0] >= 12
+    longest = {}
+    for i, t in docs:
+        a = py_words(t or "", True)
+        for j, held in items:
+            b = py_words(held or "", False)
+            n = {}
+            for x in range(len(a) - 1, -1, -1):
+                n = {y: 1 + n.get(y + 1, 0) for y in range(len(b)) if a[x] == b[y]}
+                for v in n.values():
+                    if v >= 12 and (v, -x) > longest.get((i, j), (0, 0)):
+                        longest[i, j] = (v, -x)
+    assert {(r.doc_id, r.item_id): (r.span_words, -r.at_word) for r in got.collect()} == longest
     assert leakage.leaked_items(d, "doc_id", "text", it.limit(0), "item_id", "text").count() == 0
     assert leakage.leaked_items(d.limit(0), "doc_id", "text", it, "item_id", "text").count() == 0
 
 
+def test_words_of_one_hash_are_told_apart(spark):
+    w = thue_morse(11)
+    other = w.translate(str.maketrans("ab", "ba"))
+    line = lambda x: " ".join(f"{x} w{i}" for i in range(10))
+    d = spark.createDataFrame([(1, line(w)), (2, line(other))], "doc_id int, text string")
+    it = spark.createDataFrame([(7, line(w))], "item_id int, text string")
+    assert rows(leakage.leaked_items(d, "doc_id", "text", it, "item_id", "text"), "doc_id", "item_id", "span_words") == [(1, 7, 20)]
+
+
 # ---- abuse ----
 
 
