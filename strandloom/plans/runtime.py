@@ -59,6 +59,7 @@ class Table:
 
     def __init__(self, spark: SparkSession, path: str, schema):
         self.spark, self.path, self.schema = spark, path, schema
+        self._rows: int | None = None
 
     @property
     def df(self) -> DataFrame:
@@ -69,7 +70,10 @@ class Table:
         return self.spark.read.schema(schema).parquet(self.path)
 
     def rows(self) -> int:
-        return self.df.count()
+        """Counted once, from the files' footers."""
+        if self._rows is None:
+            self._rows = self.df.count()
+        return self._rows
 
     def bytes(self) -> int:
         p, fs = _fs(self.spark, self.path)
