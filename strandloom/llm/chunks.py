@@ -34,16 +34,27 @@ def split_text(text: Column, limit: int, overlap: int, boundaries: list[str]) ->
     exclusive; null for null, empty for the empty text, one piece for a text
     within the limit. Consecutive pieces overlap by ``overlap`` characters, and
     concatenating them without the overlaps gives the text back."""
-    found = F.regexp_extract_all(text, F.lit(piece_pattern(limit, overlap, boundaries)), F.lit(0))
+    lengths = F.transform(F.regexp_extract_all(text, F.lit(piece_pattern(limit, overlap, boundaries)), F.lit(0)), lambda p: F.length(p))
 
-    def walk(parts):
-        def step(s, p):
-            piece = F.struct((F.size(s["out"]) + 1).alias("piece_no"), F.greatest(s["at"] - overlap, F.lit(0)).alias("start_off"), (s["at"] + F.length(p)).alias("end_off"))
-            return F.struct((s["at"] + F.length(p)).alias("at"), F.array_append(s["out"], piece).alias("out"))
+    def walk(n):
+        both = F.zip_with(running(n), n, lambda end, size: F.struct(F.greatest(end - size - overlap, F.lit(0)).alias("start"), end.alias("end")))
+        return F.transform(both, lambda x, i: F.struct((i + 1).alias("piece_no"), x["start"].alias("start_off"), x["end"].alias("end_off")))
 
-        return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(PIECE).alias("out")), step)["out"]
+    return F.when(text.isNotNull(), _let(lengths, walk))
 
-    return F.when(text.isNotNull(), _let(found, walk))
+
+def running(numbers: Column) -> Column:
+    """Running sums of an array of integers, with blocks of about the square root of its length:
+    sums of blocks first, then each number adds the part of its own block."""
+    add = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + x)
+
+    def by_block(b):
+        sums = F.transform(F.sequence(F.lit(0), F.size(numbers) - 1, b), lambda first: add(F.slice(numbers, first + 1, b)))
+        before = _let(sums, lambda t: F.transform(t, lambda _, j: add(F.slice(t, F.lit(1), j))))
+        block = lambda i: F.floor(i / b).cast("int")
+        return _let(before, lambda q: F.transform(numbers, lambda _, i: F.element_at(q, block(i) + 1) + add(F.slice(numbers, block(i) * b + 1, i % b + 1))))
+
+    return F.when(F.size(numbers) > 0, _let(F.ceil(F.sqrt(F.size(numbers))).cast("int"), by_block)).otherwise(F.array().cast("array<int>"))
 
 
 def _let(value: Column, use) -> Column:
@@ -58,25 +69,36 @@ def split_extent(length: Column, ends: Column, limit: int, overlap: int) -> Colu
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and less than limit")
     inside = F.array_sort(F.filter(F.array_distinct(F.coalesce(ends, F.array().cast("array<int>"))), lambda e: e.isNotNull() & (e > 0) & (e < length)))
+    step, none = limit - overlap, F.array().cast("array<struct<start:int,end:int>>")
+    piece = lambda a, e: F.struct(a.cast("int").alias("start"), e.cast("int").alias("end"))
+
+    def meet(s, cut):
+        """The next boundary (or the end): what must be cut before it is cut, and it is the best place for the next cut if that is in reach."""
+        at, best = s["at"], s["best"]
+        at_best = (cut > at + limit) & (best > 0)
+
+        def then(start):
+            forced = F.greatest(F.ceil((cut - start - limit) / F.lit(step)), F.lit(0)).cast("int")
+
+            def go(k):
+                now = (start + k * step).cast("int")
+                one = F.when(at_best, F.array(piece(at, best))).otherwise(none)
+                more = F.when(k > 0, F.transform(F.sequence(F.lit(0), k - 1), lambda j: piece(start + j * step, start + j * step + limit))).otherwise(none)
+                out = F.when(at_best | (k > 0), F.concat(s["out"], one, more)).otherwise(s["out"])
+                return F.struct(now.alias("at"), F.when(cut > now + overlap, cut).otherwise(best).cast("int").alias("best"), out.alias("out"))
+
+            return _let(forced, go)
+
+        return _let(F.when(at_best, best - overlap).otherwise(at).cast("int"), then)
+
+    def number(s):
+        whole = F.concat(s["out"], F.array(piece(s["at"], length)))
+        return F.transform(whole, lambda x, i: F.struct((i + 1).alias("piece_no"), x["start"].alias("start_off"), x["end"].alias("end_off")))
 
-    def step(s, _):
-        start = s["at"]
-        best = F.array_max(F.filter(s["rest"], lambda e: (e <= start + limit) & (e > start + overlap)))
-        end = F.when(length - start <= limit, length).otherwise(F.coalesce(best, start + limit)).cast("int")
-        following = lambda x: F.struct(
-            (x - overlap).cast("int").alias("at"),
-            (x >= length).alias("over"),
-            F.filter(s["rest"], lambda e: e > x).alias("rest"),
-            F.array_append(s["out"], F.struct((F.size(s["out"]) + 1).alias("piece_no"), start.alias("start_off"), x.alias("end_off"))).alias("out"),
-        )
-        return F.when(s["over"], s).otherwise(_let(end, following))
-
-    def walk(cuts):
-        # every piece but the last ends at a boundary of its own, or takes limit - overlap: so many steps suffice
-        most = (F.ceil(length / F.lit(limit - overlap)) + F.size(cuts) + 1).cast("int")
-        return F.aggregate(F.sequence(F.lit(1), most), F.struct(F.lit(0).alias("at"), (length <= 0).alias("over"), cuts.alias("rest"), F.array().cast(PIECE).alias("out")), step)["out"]
-
-    return F.when(length >= 0, _let(inside, walk))
+    start = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("best"), none.alias("out"))
+    # one step a boundary, however many pieces lie before it
+    pieces = _let(F.aggregate(F.array_append(inside, length.cast("int")), start, meet), number)
+    return F.when(length > 0, pieces).when(length == 0, F.array().cast(PIECE))
 
 
 def explode_pieces(df: DataFrame, pieces: str) -> DataFrame:

@@ -65,18 +65,13 @@ def _tell(graph: DataFrame) -> DataFrame:
 
 
 def _flow(vertices: Table, forest: list[Table]) -> DataFrame:
-    """Roots for all vertices: a vertex pruned in round k hangs under one that left later."""
-    spark = vertices.spark
+    """Roots for all vertices: a vertex pruned in round k hangs under one that left later.
+    Each round writes the roots it adds only."""
     if not forest:
         return vertices.df.withColumn("root", F.col("u"))
     pruned = union_all([t.df.select("u") for t in forest])
-    known = materialize(vertices.df.join(pruned, "u", "left_anti").withColumn("root", F.col("u")))
-    for i, level in enumerate(reversed(forest)):
-        here = level.df.join(known.df.select(F.col("u").alias("parent"), "root"), "parent").select("u", "root")
-        grown = known.df.unionByName(here)
-        if i == len(forest) - 1:
-            return grown
-        wider = materialize(grown)
-        known.drop()
-        known = wider
-    return spark.createDataFrame([], known.schema)
+    known = [materialize(vertices.df.join(pruned, "u", "left_anti").withColumn("root", F.col("u")))]
+    for level in reversed(forest):
+        so_far = union_all([t.df for t in known]).withColumnRenamed("u", "parent")
+        known.append(materialize(level.df.join(so_far, "parent").select("u", "root")))
+    return union_all([t.df for t in known])

@@ -22,8 +22,9 @@ def outranking_flows(df: DataFrame, group: str, item: str, scores: dict[str, flo
     ``scores`` maps score columns to weights.  Returns group, item, ``beats``
     and ``beaten`` (weighted sums over the scores of the items strictly worse
     and strictly better: positive and negative flow, not divided by the group's
-    size less one), ``net_flow`` = beats - beaten, and ``places`` = beaten + the
-    sum of weights (the sum of competition ranks where weights are 1).
+    size less one), ``net_flow`` = beats - beaten, ``net_share`` = net_flow over what
+    beating all others in all scores would give (-1 to 1; null for a group of one), and
+    ``places`` = beaten + the sum of weights (the sum of competition ranks where weights are 1).
 
     Rows with a null group or item, or with a score that is null or NaN, take no
     part.  Repeated rows count once.  Equal scores beat each other in neither
@@ -47,7 +48,11 @@ def outranking_flows(df: DataFrame, group: str, item: str, scores: dict[str, flo
         side = ranks_of(ranks, met, i, {val: c, better: f"{better}_{i}", worse: f"{worse}_{i}"})
         out = lookup_join(out, side, [group, c])
         plus, minus = plus + F.col(f"{worse}_{i}") * float(scores[c]), minus + F.col(f"{better}_{i}") * float(scores[c])
-    return out.select(group, item, *names, plus.alias("beats"), minus.alias("beaten"), (plus - minus).alias("net_flow"), (minus + float(sum(scores.values()))).alias("places"))
+    size = fresh(df, "_size")
+    out = lookup_join(out, materialize(items.df.groupBy(group).agg(F.count(F.lit(1)).alias(size))), [group])
+    weight = float(sum(scores.values()))
+    share = F.when(F.col(size) > 1, (plus - minus) / (weight * (F.col(size) - 1)))
+    return out.select(group, item, *names, plus.alias("beats"), minus.alias("beaten"), (plus - minus).alias("net_flow"), share.alias("net_share"), (minus + weight).alias("places"))
 
 
 class ranks_of:

@@ -50,7 +50,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return components.connected_groups(pairs, "a", "b", "probe_id", "group_id")
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
+def _flows(spark: SparkSession, d: str) -> DataFrame:
     snps = _t(spark, d, "snps_with_biophysical").select(
         "run_id",
         "snp_id",
@@ -59,8 +59,17 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
         score(F.col("complexity")).alias("complexity"),
         score(F.col("hairpin")).alias("hairpin"),
     )
-    flows = outrank.outranking_flows(snps, "run_id", "snp_id", {"gc_off": 1, "tm_off": 1, "complexity": 1, "hairpin": 1})
-    return outrank.best_per_group(flows, "run_id", "snp_id", BEST).select("run_id", "snp_id")
+    return outrank.outranking_flows(snps, "run_id", "snp_id", {"gc_off": 1, "tm_off": 1, "complexity": 1, "hairpin": 1})
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return outrank.best_per_group(_flows(spark, d), "run_id", "snp_id", BEST).select("run_id", "snp_id")
+
+
+def p5_net_flow(spark: SparkSession, d: str) -> DataFrame:
+    """The SNPs of each run with the highest net flow: positive less negative, over all others."""
+    best = outrank.best_per_group(_flows(spark, d), "run_id", "snp_id", BEST, "net_flow", ascending=False)
+    return best.select("run_id", "snp_id", "place", "net_flow", F.round("net_share", 9).alias("net_share"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -73,6 +82,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return union_all([chunks.explode_pieces(x, "pieces") for x in (a, r)]).distinct()
 
 
+#: Boundaries of mails, strongest first: paragraphs, lines, sentences, blanks.
+MAIL_LIMIT, MAIL_OVERLAP, MAIL_ENDS = 2000, 100, [r"(?<=\n\r?\n)", r"(?<=\n)", r"(?<=[.!?]\s)", r"(?<=\s)"]
+
+
+def p6_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Every mail in pieces within the limit, cut at the strongest boundary in reach."""
+    mails = _t(spark, d, "documents").select("doc_id", chunks.split_text(F.col("text"), MAIL_LIMIT, MAIL_OVERLAP, MAIL_ENDS).alias("pieces"))
+    return chunks.explode_pieces(mails, "pieces")
+
+
 def _alike(spark: SparkSession, d: str) -> list[tuple[str, str, DataFrame, DataFrame]]:
     """(kind, id column, members, pairs) of the near-duplicate probes and families."""
     probes = _t(spark, d, "probe").select("probe_id", clean_sequence(F.col("sequence")).alias("seq"))
@@ -198,7 +217,9 @@ QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p5_found": p5_found,
+    "p5_net_flow": p5_net_flow,
     "p6_found": p6_found,
+    "p6_documents": p6_documents,
     "p7_found": p7_found,
     "p7_links": p7_links,
     "p8_ids": p8_ids,
@@ -218,6 +239,9 @@ ORACLE = {
         r as (select a as id, a as g from s union select s.b, r.g from r join s on s.a = r.id)
         select id as probe_id, min(g) as group_id from r group by id""",
     "p5_found": f"select run_id, snp_id from (select run_id, snp_id, r0 + r1 + r2 + r3 as places from (select run_id, snp_id, {_PLACES} from ({_SNPS}) where run_id is not null and gc is not null and tm is not null and complexity is not null and hairpin is not null)) qualify row_number() over (partition by run_id order by places, snp_id) <= {BEST}",
+    "p5_net_flow": f"""with s as (select *, round(abs(gc - 0.5), 4) as x0, round(abs(tm - 70), 1) as x1, complexity as x2, hairpin as x3, count(*) over (partition by run_id) as n from ({_SNPS}) where run_id is not null and gc is not null and tm is not null and complexity is not null and hairpin is not null),
+        f as (select run_id, snp_id, n, cast({" + ".join(f"rank() over (partition by run_id order by x{i} desc) - rank() over (partition by run_id order by x{i})" for i in range(4))} as double) as net_flow from s)
+        select run_id, snp_id, cast(row_number() over (partition by run_id order by net_flow desc, snp_id) as int) as place, net_flow, round(case when n > 1 then net_flow / (4.0::double * (n - 1)) end, 9) as net_share from f qualify row_number() over (partition by run_id order by net_flow desc, snp_id) <= {BEST}""",
     "p6_found": _PIECES,
     "p7_found": _P7_SQL,
     "p7_links": _P7_LINKS_SQL,

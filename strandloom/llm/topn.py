@@ -13,27 +13,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.runtime import Table, fresh, materialize, require, union_all
+from ..plans.runtime import BROADCAST_BYTES, BROADCAST_ROWS, Table, fresh, materialize, require, union_all
 
-#: Rows per group that the first band should hold, as a multiple of N, on average.
-FIRST_BAND = 4
-#: Largest number of bands.
-MAX_BANDS = 4
+#: Rows per group that the first band should hold, as a multiple of N, on average, and
+#: how many times as many rows the bands so far hold with each further one.
+FIRST_BAND, STEP = 4, 4
 
 
 def band_cuts(rows: DataFrame, group: list[str], score: str, n: int) -> list[float]:
-    """Descending lower edges of all bands but the last, from quantiles of the
-    score over all rows; the first band holds about FIRST_BAND * n rows a group."""
+    """Descending lower edges of all bands but the last, from quantiles of the score over
+    all rows; the first band holds about FIRST_BAND * n rows a group, and their number grows
+    with the logarithm of the rows a group."""
     total, groups = rows.agg(F.count(F.lit(1)), F.approx_count_distinct(F.struct(*group), 0.02)).first()
     if not total:
         return []
-    share, shares = min(1.0, FIRST_BAND * n * max(groups, 1) / total), []
-    while share < 0.999 and len(shares) < MAX_BANDS - 1:
-        shares.append(1 - share)
-        share = min(1.0, share * 2.5)
+    first = FIRST_BAND * n * max(groups, 1) / total
+    shares = []
+    while first * STEP ** len(shares) < 0.5:
+        shares.append(1 - first * STEP ** len(shares))
     if not shares:
         return []
-    edges = rows.agg(F.percentile_approx(score, [float(x) for x in shares], 2000)).first()[0]
+    edges = rows.agg(F.percentile_approx(score, [float(x) for x in shares], int(min(2_000_000, max(2000, 20 / first))))).first()[0]
     return sorted(set(edges), reverse=True)
 
 
@@ -70,13 +70,15 @@ def top_n_per_group(df: DataFrame, group: list[str], score: str, ties: list[Colu
     w = Window.partitionBy(*group).orderBy(*order)
     done: list[Table] = []
     for i in range(len(cuts) + 1):
-        here = source.filter(F.col(band) == i).drop(band).distinct()
+        here = source.filter(F.col(band) == i).drop(band)
         if done:
-            filled = union_all([t.df.filter(full).select(*group) for t in done]).distinct()
+            filled = union_all([t.df.filter(full).select(*group) for t in done])
+            if sum(t.bytes() for t in done) <= BROADCAST_BYTES and sum(t.rows() for t in done) <= BROADCAST_ROWS:
+                filled = F.broadcast(filled)
             here = here.join(filled, group, "left_anti").unionByName(done[-1].df.filter(~F.col(full)).select(*columns))
-        ranked = here.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
-        size = F.count(F.lit(1)).over(Window.partitionBy(*group))
-        done.append(materialize(ranked.withColumn(full, size >= n)))
+        # repeated rows are equal in the whole order, so a dense rank counts them once: no shuffle before the one by group
+        ranked = here.withColumn(rank, F.dense_rank().over(w)).filter(F.col(rank) <= n).distinct()
+        done.append(materialize(ranked.withColumn(full, F.max(rank).over(Window.partitionBy(*group)) >= n)))
     banded.drop()
     out = union_all([t.df.filter(full) for t in done] + [done[-1].df.filter(~F.col(full))])
     return out.drop(full)

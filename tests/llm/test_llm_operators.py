@@ -144,6 +144,7 @@ def test_outranking(spark):
         better = sum(r[2] < x for r in peers) + 2 * sum(r[3] < y for r in peers)
         r = got[run, i]
         assert (r.beats, r.beaten, r.net_flow, r.places) == (worse, better, worse - better, better + 3)
+        assert r.net_share == pytest.approx((worse - better) / (3 * (len(set(peers)) - 1)))
     flows = outrank.outranking_flows(df, "run", "id", {"x": 1, "y": 1})
     assert outrank.best_per_group(flows, "run", "id", 5).groupBy("run").count().filter("count = 5").count() == 2
     assert outrank.outranking_flows(df.limit(0), "run", "id", {"x": 1}).count() == 0
@@ -182,6 +183,44 @@ def test_split_text_and_extent(spark, limit, overlap):
         assert [(x.start_off, x.end_off) for x in got[i]] == py_pieces(n, [b for b in ends or [] if b is not None and 0 < b < n], limit, overlap)
 
 
+def test_split_at_the_strongest_boundary(spark):
+    rng, limit, overlap = random.Random(17), 40, 6
+    ends = [r"(?<=\n\r?\n)", r"(?<=\n)", r"(?<=[.!?]\s)", r"(?<=\s)"]
+    texts = ["".join(rng.choice(["word", "x" * rng.randint(1, 60), " ", " ", ". ", "\n", "\r\n\r\n", "é"]) for _ in range(rng.randint(0, 60))) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: [(x.start_off, x.end_off) for x in r.p] for r in df.select("i", chunks.split_text(F.col("t"), limit, overlap, ends).alias("p")).collect()}
+    for i, t in enumerate(texts):
+        strength = [[m.end() for m in re.finditer(p, t)] for p in (r"(?=(\n\r?\n))", r"(?=\n)", r"(?=[.!?]\s)", r"(?=\s)")]
+        strength = [[e + len(re.match(r"\n\r?\n", t[e:])[0]) for e in strength[0]], [e + 1 for e in strength[1]], [e + 2 for e in strength[2]], [e + 1 for e in strength[3]]]
+        want, s = [], 0
+        while t:
+            if len(t) - s <= limit:
+                want.append((s, len(t)))
+                break
+            reach = [[e for e in kind if s + overlap < e <= s + limit] for kind in strength]
+            e = next((max(r) for r in reach if r), s + limit)
+            want.append((s, e))
+            s = e - overlap
+        assert got[i] == want
+
+
+def test_split_extent_with_many_ends(spark):
+    rng = random.Random(19)
+    n, ends = 40_000_000, sorted(rng.sample(range(1, 40_000_000), 20_000))
+    df = spark.createDataFrame([(n, ends[::-1]), (n, [])], "n int, e array<int>")
+    a, b = (r.p for r in df.select(chunks.split_extent(F.col("n"), F.col("e"), 3000, 100).alias("p")).collect())
+    import bisect
+
+    want, s = [], 0
+    while n - s > 3000:
+        i = bisect.bisect_right(ends, s + 3000) - 1
+        e = ends[i] if i >= 0 and ends[i] > s + 100 else s + 3000
+        want.append((s, e))
+        s = e - 100
+    assert [(x.start_off, x.end_off) for x in a] == [*want, (s, n)]
+    assert len(b) == -(-(n - 100) // 2900) and b[-1].end_off == n
+
+
 def test_split_very_long_text(spark):
     n = 1_000_000
     p = spark.range(1).select(chunks.split_text(F.repeat(F.lit("A"), F.lit(n)), 2000, 60, [r"(?<=[Nn]{10})(?![Nn])"]).alias("p")).first().p
