@@ -76,15 +76,16 @@ class Table:
         return self._rows
 
     def bytes(self) -> int:
-        p, fs = _fs(self.spark, self.path)
+        p, fs = file_system(self.spark, self.path)
         return fs.getContentSummary(p).getLength()
 
     def drop(self) -> None:
-        p, fs = _fs(self.spark, self.path)
+        p, fs = file_system(self.spark, self.path)
         fs.delete(p, True)
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop path, its file system)."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -101,7 +102,7 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> Table:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    p, fs = _fs(spark, path)
+    p, fs = file_system(spark, path)
     fs.deleteOnExit(p)
     return Table(spark, path, df.schema)
 
