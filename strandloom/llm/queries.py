@@ -131,10 +131,10 @@ def p9_leaked_items(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "benchmark").select("item_id", "task").join(n, "item_id", "left").select("item_id", "task", F.coalesce("documents", zero).alias("documents"), F.coalesce("longest", zero).alias("longest"))
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
+def _scored(spark: SparkSession, d: str, *keep: str) -> DataFrame:
     documents = _t(spark, d, "documents")
     model = abuse.train_from(documents, "doc_id", "text", _t(spark, d, "labels"), "toxic")
-    return abuse.score_documents(documents, "doc_id", "text", model)
+    return abuse.score_documents(documents, "doc_id", "text", model, keep)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -147,7 +147,7 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     """Share of affected documents per source."""
-    return abuse.rates(_scored(spark, d), _t(spark, d, "documents"), "doc_id", "source")
+    return abuse.rates(_scored(spark, d, "source"), "source")
 
 
 _CLEAN_SEQ = r"upper(regexp_replace({}, '\s+', '', 'g'))"

@@ -454,6 +454,10 @@ def test_mail_text_is_read_plainly():
     packed = base64.encodebytes(("Good morning to all of you.\n\nNobody likes you, you rotten pig.\n" * 2).encode()).decode()
     assert "nobody likes you you rotten pig" in read("Content-Transfer-Encoding: base64\n\n" + packed)
     assert read(None) == set() and read("") == set() and read("!!! ---") == set()
+    assert {"you are a", "you are a total idiot"} <= read("You are a. total idiot")
+    run = "nobodywouldmissauselesspiglikeyouandallyourfriendswhocamehere"
+    letters = max((x for x in read(f"so {run} then")), key=len).split()[1:-1]
+    assert all(len(x) <= mailtext.WORD for x in letters) and run == letters[0] + "".join(x[mailtext.HALF :] for x in letters[1:])
     long = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100))
     seen = [x for x in w.windows(long)]
     assert all(len(x) == mailtext.WINDOW for x in seen) and len({i for x in seen for i in x}) == 100
@@ -516,8 +520,15 @@ def test_held_out_accuracy(spark):
     flag = {r.doc_id: r.flagged for r in got.collect()}
     right = sum(flag[i] == bool(y) for i, (_, y) in enumerate(held))
     assert right / len(held) >= 0.9 and not flag[900] and not flag[901]
-    r = {x.source: x for x in abuse.rates(got, new, "doc_id", "source").collect()}
-    assert r["s"].documents == 121 and r[None].flagged == 0
+    again = abuse.train_from(docs, "doc_id", "text", labels, "toxic")  # read from the shared folder
+    assert again is not model and again.threshold == model.threshold and all((again.net.w[k] == model.net.w[k]).all() for k in model.net.w)
+    kept = abuse.score_documents(new.unionByName(new.limit(3)).unionByName(spark.createDataFrame([(None, held[0][0], "t")], new.schema)), "doc_id", "text", again, ("source",))
+    r = {x.source: x for x in abuse.rates(kept, "source").collect()}
+    once = sum(flag[i] for i in range(len(held)))
+    assert r["s"].documents == 124 and r[None].flagged == 0 and r["t"].documents == 1
+    assert r["s"].flagged == once + sum(flag[i] for i in range(3)) and r["s"].rate == pytest.approx(r["s"].flagged / 124)
+    with pytest.raises(ValueError):
+        abuse.score_documents(new.withColumn("score", F.lit(1)), "doc_id", "text", model, ("score",))
     assert abuse.score_documents(new.limit(0), "doc_id", "text", model).count() == 0
 
 
