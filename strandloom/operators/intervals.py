@@ -101,9 +101,9 @@ def region_sequences(bed: DataFrame, genome: DataFrame, stranded: bool = True) -
     are reverse-complemented if ``stranded``. Intervals beyond an end are dropped;
     repeated rows count once. Regions meet chunks of the genome by (chr, chunk) and
     are put together again, so only the letters of a region are moved and grouped."""
-    from .probes import CHUNK, genome_chunks
+    from .probes import CHUNK, genome_chunks, genome_sizes
 
-    sizes = genome.select("chr", F.length("seq").cast("long").alias("_len"))
+    sizes = genome_sizes(genome)
     ok = clean_intervals(bed).distinct().join(sizes, "chr").filter((F.col("start") >= 0) & (F.col("end") <= F.col("_len"))).drop("_len")
     t = ok.withColumn("_chunk", F.explode(F.sequence(F.floor(F.col("start") / CHUNK), F.floor((F.col("end") - 1) / CHUNK)))).join(genome_chunks(genome, 0), ["chr", "_chunk"])
     lo, hi = F.greatest("start", "_from"), F.least(F.col("end"), F.col("_from") + CHUNK)

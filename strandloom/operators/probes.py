@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.seq import third_base
+from ..functions.seq import let, third_base
 from ..plans.runtime import materialize
 
 
@@ -56,17 +56,47 @@ CHUNK = 4096
 def genome_chunks(genome: DataFrame, halo: int, size: int = CHUNK) -> DataFrame:
     """A genome (chr, seq) as (chr, _chunk, _from, _piece): chunks of ``size`` letters with
     ``halo`` letters on both sides, so that a lookup moves and scans a chunk and never a
-    chromosome. ``_from`` is the 0-based place of the piece's first letter."""
-    n = F.length("seq")
-    t = genome.select("chr", F.upper("seq").alias("_s"), F.explode(F.sequence(F.lit(0), F.floor(F.greatest(n - 1, F.lit(0)) / size))).alias("_chunk"))
-    start = F.greatest(F.col("_chunk") * size - halo, F.lit(0))
-    return t.select("chr", "_chunk", start.alias("_from"), F.substr("_s", (start + 1).cast("int"), (F.col("_chunk") * size + size + halo - start).cast("int")).alias("_piece"))
+    chromosome. ``_from`` is the 0-based place of the piece's first letter.
+
+    A genome that is read in chunks (see ``sources.text.read_genome``: chr, from, piece)
+    is cut without any row that holds a chromosome. A whole sequence in one row is cut as
+    bytes, where a letter's place is known, so the time grows with its length only (letters
+    other than ASCII become ``?``)."""
+    if "piece" in genome.columns:
+        return _rechunked(genome, halo, size)
+    start = lambda c: F.greatest(c * size - halo, F.lit(0))
+    cut = lambda s: F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.length(s) - 1, F.lit(0)) / size).cast("int")), lambda c: F.substring(s, start(c) + 1, c * size + size + halo - start(c)).cast("string"))
+    # the cut is inside the generator: the optimizer would turn a column of bytes back into one conversion a chunk
+    plain = F.regexp_replace(F.upper("seq"), r"[^\x00-\x7F]", "?").cast("binary")
+    t = genome.select("chr", F.posexplode(let(plain, cut)).alias("_c", "_piece"))
+    return t.select("chr", F.col("_c").cast("long").alias("_chunk"), start(F.col("_c")).cast("long").alias("_from"), "_piece")
+
+
+def _rechunked(pieces: DataFrame, halo: int, size: int) -> DataFrame:
+    """Chunks with halos put together from pieces (chr, from, piece) of any size."""
+    n = F.length("piece")
+    first, last = F.greatest(F.floor((F.col("from") - halo) / size), F.lit(0)), F.floor((F.col("from") + n - 1 + halo) / size)
+    t = pieces.filter(n > 0).select("chr", F.col("from").cast("long").alias("from"), F.upper("piece").alias("piece"), F.explode(F.sequence(first, last)).alias("_chunk"))
+    lo, hi = F.greatest(F.col("_chunk") * size - halo, F.lit(0)), F.col("_chunk") * size + size + halo
+    a = F.greatest("from", lo)
+    b = F.least(F.col("from") + n, hi)
+    part = t.filter(b > a).select("chr", "_chunk", a.alias("_a"), F.substr("piece", (a - F.col("from") + 1).cast("int"), (b - a).cast("int")).alias("_p"))
+    got = part.groupBy("chr", "_chunk").agg(F.array_sort(F.collect_list(F.struct("_a", "_p"))).alias("_x"))  # a chunk's letters
+    own = got.filter(F.exists("_x", lambda x: x["_a"] + F.length(x["_p"]) > F.col("_chunk") * size))  # no chunk that a halo alone reaches
+    return own.select("chr", "_chunk", F.element_at("_x", 1)["_a"].alias("_from"), F.array_join(F.transform("_x", lambda x: x["_p"]), "").alias("_piece"))
+
+
+def genome_sizes(genome: DataFrame) -> DataFrame:
+    """(chr, _len) of a genome in whole sequences or in pieces."""
+    if "piece" in genome.columns:
+        return genome.groupBy("chr").agg(F.max(F.col("from") + F.length("piece")).cast("long").alias("_len"))
+    return genome.select("chr", F.length("seq").cast("long").alias("_len"))
 
 
 def _on_genome(snps: DataFrame, genome: DataFrame, halo: int) -> tuple[DataFrame, object]:
     """SNPs with their chromosome's length (``_len``, null if unknown) and chunk, and a
     function (0-based start, length) -> letters. The start must lie within halo of pos."""
-    sizes = genome.select("chr", F.length("seq").cast("long").alias("_len"))
+    sizes = genome_sizes(genome)
     keyed = snps.withColumn("_chunk", F.floor(F.greatest(F.col("pos") - 1, F.lit(0)) / CHUNK))
     j = keyed.join(sizes, "chr", "left").join(genome_chunks(genome, halo), ["chr", "_chunk"], "left")
     return j, lambda start, n: F.substr(F.col("_piece"), (start - F.col("_from") + 1).cast("int"), F.lit(n) if isinstance(n, int) else n.cast("int"))

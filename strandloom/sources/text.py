@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.popgen import genotype
+from ..plans.runtime import materialize
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -72,6 +73,62 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rec.filter(F.trim("v") != "").select("ord", F.regexp_extract(head, r"^(\S*)", 1).alias("id"), F.trim(F.regexp_replace(head, r"^\S*", "")).alias("description"), body.alias("seq"))
 
 
+def read_genome(spark: SparkSession, path: str, size: int = 4096) -> DataFrame:
+    """A FASTA genome in pieces: (chr, from, piece), piece being up to ``size`` letters in upper
+    case and ``from`` the 0-based place of the first; chr is the first word of the header.
+
+    The file is read by lines in all of its blocks at once, so no row holds a chromosome and
+    a chromosome is no task. Each block numbers the records it meets and the places in them;
+    a record that began in an earlier block is found by the totals of the blocks before
+    (one row for each block and record). Lines in front of the first header are dropped.
+    The cutting and region operators take this table in place of (chr, seq)."""
+
+    def cut(batches):
+        import pyarrow as pa
+
+        names = ["file", "block", "rec", "name", "at", "piece"]
+        rows: list[tuple] = []
+        place, rec, name, at, parts, have = (None, None), 0, None, 0, [], 0
+
+        def flush():
+            nonlocal at, parts, have
+            if have or name is not None:
+                rows.append((*place, rec, name, at, "".join(parts)))
+            at, parts, have = at + have, [], 0
+
+        for b in batches:
+            for line, file, block in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if (file, block) != place:
+                    flush()
+                    place, rec, name, at = (file, block), 0, None, 0
+                if line.startswith(">"):
+                    flush()
+                    rec, name, at = rec + 1, (line[1:].split() or [""])[0], 0
+                    continue
+                text = "".join(line.split()).upper()
+                for i in range(0, len(text), size):
+                    part = text[i : i + size]
+                    if have and have + len(part) > size:
+                        flush()
+                    parts.append(part)
+                    have += len(part)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()))], names)
+                rows = []
+        flush()
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()))], names)
+
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    pieces = materialize(raw.mapInArrow(cut, "file string, block long, rec long, name string, at long, piece string")).df
+    each = pieces.groupBy("file", "block", "rec").agg(F.max("name").alias("name"), F.sum(F.length("piece")).alias("n"))
+    w = Window.partitionBy("file").orderBy("block", "rec")
+    each = each.withColumn("g", F.count("name").over(w))
+    run = Window.partitionBy("file", "g").orderBy("block", "rec")
+    known = each.select("file", "block", "rec", F.first("name").over(run).alias("chr"), F.coalesce(F.sum("n").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return pieces.filter(F.length("piece") > 0).join(known.filter("chr is not null"), ["file", "block", "rec"]).select("chr", (F.col("before") + F.col("at")).alias("from"), "piece")
+
+
 def read_snp_tsv(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     """SNP tables with a header; ``chrom`` is read as ``chr``; pos and scores are numbers. A
     table without a header has chr, pos, type, ref, alt. ValueError for missing columns."""

@@ -111,3 +111,36 @@ def test_stream(spark, tmp_path):
     finally:
         q.stop()
     assert rows(spark.read.parquet(str(tmp_path / "out")), "chr", "win", "n", "n_ts") == [("chr1", 0, 2, 1)]
+
+
+def test_read_genome_in_pieces(spark, tmp_path):
+    """Any block size gives the same genome, and the same probes and regions as whole sequences."""
+    import random
+
+    from strandloom.operators import intervals, probes
+
+    rng = random.Random(5)
+    seqs = {f"chr{i}": "".join(rng.choice("ACGTacgtN") for _ in range(n)) for i, n in enumerate((9000, 130, 0, 20_011))}
+    (tmp_path / "g").mkdir()
+    for name, keys in (("a.fa", ("chr0", "chr1", "chr2")), ("b.fa", ("chr3",))):
+        body = "".join(f">{k} some words\n" + "".join(seqs[k][i : i + 61] + "\r\n" for i in range(0, len(seqs[k]), 61)) for k in keys)
+        (tmp_path / "g" / name).write_text("lost letters\n" + body)
+    want = {k: v.upper() for k, v in seqs.items() if v}
+    whole = spark.createDataFrame(list(want.items()), "chr string, seq string")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for block in (700, 5000, 1 << 20):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+            genome = text.read_genome(spark, str(tmp_path / "g"), 256)
+            got = {}
+            for r in sorted(genome.collect(), key=lambda r: (r[0], r[1])):
+                assert len(got.get(r.chr, "")) == r["from"] and len(r.piece) <= 256
+                got[r.chr] = got.get(r.chr, "") + r.piece
+            assert got == want
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        snps = spark.createDataFrame([(c, p, "ts", want[c][p - 1], "A") for c in want for p in (1, 41, 60, 4096, 4097, 8190, 20_000) if p <= len(want[c])] + [("chrX", 5, "ts", "A", "G")], "chr string, pos long, type string, ref string, alt string")
+        bed = spark.createDataFrame([("chr0", 0, 9000, "+"), ("chr3", 4090, 4100, "-"), ("chr3", 8000, 20_011, "+"), ("chr1", 5, 131, "+")], "chr string, start long, end long, strand string")
+        for f in (lambda g: probes.cut_probes(snps, g).select("probe_id", "reject", "seq"), lambda g: probes.flanked(snps, g, clip=True).select("chr", "pos", "seq"), lambda g: intervals.region_sequences(bed, g)):
+            assert sorted(map(str, f(genome).collect())) == sorted(map(str, f(whole).collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
