@@ -26,6 +26,18 @@ def reason_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("fail_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def low_entropy(df: DataFrame, seq: str = "seq", threshold: float = 1.5) -> DataFrame:
+    """Sequences whose letters have an entropy below ``threshold`` bits; null and empty ones are none."""
+    from ..functions.seq import entropy
+
+    return df.filter(entropy(F.upper(F.col(seq))) < threshold)
+
+
+def strong_hairpins(df: DataFrame, score: str = "hairpin", threshold: float = 5.0) -> DataFrame:
+    """Rows whose hairpin score lies above ``threshold``; missing scores are none."""
+    return df.filter(F.col(score) > threshold)
+
+
 def nearest_rank(df: DataFrame, value: str, share: float) -> DataFrame:
     """One row ``threshold``: sorted value number min(int(share n), n - 1), from 0.
 
@@ -139,3 +151,17 @@ def validate_sequences(df: DataFrame, seq: str = "seq") -> DataFrame:
 def validate_intervals(df: DataFrame) -> DataFrame:
     """One row: intervals, those without an end, with a negative start, with end < start."""
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("start").isNull() | F.col("end").isNull()).alias("n_no_end"), F.count_if(F.col("start") < 0).alias("n_negative"), F.count_if(F.col("end") < F.col("start")).alias("n_reversed"))
+
+
+def classifier_database(files: list[str]) -> list[str]:
+    """Which of the files that a k-mer classifier's database needs are not among ``files``."""
+    have = {f.rstrip("/").rsplit("/", 1)[-1] for f in files}
+    return sorted({"hash.k2d", "opts.k2d", "taxo.k2d"} - have)
+
+
+def aligner_index(files: list[str], prefix: str) -> list[str]:
+    """Which of the six files of an aligner's index ``prefix`` are not among ``files``;
+    the short and the long form (``.bt2``, ``.bt2l``) count alike."""
+    have = {f.rsplit("/", 1)[-1] for f in files}
+    need = ["1", "2", "3", "4", "rev.1", "rev.2"]
+    return [f"{prefix}.{n}.bt2" for n in need if not {f"{prefix}.{n}.bt2", f"{prefix}.{n}.bt2l"} & have]

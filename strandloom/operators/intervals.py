@@ -8,6 +8,8 @@ away beforehand where only membership is asked (``covered``).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,18 +24,40 @@ def clean_intervals(bed: DataFrame) -> DataFrame:
     return bed.filter("chr is not null and start is not null and end is not null and end > start")
 
 
+#: Width of the tiles in which running maxima are taken.
+TILE = 100_000
+
+
+def running_max(df: DataFrame, keys: list[str], at: str, value: str, out: str, width: int = TILE) -> DataFrame:
+    """Adds ``out``: the largest ``value`` among the rows of the same keys with a smaller ``at``;
+    null where there is none. (keys, at) must be unique; null keys are equal.
+
+    Chromosomes and genes are too few and too uneven to be tasks, so the window runs inside
+    tiles of ``width`` positions (no more rows than that each), and each tile gets the largest
+    value of the tiles before it, of which there is one row a tile."""
+    tile, own, carry = "_tile", "_own_max", "_carry"
+    t = df.withColumn(tile, F.floor(F.col(at) / width))
+    top = t.groupBy(*keys, tile).agg(F.max(value).alias("_top"))
+    before = Window.partitionBy(*keys).orderBy(tile).rowsBetween(Window.unboundedPreceding, -1)
+    there = top.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, tile])], F.max("_top").over(before).alias(carry))
+    inside = Window.partitionBy(*keys, tile).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn(own, F.max(value).over(inside))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate([*keys, tile])])
+    return t.join(there, same).withColumn(out, F.greatest(own, carry)).drop(tile, own, carry, *[f"_k{i}" for i in range(len(keys) + 1)])
+
+
 def merge_intervals(bed: DataFrame, by: list[str] = ("chr",), distance: int = 0) -> DataFrame:
     """Intervals of one key united where the next start is at most ``distance`` behind the
     running end: keys, start, end, ``n`` (intervals united). Null or empty intervals are
     left out."""
     keys = list(by)
-    w = Window.partitionBy(*keys).orderBy("start", "end")
-    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(before.isNull() | (F.col("start") > before + distance), 1).otherwise(0)
-    # equal intervals are pre-aggregated, so that a hot key isn't sorted row by row
-    distinct = clean_intervals(bed).groupBy(*keys, "start", "end").agg(F.count(F.lit(1)).alias("_n"))
-    island = distinct.withColumn("_new", new).withColumn("_island", F.sum("_new").over(w))
-    return island.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("_n").alias("n")).drop("_island")
+    # intervals of one start are pre-aggregated to the longest: they are always in one island
+    starts = clean_intervals(bed).groupBy(*keys, "start").agg(F.max("end").alias("end"), F.count(F.lit(1)).alias("_n"))
+    t = running_max(starts, keys, "start", "end", "_before")
+    t = t.withColumn("_new", F.when(F.col("_before").isNull() | (F.col("start") > F.col("_before") + distance), F.col("start")))
+    # an island is named by its first start, the last new one so far
+    t = running_max(t, keys, "start", "_new", "_last").withColumn("_island", F.coalesce("_new", "_last"))
+    return t.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("_n").alias("n")).drop("_island")
 
 
 def complement(bed: DataFrame, chroms: DataFrame) -> DataFrame:
@@ -42,8 +66,8 @@ def complement(bed: DataFrame, chroms: DataFrame) -> DataFrame:
     inside = clean_intervals(bed).join(chroms, "chr").select("chr", F.greatest("start", F.lit(0)).alias("start"), F.least("end", "len").alias("end"))
     merged = merge_intervals(inside.filter("end > start"))
     ends = merged.select("chr", "start", "end").unionByName(chroms.select("chr", F.col("len").alias("start"), F.col("len").alias("end")))
-    w = Window.partitionBy("chr").orderBy("start", "end")
-    return ends.select("chr", F.coalesce(F.lag("end").over(w), F.lit(0)).cast("long").alias("s"), F.col("start").cast("long").alias("e")).filter("s < e").select("chr", F.col("s").alias("start"), F.col("e").alias("end"))
+    gaps = running_max(ends, ["chr"], "start", "end", "_before")
+    return gaps.select("chr", F.coalesce("_before", F.lit(0)).cast("long").alias("s"), F.col("start").cast("long").alias("e")).filter("s < e").select("chr", F.col("s").alias("start"), F.col("e").alias("end"))
 
 
 def slop(bed: DataFrame, chroms: DataFrame, distance: int) -> DataFrame:
@@ -68,24 +92,31 @@ def binned(bed: DataFrame, width: int = BIN) -> DataFrame:
     return bed.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
 
 
+def _merged_bins(bed: DataFrame, base: str, width: int) -> tuple[DataFrame, Column]:
+    """Merged intervals by bin (_c, _bin, _s, _e), and the condition that a point lies in one;
+    a point lies in one at most."""
+    if base == "inclusive":
+        merged = merge_intervals(bed.withColumn("end", F.col("end") + 1)).withColumn("end", F.col("end") - 1)
+    else:
+        merged = merge_intervals(bed)
+    b = binned(merged, width).select(F.col("chr").alias("_c"), "_bin", F.col("start").alias("_s"), F.col("end").alias("_e"))
+    return b, (F.col("chr") == F.col("_c")) & (F.floor(F.col("pos") / width) == F.col("_bin")) & _inside(F.col("pos"), F.col("_s"), F.col("_e"), base)
+
+
 def covered(points: DataFrame, bed: DataFrame, keep: bool = True, base: str = "one_based", width: int = BIN) -> DataFrame:
     """Points (chr, pos, …) inside some interval, or with ``keep=False`` inside none.
 
     Intervals are merged first, so a position meets few; then a semi or anti join on
     bins. Points with a null chr or pos are inside none. No interval: none kept.
     """
-    if base == "inclusive":
-        merged = merge_intervals(bed.withColumn("end", F.col("end") + 1)).withColumn("end", F.col("end") - 1)
-    else:
-        merged = merge_intervals(bed)
-    b = binned(merged, width).select(F.col("chr").alias("_c"), "_bin", F.col("start").alias("_s"), F.col("end").alias("_e"))
-    on = (F.col("chr") == F.col("_c")) & (F.floor(F.col("pos") / width) == F.col("_bin")) & _inside(F.col("pos"), F.col("_s"), F.col("_e"), base)
+    b, on = _merged_bins(bed, base, width)
     return points.join(b, on, "left_semi" if keep else "left_anti")
 
 
 def flag_covered(points: DataFrame, bed: DataFrame, flag: str = "in_region", base: str = "inclusive", width: int = BIN) -> DataFrame:
-    """Adds ``flag``: whether the point lies in some interval."""
-    return covered(points, bed, True, base, width).withColumn(flag, F.lit(True)).unionByName(covered(points, bed, False, base, width).withColumn(flag, F.lit(False)))
+    """Adds ``flag``: whether the point lies in some interval. One pass over points and intervals."""
+    b, on = _merged_bins(bed, base, width)
+    return points.join(b, on, "left").withColumn(flag, F.col("_bin").isNotNull()).drop("_c", "_bin", "_s", "_e")
 
 
 def features_at(points: DataFrame, bed: DataFrame, base: str = "inclusive", width: int = BIN) -> DataFrame:

@@ -30,20 +30,72 @@ def site_arrays(long: DataFrame) -> DataFrame:
     return long.groupBy("chr", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample", "gt"))), lambda x: x["gt"]).alias("gts"))
 
 
+def _pair_sums(long: DataFrame, value: str, products) -> DataFrame:
+    """(s1, s2, x, n) summed over sites for pairs s1 <= s2 of samples: of ``products`` (matrix of
+    values with nan, its mask) -> (x, n), both samples x samples. Sites come as one row
+    with all their samples; a task multiplies blocks of sites as matrices and gives one row a
+    pair at its end, so what is shuffled doesn't grow with the sites."""
+    kind = long.schema["sample"].dataType.simpleString()
+    sites = long.filter("sample is not null").groupBy("chr", "pos").agg(F.collect_list("sample").alias("s"), F.collect_list(F.coalesce(F.col(value).cast("double"), F.lit(float("nan")))).alias("v"))
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        place: dict = {}
+        x, n = np.zeros((0, 0)), np.zeros((0, 0))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            names = pc.dictionary_encode(b.column(0).flatten())
+            here = np.array([place.setdefault(k, len(place)) for k in names.dictionary.to_pylist()], np.int64)
+            if len(place) > len(x):
+                grow = (0, len(place) - len(x))
+                x, n = np.pad(x, grow), np.pad(n, grow)
+            col, val = here[np.asarray(names.indices)], np.asarray(b.column(1).flatten())
+            off = np.asarray(b.column(0).offsets).astype(np.int64)
+            off -= off[0]
+            step = max(1, 4_000_000 // len(place))
+            for i in range(0, b.num_rows, step):
+                j = min(i + step, b.num_rows)
+                g, here_mask = np.full((j - i, len(place)), np.nan), np.zeros((j - i, len(place)))
+                row, cells = np.repeat(np.arange(j - i), np.diff(off[i : j + 1])), slice(off[i], off[j])
+                g[row, col[cells]], here_mask[row, col[cells]] = val[cells], 1
+                dx, dn = products(g, here_mask)
+                x += dx
+                n += dn
+        keys = list(place)
+        order = sorted(range(len(keys)), key=keys.__getitem__)
+        for a, i in enumerate(order):  # one sample's pairs at a time
+            to = np.array(order[a:])
+            yield pa.RecordBatch.from_arrays([pa.array([keys[i]] * len(to)), pa.array([keys[j] for j in to]), pa.array(x[i, to]), pa.array(n[i, to])], ["s1", "s2", "x", "n"])
+
+    return sites.select("s", "v").mapInArrow(run, f"s1 {kind}, s2 {kind}, x double, n double").groupBy("s1", "s2").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+
+
 def ibs_distance(long: DataFrame) -> DataFrame:
     """1 - IBS for pairs s1 < s2: ``diff`` (sum of |g1 - g2|), ``n_sites`` (both known), ``d`` =
     diff / (2 n_sites), null without shared sites. (chr, pos, sample) must be unique."""
-    g = long.groupBy("chr", "pos").agg(F.array_sort(F.collect_list(F.struct("sample", "gt"))).alias("g"))
-    i = g.select("g", F.posexplode("g").alias("i", "a"))
-    p = i.select("a", F.explode(F.slice("g", F.col("i") + 2, F.greatest(F.size("g") - F.col("i") - 1, F.lit(0)))).alias("b"))
-    known = F.col("a.gt").isNotNull() & F.col("b.gt").isNotNull()
-    out = p.groupBy(F.col("a.sample").alias("s1"), F.col("b.sample").alias("s2")).agg(F.coalesce(F.sum(F.when(known, F.abs(F.col("a.gt") - F.col("b.gt")))), F.lit(0)).cast("long").alias("diff"), F.count_if(known).alias("n_sites"))
+
+    def products(g, _):
+        known = (~np.isnan(g)).astype(float)
+        g = np.nan_to_num(g)
+        diff = np.zeros((g.shape[1], g.shape[1]))
+        for t in range(1, int(g.max(initial=0)) + 1):  # |a - b| counts the levels that one of the two reaches
+            at = (g >= t).astype(float)
+            cross = at.T @ known
+            diff += cross + cross.T - 2 * (at.T @ at)
+        return diff, known.T @ known
+
+    sums = _pair_sums(long, "gt", products).filter("s1 < s2")
+    out = sums.select("s1", "s2", F.col("x").cast("long").alias("diff"), F.col("n").cast("long").alias("n_sites"))
     return out.withColumn("d", F.when(F.col("n_sites") > 0, F.col("diff") / (2 * F.col("n_sites"))))
 
 
 def compare_distances(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row over the pairs with both distances: n_pairs, pearson, spearman (average
-    ranks), mean_abs_diff, and p-values; statistics are null below three pairs."""
+    ranks), mean_abs_diff; statistics are null below three pairs. ``correlation_p`` has
+    the p-value of a coefficient."""
     j = a.select("s1", "s2", F.col("d").alias("x")).join(b.select("s1", "s2", F.col("d").alias("y")), ["s1", "s2"]).filter("x is not null and y is not null")
     for c in ("x", "y"):
         vals = j.groupBy(c).agg(F.count(F.lit(1)).alias("_k"))
@@ -165,10 +217,11 @@ def relationship(long: DataFrame) -> tuple[list[str], np.ndarray]:
         raise ValueError("a relationship matrix is meant for at most 5000 samples")
     freq = long.filter("gt is not null").groupBy("chr", "pos").agg((F.avg("gt") / 2).alias("p")).filter("p > 0 and p < 1")
     z = long.join(freq, ["chr", "pos"]).withColumn("z", F.coalesce((F.col("gt") - 2 * F.col("p")) / F.sqrt(2 * F.col("p") * (1 - F.col("p"))), F.lit(0.0)))
-    g = z.groupBy("chr", "pos").agg(F.array_sort(F.collect_list(F.struct("sample", "z"))).alias("g"))
-    i = g.select("g", F.posexplode("g").alias("i", "a"))
-    p = i.select("a", F.explode(F.slice("g", F.col("i") + 1, F.size("g"))).alias("b"))
-    cells = p.groupBy(F.col("a.sample").alias("s1"), F.col("b.sample").alias("s2")).agg(F.avg(F.col("a.z") * F.col("b.z")).alias("v")).collect()
+    def products(g, there):
+        g = np.nan_to_num(g)
+        return g.T @ g, there.T @ there
+
+    cells = _pair_sums(z, "z", products).filter("n > 0").select("s1", "s2", (F.col("x") / F.col("n")).alias("v")).collect()
     at = {s: k for k, s in enumerate(samples)}
     m = np.zeros((len(samples), len(samples)))
     for s1, s2, v in cells:
@@ -189,3 +242,36 @@ def pca_similarity(a: DataFrame, b: DataFrame) -> DataFrame:
     j = a.select("sample", F.col("pc").alias("x")).join(b.select("sample", F.col("pc").alias("y")), "sample").orderBy("sample").collect()
     v = procrustes_similarity(np.array([r[1] for r in j]), np.array([r[2] for r in j])) if len(j) > 1 else float("nan")
     return a.sparkSession.createDataFrame([(len(j), float(v))], "n_samples int, similarity double")
+
+
+def cluster_order(distances: DataFrame) -> DataFrame:
+    """(sample, place): samples in the order of an average-linkage clustering of distances
+    (s1, s2, d), which puts like rows of a distance matrix side by side; missing distances count
+    as the mean. Samples squared are held by the driver, as for the matrix's picture."""
+    rows = distances.select("s1", "s2", "d").collect()  # pairs of samples
+    names = sorted({x for r in rows for x in (r[0], r[1])})
+    at = {s: i for i, s in enumerate(names)}
+    known = [r[2] for r in rows if r[2] is not None]
+    m = np.full((len(names), len(names)), float(np.mean(known)) if known else 0.0)
+    for a, b, d in rows:
+        if d is not None:
+            m[at[a], at[b]] = m[at[b], at[a]] = d
+    np.fill_diagonal(m, np.inf)
+    leaves, size, alive = [[i] for i in range(len(names))], np.ones(len(names)), list(range(len(names)))
+    while len(alive) > 1:
+        part = m[np.ix_(alive, alive)]
+        i, j = divmod(int(part.argmin()), len(alive))
+        a, b = alive[min(i, j)], alive[max(i, j)]
+        joined = (size[a] * m[a] + size[b] * m[b]) / (size[a] + size[b])
+        m[a], m[:, a] = joined, joined
+        m[a, a] = np.inf
+        leaves[a], size[a] = leaves[a] + leaves[b], size[a] + size[b]
+        alive.remove(b)
+    order = leaves[alive[0]] if alive else []
+    kind = distances.schema["s1"].dataType.simpleString()
+    return distances.sparkSession.createDataFrame([(names[i], k) for k, i in enumerate(order)], f"sample {kind}, place int")
+
+
+def explained(components: DataFrame) -> DataFrame:
+    """(component, percent): the share of variance that each principal component explains."""
+    return components.select(F.posexplode("explained").alias("_i", "percent")).groupBy((F.col("_i") + 1).alias("component")).agg(F.max("percent").alias("percent"))

@@ -130,3 +130,29 @@ def proportional_sample(a: DataFrame, b: DataFrame, key: list[str], total: int,
     quota = sizes.select("stratum", F.greatest(F.lit(1), F.floor(F.col("n") * total / all_keys)).alias("quota"))
     order = Window.partitionBy("stratum").orderBy(shuffled(seed, *[F.col(k) for k in key]), *key)
     return one.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= total).join(F.broadcast(quota), "stratum").filter("_r <= quota").select(*key, "stratum")
+
+
+def pick_weighted(df: DataFrame, scores: list[str], weights: list[float], order: list[str], size: int = 10_000) -> DataFrame:
+    """One row of each window of ``size`` places (the first is 1 to size): the one with the largest
+    ``weighted_score``, the sum of weight times 1 - (score - least) / (greatest - least)
+    within the window; a missing score, or one that is equal in all of the window, adds
+    nothing. Ties go by pos and ``order``. Rows without chr or pos are left out."""
+    d = df.filter("chr is not null and pos is not null").withColumn("win", F.floor((F.col("pos") - 1) / F.lit(size)))
+    w = Window.partitionBy("chr", "win")
+    total = F.lit(0.0)
+    for c, weight in zip(scores, weights):
+        lo, hi = F.min(c).over(w), F.max(c).over(w)
+        total = total + F.coalesce(F.when(hi > lo, (1 - (F.col(c) - lo) / (hi - lo)) * float(weight)), F.lit(0.0))
+    ranked = d.withColumn("weighted_score", total)
+    first = w.orderBy(F.col("weighted_score").desc(), "pos", *order)
+    return ranked.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
+
+
+def first_rows(df: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """The first ``n`` rows in ``order`` (a reader's ``ord``, or a total order)."""
+    return df.orderBy(*order).limit(n)
+
+
+def without_scores(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Without the biophysical columns that it has, but for those to ``keep``."""
+    return df.drop(*[c for c in (*SCORES, "entropy") if c in df.columns and c not in keep])

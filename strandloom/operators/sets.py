@@ -57,3 +57,17 @@ def merge_dedup(tables: list[tuple[str, DataFrame]], key: str = "id", seq: str =
 def natural_merge(tables: list[DataFrame], how: str = "inner") -> DataFrame:
     """Tables folded by a join on all columns that two of them have in common."""
     return reduce(lambda a, b: a.join(b, [c for c in a.columns if c in b.columns], how), tables)
+
+
+def merge_by_id(sets: list[DataFrame], key: str) -> DataFrame:
+    """All rows of several sets with the same columns, one for each id: that of the first
+    set that has it, the smallest row where a set has several. Null ids are left out."""
+    rest = [c for c in sets[0].columns if c != key]
+    every = [s.filter(F.col(key).isNotNull()).select(key, F.struct(F.lit(i).alias("_no"), *rest).alias("_row")) for i, s in enumerate(sets)]
+    best = reduce(lambda a, b: a.unionByName(b), every).groupBy(key).agg(F.min("_row").alias("_row"))
+    return best.select(key, *[F.col(f"_row.{c}").alias(c) for c in rest])
+
+
+def outer_merge(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of either of two selections with the same columns, those of both once."""
+    return a.unionByName(b).distinct()

@@ -74,3 +74,27 @@ def neighbour_counts(df: DataFrame, flank: int, tile: int = 100_000) -> DataFram
 def cluster_filter(df: DataFrame, flank: int = 60, most: int = 3, least: int = 1) -> DataFrame:
     """Rows with ``least`` to ``most`` rows within ``flank``, themselves included."""
     return neighbour_counts(df, flank).filter(F.col("n_near").between(least, most))
+
+
+def row_limited_counts(df: DataFrame, flank: int, order: list[str], tile: int = 100_000) -> DataFrame:
+    """Adds ``n_near``: rows of the same chr within ``flank`` of pos that are also no more than
+    ``flank`` rows away in the order (pos, ``order``), itself included; it differs from
+    ``neighbour_counts`` only where more than that lie so near. ``order`` must make the order
+    total. All rows between two near ones are near too, so a tile with a halo sees them all."""
+    d = df.filter("chr is not null and pos is not null")
+    pos = F.col("pos").cast("long")
+    first, last = F.floor((pos - flank) / F.lit(tile)), F.floor((pos + flank) / F.lit(tile))
+    tiled = d.withColumn("_own", F.floor(pos / F.lit(tile))).withColumn("_tile", F.explode(F.sequence(first, last)))
+    w = Window.partitionBy("chr", "_tile").orderBy(pos, *order).rowsBetween(-flank, flank)
+    near = F.size(F.filter(F.collect_list(pos).over(w), lambda x: F.abs(x - pos) <= flank))  # 2 flank + 1 values at most
+    return tiled.withColumn("n_near", near.cast("long")).filter("_tile = _own").drop("_own", "_tile")
+
+
+def at_sites(rows: DataFrame, sites: DataFrame) -> DataFrame:
+    """Rows (a VCF's, or genotypes) at the places (chr, pos) of ``sites``, each as often as it is there."""
+    return rows.join(sites.select("chr", "pos"), ["chr", "pos"], "left_semi")
+
+
+def of_samples(genotypes: DataFrame, samples: DataFrame) -> DataFrame:
+    """Genotypes (…, sample, …) of the samples listed."""
+    return genotypes.join(samples.select("sample"), "sample", "left_semi")
