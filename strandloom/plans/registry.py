@@ -974,3 +974,158 @@ def g1_group_stats(spark, d):
 def g9_families(spark, d):
     """Linked families standing in for greedy clustering."""
     return assess.greedy_families(view(spark, d, "v_probes"), "id", "seq")
+
+
+# ---- further operators: each with its SQL ----
+
+
+@query("rec9_shift", "select chr, pos, pos - 21 as start_l, pos + 60 as stop_l, pos - 48 as start_r, pos + 33 as stop_r from @v_sites@")
+def rec9_shift(spark, d):
+    """Probes with the SNP moved to the left by a quarter and to the right by seven."""
+    shifts = [probes.position_shift("left", 81), probes.position_shift("right", 81, 7)]
+    for s in shifts:
+        probes.check_shift(81, s)
+    (a, z, _), (b, y, _) = (probes.probe_window(F.col("pos"), 81, s) for s in shifts)
+    return view(spark, d, "v_sites").select("chr", "pos", a.alias("start_l"), z.alias("stop_l"), b.alias("start_r"), y.alias("stop_r"))
+
+
+@query("rec22_prune", "select snp_id, run_id, chr, pos, ref, alt, type, hairpin from @v_snps@")
+def rec22_prune(spark, d):
+    return select.without_scores(view(spark, d, "v_snps"), keep=("hairpin",))
+
+
+_ENTROPY_SQL = "with c as (select id, seq, unnest(string_split(seq, '')) as ch from @v_probes@ where seq <> ''), n as (select id, seq, ch, count(*) as c from c group by all) select id, seq from n group by id, seq having sum(-(c::double / length(seq)) * ln(c::double / length(seq))) / ln(2) < {}"
+
+
+@query("f12_low_entropy", _ENTROPY_SQL.format(1.9))
+def f12_low_entropy(spark, d):
+    """Below 1.9 bits: the default of 1.5 finds nothing in these tables."""
+    return filters.low_entropy(view(spark, d, "v_probes"), threshold=1.9).select("id", "seq")
+
+
+@query("f13_strong_hairpin", "select snp_id, hairpin from @v_snps@ where hairpin > 5")
+def f13_strong_hairpin(spark, d):
+    return filters.strong_hairpins(view(spark, d, "v_snps")).select("snp_id", "hairpin")
+
+
+@query("f15_kraken_chain", "select p.id from @v_probes@ p where p.id not in (select id from (select id, length(id) % 2 as db, sum(case when try_cast(split_part(x, ':', 1) as bigint) > 0 then coalesce(try_cast(split_part(x, ':', 2) as bigint), 0) else 0 end) as n from (select id, unnest(string_split(line, ' ')) as x from @v_kraken@) group by all) where n >= 20)")
+def f15_kraken_chain(spark, d):
+    """Two classifier outputs one after the other."""
+    k = view(spark, d, "v_kraken")
+    return filters.background_filter(view(spark, d, "v_probes").select("id"), [k.filter("length(id) % 2 = 0"), k.filter("length(id) % 2 = 1")], 20)
+
+
+@query("f19_variant_only", f"with t as (select region_id, label, s, substr(seq, s + 1, 81) as tile from ({_TILES.format('@v_alleles@')})), g as (select region_id, cast(s as int) as start, tile, min(label) as label, count(*) as n_alleles from t where not contains(tile, 'N') group by all) select * from (select *, count(*) over (partition by region_id, start) as n_forms from g) where n_forms > 1")
+def f19_variant_only(spark, d):
+    return haplo.haplotype_tiles(view(spark, d, "v_alleles"), variant_only=True)
+
+
+@query("j16_subset", "select chr, pos, sample, gt from @v_gt@ where (chr, pos) in (select chr, pos from @v_sites@ where type = 'ts') and sample in (select sample from @v_pops@ where pop = 'B')")
+def j16_subset(spark, d):
+    sites, samples = view(spark, d, "v_sites").filter("type = 'ts'"), view(spark, d, "v_pops").filter("pop = 'B'")
+    return variants.of_samples(variants.at_sites(view(spark, d, "v_gt"), sites), samples).select("chr", "pos", "sample", "gt")
+
+
+@query("j17_common_samples", "select sample from @v_pops@ where sample in (select sample from @v_gt@)")
+def j17_common_samples(spark, d):
+    """The samples that two component tables would be compared on."""
+    return variants.of_samples(view(spark, d, "v_pops"), view(spark, d, "v_gt").select("sample").distinct()).select("sample")
+
+
+@query("j19_outer_merge", f"with f as (select chr, pos, ref, alt from @v_sites@ s where exists (select 1 from @v_bed@ b where b.chr = s.chr and s.pos between b.start and b.@end@)), w as (select chr, pos, ref, alt from @v_sites@ s qualify row_number() over (partition by chr, pos // 10000 order by {_RND}, pos, ref, alt) <= 1) select * from f union select * from w")
+def j19_outer_merge(spark, d):
+    """SNPs in features and one SNP of every window, together."""
+    v = view(spark, d, "v_sites")
+    picked = select.select_priority(v.withColumn("_p", F.lit(0)), "_p", 1)
+    cols = ["chr", "pos", "ref", "alt"]
+    return sets.outer_merge(intervals.covered(v, view(spark, d, "v_bed"), base="inclusive").select(*cols), picked.select(*cols))
+
+
+@query("j20_vcf_rows", "select chr, pos, ref, alt, n_alt from @v_variants@ where (chr, pos) in (select chr, pos from @v_sites@ where type = 'tv')")
+def j20_vcf_rows(spark, d):
+    return variants.at_sites(view(spark, d, "v_variants"), view(spark, d, "v_sites").filter("type = 'tv'")).select("chr", "pos", "ref", "alt", "n_alt")
+
+
+@query("w2_row_limited", "select chr, pos, ref, alt, cast(len(list_filter(near, lambda x: abs(x - pos) <= 20)) as bigint) as n_near from (select distinct chr, pos, ref, alt, list(pos) over (partition by chr order by pos, ref, alt rows between 20 preceding and 20 following) as near from (select distinct chr, pos, ref, alt from @v_snps@))")
+def w2_row_limited(spark, d):
+    v = view(spark, d, "v_snps").select("chr", "pos", "ref", "alt").distinct()
+    return variants.row_limited_counts(v, 20, ["ref", "alt"]).select("chr", "pos", "ref", "alt", "n_near")
+
+
+_PICK = " + ".join(f"coalesce(case when max({c}) over w > min({c}) over w then (1 - ({c} - min({c}) over w) / (max({c}) over w - min({c}) over w)) * {k}::double end, 0)" for c, k in (("gc", 1.0), ("tm", 2.0), ("hairpin", 0.5)))
+
+
+@query("w6_pick_weighted", f"select snp_id, chr, pos, round(s, 6) as weighted_score from (select *, {_PICK} as s from (select *, (pos - 1) // 10000 as win from @v_snps@) window w as (partition by chr, win)) qualify row_number() over (partition by chr, win order by s desc, pos, snp_id) = 1")
+def w6_pick_weighted(spark, d):
+    p = select.pick_weighted(view(spark, d, "v_snps"), ["gc", "tm", "hairpin"], [1.0, 2.0, 0.5], ["snp_id"])
+    return p.select("snp_id", "chr", "pos", F.round("weighted_score", 6).alias("weighted_score"))
+
+
+@query("t1_sorted", "select chr, pos, ref, alt from @v_sites@")
+def t1_sorted(spark, d):
+    return view(spark, d, "v_sites").select("chr", "pos", "ref", "alt").orderBy("chr", "pos", "ref", "alt")
+
+
+@query("t7_first", "select chr, pos, ref, alt from @v_sites@ order by pos, chr, ref, alt limit 200")
+def t7_first(spark, d):
+    return select.first_rows(view(spark, d, "v_sites"), 200, ["pos", "chr", "ref", "alt"]).select("chr", "pos", "ref", "alt")
+
+
+@query("u5_merge_by_id", f"with e as (select 0 as no, id, seq from @v_probes@ union all select 1, id, seq from ({_ASSESSED})) select id, seq from e qualify row_number() over (partition by id order by no, seq) = 1")
+def u5_merge_by_id(spark, d):
+    a = view(spark, d, "assessment_result").filter("sequence is not null").select(F.col("probe_id").alias("id"), F.upper(F.regexp_replace("sequence", "[^A-Za-z]+", "")).alias("seq"))
+    return sets.merge_by_id([view(spark, d, "v_probes"), a], "id")
+
+
+def _overlapping(spark, d):
+    s = view(spark, d, "v_snps")
+    return [s.filter(x).select("chr", "pos", "ref", "alt", "type") for x in ("gc > 40", "tm > 60", "type = 'tv'")]
+
+
+_OVERLAP = "with f as (select chr, pos, ref, alt, 0 as no from @v_snps@ where gc > 40 union select chr, pos, ref, alt, 1 from @v_snps@ where tm > 60 union select chr, pos, ref, alt, 2 from @v_snps@ where type = 'tv'), g as (select chr, pos, ref, alt, count(*) as n, min(no) as lo from f group by all) select chr, pos, ref, alt, case when ref || alt in ('AG', 'GA', 'CT', 'TC') then 'ts' else 'tv' end as type from g where "
+for _name, _how, _test in (("u1_intersect_overlap", "intersection", "n = 3"), ("u3_diff_overlap", "difference", "n = 1 and lo = 0"), ("u4_symdiff_overlap", "symmetric", "n % 2 = 1")):
+
+    @query(_name, _OVERLAP + _test)
+    def _overlap_set(spark, d, how=_how):
+        return sets.combine(_overlapping(spark, d), ["chr", "pos", "ref", "alt"], how)
+
+
+@query("u6_bag_union", f"select region_id as id, substr(seq, s + 1, 81) as tile from ({_TILES.format('@v_alleles@')}) where not contains(substr(seq, s + 1, 81), 'N') union all select id, seq from @v_probes@")
+def u6_bag_union(spark, d):
+    tiles = probes.tile_regions(view(spark, d, "v_alleles")).select(F.col("region_id").alias("id"), "tile")
+    return tiles.unionByName(view(spark, d, "v_probes").select("id", F.col("seq").alias("tile")))
+
+
+def _probe_tm_sql(table: str) -> str:
+    t = thermo.TABLES[table]
+
+    def side(part: int) -> str:
+        values = " ".join(f"when '{k}' then {v}" for k, v in thermo.steps(table, part).items())
+        x = f"(select cast(sum(case substr(seq, i, 2) {values} end) as int) from (select unnest(range(1, length(seq))) as i)) + {round(t.get('init', (0, 0))[part] * 10)}"
+        if "init_GC" in t:
+            x += "".join(f" + case when seq[{i}] in ('G', 'C') then {round(t['init_GC'][part] * 10)} else {round(t['init_AT'][part] * 10)} end" for i in ("1", "-1"))
+        if "one_GC" in t:
+            x += f" + case when regexp_matches(seq, '[GC]') then {round(t['one_GC'][part] * 10)} else {round(t['all_AT'][part] * 10)} end"
+        return x
+
+    return f"""select id, round(case when n < 2 then null when n < 14 then 2.0::double * acgt + 2 * gc when ok then 100.0::double * h / (s / 10.0::double + 0.368::double * (n - 1) * ln(0.05::double) + 1.987::double * ln(2.5e-7::double)) - 273.15::double
+        else 81.5::double + 16.6::double * log10(0.05::double) + 41.0::double * gc / n - 500.0::double / n end, 6) as tm from (select id, length(seq) as n, length(regexp_replace(seq, '[^GC]', '', 'g')) as gc, length(regexp_replace(seq, '[^ACGT]', '', 'g')) as acgt, regexp_full_match(seq, '[ACGT]+') as ok,
+        case when regexp_full_match(seq, '[ACGT]+') then {side(0)} end as h, case when regexp_full_match(seq, '[ACGT]+') then {side(1)} end as s from @v_probes@)"""
+
+
+for _table in thermo.TABLES:
+
+    @query(f"x3_tm_probe_{_table}", _probe_tm_sql(_table))
+    def _tm_probe(spark, d, table=_table):
+        return view(spark, d, "v_probes").select("id", F.round(thermo.tm_probe(F.col("seq"), table), 6).alias("tm"))
+
+
+@query("x13_ungapped", "select region_id, label, cast(strpos(seq, substr(seq, 31, 40)) - 1 as int) as at from @v_alleles@ where length(seq) >= 80")
+def x13_ungapped(spark, d):
+    """A window with gaps put in finds its first place in the allele without them."""
+    a = view(spark, d, "v_alleles").filter("length(seq) >= 80")
+    window = F.concat(F.substring("seq", 31, 15), F.lit("--"), F.substring("seq", 46, 25), F.lit("-"))
+    return a.select("region_id", "label", seq.ungapped_position(window, F.col("seq")).alias("at"))
+
+
+from . import roundtrips  # noqa: E402, F401  (registers its queries here)
