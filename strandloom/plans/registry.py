@@ -188,7 +188,15 @@ def rec20_iupac(spark, d):
     return p.filter("n_other <= 2")
 
 
-@query("rec20_iupac_replaced")
+_IUPAC_SQL = " ".join(f"when '{k}' then '{v}'" for k, v in seq.IUPAC.items())
+
+
+@query(
+    "rec20_iupac_replaced",
+    f"""with p as (select row_number() over () as no, id, seq from @v_probes@), c as (select no, id, unnest(string_split(seq, '')) as ch, unnest(range(0, length(seq))) as i from p where seq <> ''),
+    r as (select no, i, case when choices is null then ch else {_pick_sql('choices', "id || ':' || i")} end as x from (select *, case ch {_IUPAC_SQL} end as choices from c))
+    select id, seq, coalesce(plain, '') as plain from p left join (select no, string_agg(x, '' order by i) as plain from r group by no) using (no)""",
+)
 def rec20_iupac_replaced(spark, d):
     """Ambiguity letters replaced; nothing but other unknown letters is left of them."""
     p = view(spark, d, "v_probes")
@@ -455,13 +463,25 @@ def a20_variable_positions(spark, d):
     return haplo.variable_positions(view(spark, d, "v_alleles"))
 
 
-@query("w13_msa_tiles")
+_MSA = """select region_id, label, cast(s as int) as column, tile, cast(strpos(replace(aligned, '-', ''), tile) - 1 as int) as start from (select *, upper(replace(substr(aligned, s + 1, 81), '-', '')) as tile
+    from (select *, unnest(list_distinct(list_concat(range(0, n - 80, 30), [n - 81]))) as s from (select *, length(aligned) as n from ({})) where n >= 81)) where length(tile) = 81 and not contains(tile, 'N')"""
+
+
+@query("w13_msa_tiles", _MSA.format("select region_id, label, substr(seq, 1, 50) || '---' || substr(seq, 51) as aligned from @v_alleles@"))
 def w13_msa_tiles(spark, d):
     """Alleles with a gap put in as an aligner would; every tile maps back to its allele."""
     a = view(spark, d, "v_alleles").select("region_id", "label", F.concat(F.substring("seq", 1, 50), F.lit("---"), F.expr("substring(seq, 51)")).alias("aligned"))
     return haplo.aligned_tiles(a)
 
 
+@query("w13_msa_gaps", _MSA.format("select region_id, label, substr(seq, 1, 90 + length(seq) % 70) || repeat('-', 1 + length(seq) % 7) || substr(seq, 91 + length(seq) % 70, 45) || repeat('-', 12) || substr(seq, 136 + length(seq) % 70) as aligned from @v_alleles@"))
+def w13_msa_gaps(spark, d):
+    """Alleles with gaps of several lengths at places of their own."""
+    cut = F.lit(90) + F.length("seq") % 70
+    aligned = F.concat(F.substr("seq", F.lit(1), cut), F.repeat(F.lit("-"), F.lit(1) + F.length("seq") % 7), F.substr("seq", cut + 1, F.lit(45)), F.repeat(F.lit("-"), F.lit(12)), F.substr(F.col("seq"), cut + 46, F.length("seq")))
+    return haplo.aligned_tiles(view(spark, d, "v_alleles").select("region_id", "label", aligned.alias("aligned")))
+
+
 @query("w14_dedup", "select id, seq from @v_probes@ qualify row_number() over (partition by seq order by id) = 1")
 def w14_dedup(spark, d):
     return sets.first_wins(view(spark, d, "v_probes"), ["seq"], ["id"])
@@ -488,7 +508,17 @@ def k7_removed_map(spark, d):
     return _merged(spark, d)[1]
 
 
-@query("w16_ld_prune")
+@query(
+    "w16_ld_prune",
+    """with recursive g as (select chr, pos, list(gt order by sample) as g from @v_gt@ group by chr, pos), n as (select *, row_number() over (partition by chr order by pos) - 1 as i from g),
+    p as (select a.chr, b.i, b.i - a.i as d, list_filter(list_zip(a.g, b.g), lambda z: z[1] is not null and z[2] is not null) as z from n a join n b on a.chr = b.chr and b.i > a.i and b.i < a.i // 5 * 5 + 50),
+    m as (select chr, i, d, len(z)::double as k, list_sum(list_transform(z, lambda t: t[1]))::double as sx, list_sum(list_transform(z, lambda t: t[2]))::double as sy, list_sum(list_transform(z, lambda t: t[1] * t[2]))::double as xy,
+      list_sum(list_transform(z, lambda t: t[1] * t[1]))::double as xx, list_sum(list_transform(z, lambda t: t[2] * t[2]))::double as yy from p where len(z) > 0),
+    l as (select chr, i, list(d) as ds from m where (k * xx - sx * sx) * (k * yy - sy * sy) > 0 and (k * xy - sx * sy) * (k * xy - sx * sy) / ((k * xx - sx * sx) * (k * yy - sy * sy)) > 0.2 group by chr, i),
+    walk as (select chr, pos, i, [true] as kept from n where i = 0
+      union all select s.chr, s.pos, s.i, list_concat([len(list_filter(coalesce(l.ds, []), lambda x: w.kept[x])) = 0], w.kept[1:49]) from walk w join n s on s.chr = w.chr and s.i = w.i + 1 left join l on l.chr = s.chr and l.i = s.i)
+    select chr, pos from walk where kept[1]""",
+)
 def w16_ld_prune(spark, d):
     return haplo.prune_linked(popgen.site_arrays(view(spark, d, "v_gt")))
 
@@ -925,7 +955,13 @@ def x7_hairpin_energy(spark, d):
     return view(spark, d, "v_probes").select("id", fold.hairpin_energy(F.col("seq")).alias("hairpin"))
 
 
-@query("x8_hairpin_sw")
+@query(
+    "x8_hairpin_sw",
+    f"""with recursive p as (select row_number() over () as no, id, seq, length(seq) as n, string_split(seq, '') as a, string_split({_RC}, '') as b from @v_probes@),
+    w as (select no, n, a, b, 1 as d, list_transform(range(0, n + 1), lambda x: 0) as h2, list_transform(range(0, n + 1), lambda x: 0) as h1, 0 as best from p where n > 0
+      union all select no, n, a, b, d, h1, h, greatest(best, list_max(h)) from (select no, n, a, b, d + 1 as d, h1, best, list_transform(range(0, n + 1), lambda i: case when i < 1 or d + 1 - i < 1 or d + 1 - i > n then 0 else greatest(0, h2[i] + case when a[i] = b[d + 1 - i] and a[i] in ('A', 'C', 'G', 'T') then 3 else -2 end, h1[i] - 5, h1[i + 1] - 5) end) as h from w where d < 2 * n))
+    select id, cast(coalesce(best, 0) as int) as hairpin from p left join (select no, max(best) as best from w group by no) using (no)""",
+)
 def x8_hairpin_sw(spark, d):
     return view(spark, d, "v_probes").select("id", fold.hairpin_alignment(F.col("seq")).alias("hairpin"))
 
@@ -965,7 +1001,7 @@ def g1_smart_dimer(spark, d):
     return kmers.dimer_groups(view(spark, d, "v_probes"), "id", "seq")
 
 
-@query("g1_group_stats")
+@query("g1_group_stats", f"with g as ({ORACLE['g1_smart_dimer']}), z as (select group_id, count(*) as n, count(*) filter (not keep) as gone from g group by group_id having count(*) > 1) select count(*) as n_groups, cast(coalesce(sum(gone), 0) as bigint) as removed, coalesce(max(n), 0) as max_size, coalesce(avg(n), 0.0) as mean_size from z")
 def g1_group_stats(spark, d):
     return kmers.group_stats(kmers.dimer_groups(view(spark, d, "v_probes"), "id", "seq"), "id")
 
