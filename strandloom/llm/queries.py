@@ -251,4 +251,14 @@ ORACLE = {
         v as (select item_id, regexp_extract_all(lower(text), '[a-z0-9]+') as ws from benchmark),
         b as (select item_id, unnest(list_transform(range(1, len(ws) - {LEAK} + 2), lambda i: array_to_string(ws[i:i + {LEAK} - 1], ' '))) as gram from v where len(ws) >= {LEAK})
         select distinct doc_id, item_id from g join b using (gram)""",
+    "p9_leaked_items": rf"""
+        with w as (select doc_id, regexp_extract_all(lower(regexp_replace(text, '=\r?\n', '', 'g')), '[a-z0-9]+') as ws from documents),
+        g as (select doc_id, unnest(range(1, len(ws) - {LEAK} + 2)) as i, unnest(list_transform(range(1, len(ws) - {LEAK} + 2), lambda i: array_to_string(ws[i:i + {LEAK} - 1], ' '))) as gram from w where len(ws) >= {LEAK}),
+        v as (select item_id, regexp_extract_all(lower(text), '[a-z0-9]+') as ws from benchmark),
+        b as (select item_id, unnest(range(1, len(ws) - {LEAK} + 2)) as j, unnest(list_transform(range(1, len(ws) - {LEAK} + 2), lambda i: array_to_string(ws[i:i + {LEAK} - 1], ' '))) as gram from v where len(ws) >= {LEAK}),
+        h as (select distinct doc_id, item_id, i, i - j as shift from g join b using (gram)),
+        r as (select *, i - row_number() over (partition by doc_id, item_id, shift order by i) as run from h),
+        n as (select doc_id, item_id, count(*) + {LEAK} - 1 as words from r group by doc_id, item_id, shift, run),
+        s as (select item_id, count(distinct doc_id) as documents, max(words) as longest from n group by item_id)
+        select item_id, task, coalesce(documents, 0) as documents, cast(coalesce(longest, 0) as int) as longest from (select distinct item_id, task from benchmark) left join s using (item_id)""",
 }
