@@ -510,11 +510,12 @@ def k7_removed_map(spark, d):
 
 @query(
     "w16_ld_prune",
-    """with recursive g as (select chr, pos, list(gt order by sample) as g from @v_gt@ group by chr, pos), n as (select *, row_number() over (partition by chr order by pos) - 1 as i from g),
-    p as (select a.chr, b.i, b.i - a.i as d, list_filter(list_zip(a.g, b.g), lambda z: z[1] is not null and z[2] is not null) as z from n a join n b on a.chr = b.chr and b.i > a.i and b.i < a.i // 5 * 5 + 50),
+    """with recursive g as (select chr, pos, list(gt order by sample) as g from @v_gt@ group by chr, pos), n as materialized (select *, row_number() over (partition by chr order by pos) - 1 as i from g),
+    o as (select *, unnest(range(1, 50)) as d from n),
+    p as (select a.chr, b.i, a.d, list_filter(list_zip(a.g, b.g), lambda z: z[1] is not null and z[2] is not null) as z from o a join n b on b.chr = a.chr and b.i = a.i + a.d and b.i < a.i // 5 * 5 + 50),
     m as (select chr, i, d, len(z)::double as k, list_sum(list_transform(z, lambda t: t[1]))::double as sx, list_sum(list_transform(z, lambda t: t[2]))::double as sy, list_sum(list_transform(z, lambda t: t[1] * t[2]))::double as xy,
       list_sum(list_transform(z, lambda t: t[1] * t[1]))::double as xx, list_sum(list_transform(z, lambda t: t[2] * t[2]))::double as yy from p where len(z) > 0),
-    l as (select chr, i, list(d) as ds from m where (k * xx - sx * sx) * (k * yy - sy * sy) > 0 and (k * xy - sx * sy) * (k * xy - sx * sy) / ((k * xx - sx * sx) * (k * yy - sy * sy)) > 0.2 group by chr, i),
+    l as materialized (select chr, i, list(d) as ds from m where (k * xx - sx * sx) * (k * yy - sy * sy) > 0 and (k * xy - sx * sy) * (k * xy - sx * sy) / ((k * xx - sx * sx) * (k * yy - sy * sy)) > 0.2 group by chr, i),
     walk as (select chr, pos, i, [true] as kept from n where i = 0
       union all select s.chr, s.pos, s.i, list_concat([len(list_filter(coalesce(l.ds, []), lambda x: w.kept[x])) = 0], w.kept[1:49]) from walk w join n s on s.chr = w.chr and s.i = w.i + 1 left join l on l.chr = s.chr and l.i = s.i)
     select chr, pos from walk where kept[1]""",
