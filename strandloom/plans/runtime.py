@@ -91,6 +91,22 @@ def file_system(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of one small file on any file system; None if there is none."""
+    p, fs = file_system(spark, path)
+    if not fs.exists(p):
+        return None
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0]).decode()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file on any file system, replaced if it is there."""
+    p, fs = file_system(spark, path)
+    stream = fs.create(p, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+
+
 def materialize(df: DataFrame, partition_by: list[str] | None = None) -> Table:
     """Write ``df`` to the shared folder and return it as a Table. Runs a job.
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 from datetime import UTC, datetime
-from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.runtime import write_text
+
 SNP_ORDER = ["chr", "pos", "type", "ref", "alt", "gc", "tm", "complexity", "hairpin", "dimer", "entropy"]
 
 
@@ -54,6 +55,6 @@ def write_sfs(spectrum: DataFrame, path: str, pop: str, n: int) -> None:
     row.select(F.concat(F.lit(f'{n + 1} folded "{pop}"\n'), F.array_join("v", " "), F.lit("\n"), F.array_join(mask, " ")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
-def write_status(path: str, steps: list[dict]) -> None:
-    """Pipeline state on the driver's file system."""
-    Path(path).write_text(json.dumps({"updated": datetime.now(UTC).isoformat(timespec="seconds"), "steps": steps}, indent=1))
+def write_status(spark: SparkSession, path: str, steps: list[dict]) -> None:
+    """The state of a pipeline's steps, on the file system of its output."""
+    write_text(spark, path, json.dumps({"updated": datetime.now(UTC).isoformat(timespec="seconds"), "steps": steps}, indent=1))

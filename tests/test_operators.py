@@ -339,3 +339,60 @@ def test_empty_tables(spark):
     assert filters.nearest_rank(spark.createDataFrame([], "x double"), "x", 0.5).count() == 0
     g = spark.createDataFrame([], "chr string, pos bigint, sample string, gt int")
     assert popgen.ibs_distance(g).count() == 0 and popgen.pca(g).count() == 0
+
+
+def test_merged_intervals_over_tiles(spark):
+    """The running maximum carries over tile borders, and over tiles without a start."""
+    rng = random.Random(31)
+    data = [(rng.choice("ab"), s := rng.randint(0, 1_000_000), s + rng.choice([5, 2000, 250_000])) for _ in range(120)] + [("a", 10, 10), (None, 1, 5), ("a", None, 4)]
+    df = spark.createDataFrame(data + data[:7], "chr string, start long, end long")
+    for distance in (0, 3000):
+        want = []
+        for c in "ab":
+            cur = None
+            for s, e in sorted((s, e) for k, s, e in data if k == c and s is not None and e > s):
+                if cur and s <= cur[2] + distance:
+                    cur[2] = max(cur[2], e)
+                else:
+                    cur = [c, s, e]
+                    want.append(cur)
+        got = intervals.merge_intervals(df, distance=distance)
+        assert sorted(tuple(r) for r in got.select("chr", "start", "end").collect()) == sorted(map(tuple, want))
+
+
+def test_pair_sums_with_missing_samples(spark):
+    rng = random.Random(32)
+    g = {(p, s): rng.choice([0, 1, 2, None]) for p in range(200) for s in "abcde" if rng.random() < 0.8}
+    long = spark.createDataFrame([("c", p, s, v) for (p, s), v in g.items()], "chr string, pos int, sample string, gt int")
+    got = {(r.s1, r.s2): (r["diff"], r.n_sites) for r in popgen.ibs_distance(long).collect()}
+    want = {}
+    for a in "abcde":
+        for b in "abcde":
+            if a < b:
+                both = [(g[p, a], g[p, b]) for p in range(200) if g.get((p, a)) is not None and g.get((p, b)) is not None]
+                want[a, b] = (sum(abs(x - y) for x, y in both), len(both))
+    assert got == want
+    order = {r.sample: r.place for r in popgen.cluster_order(popgen.ibs_distance(long)).collect()}
+    assert sorted(order.values()) == list(range(5)) and set(order) == set("abcde")
+    near = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.1), ("b", "d", 0.2), ("a", "d", 0.8), ("b", "c", 0.9), ("c", "d", None)], "s1 string, s2 string, d double")
+    at = {r.sample: r.place for r in popgen.cluster_order(near).collect()}
+    assert abs(at["a"] - at["c"]) == 1 and abs(at["b"] - at["d"]) == 1
+    pc = popgen.explained(popgen.pca(long))
+    assert sum(r.percent for r in pc.collect()) <= 100.0001 and pc.count() == 3
+
+
+def test_files_of_external_programs():
+    from strandloom.operators import filters
+
+    assert filters.classifier_database(["/db/hash.k2d", "/db/opts.k2d"]) == ["taxo.k2d"]
+    assert filters.aligner_index([f"/x/g.{n}.bt2l" for n in ("1", "2", "3", "4", "rev.1")], "g") == ["g.rev.2.bt2"]
+
+
+def test_tm_of_any_probe(spark):
+    from strandloom.functions import thermo
+
+    df = spark.createDataFrame([("ATCGATCGATCGATCGATCG",), ("GCGCGCGCGCGCGCGCGCGC",), ("ATATATAT",), ("ACGTNACGTACGTACGTA",), ("a",), ("",), (None,), ("AANTT",)], "s string")
+    for table in thermo.TABLES:
+        a, b, short, unknown, one, empty, null, n5 = (r[0] for r in df.select(thermo.tm_probe(F.col("s"), table)).collect())
+        assert 30 < a < 75 and a < b < 100 and short == 16.0 and one is empty is null is None and n5 == 8.0
+        assert unknown == pytest.approx(81.5 + 16.6 * -1.3010299957 + 41 * 8 / 18 - 500 / 18)

@@ -84,7 +84,7 @@ def test_pipeline_resumes(spark, tmp_path):
     config = {"steps": [{"step": "clean"}, {"step": "cluster", "most": 2}, {"step": "select", "strategy": "random", "total": 3}]}
     (tmp_path / "c.json").write_text(json.dumps(config))
     v = spark.createDataFrame([("chr1", i * 100, "A", "C", 1) for i in range(1, 9)] + [("chr1", 5, "AC", "C", 1)], "chr string, pos bigint, ref string, alt string, n_alt int")
-    out = pipeline.run(spark, pipeline.load_config(str(tmp_path / "c.json")), {"variants": v}, str(tmp_path / "out"))
+    out = pipeline.run(spark, pipeline.load_config(spark, str(tmp_path / "c.json")), {"variants": v}, str(tmp_path / "out"))
     assert out.count() == 3 and [s["state"] for s in json.loads((tmp_path / "out/status.json").read_text())["steps"]] == ["done"] * 3
     again = pipeline.run(spark, config, {"variants": v.limit(0)}, str(tmp_path / "out"), resume=True)
     assert rows(again, "pos") == rows(out, "pos")
@@ -93,7 +93,7 @@ def test_pipeline_resumes(spark, tmp_path):
     assert json.loads((tmp_path / "bad/status.json").read_text())["steps"][0]["state"] == "failed"
     (tmp_path / "d.json").write_text('{"steps": [{"step": "nothing"}]}')
     with pytest.raises(ValueError):
-        pipeline.load_config(str(tmp_path / "d.json"))
+        pipeline.load_config(spark, str(tmp_path / "d.json"))
 
 
 def test_stream(spark, tmp_path):
@@ -144,3 +144,56 @@ def test_read_genome_in_pieces(spark, tmp_path):
             assert sorted(map(str, f(genome).collect())) == sorted(map(str, f(whole).collect()))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_pipeline_tiles_merges_and_assesses(spark, tmp_path):
+    seqs = spark.createDataFrame([("a", "ACGTACGTAA"), ("b", "ACGTACGTAA"), ("c", "TTTT")], "id string, seq string")
+    more = spark.createDataFrame([("d", "TTTT"), ("e", "GGGG")], "id string, seq string")
+    got = pipeline.run(spark, {"steps": [{"step": "merge", "with": ["more"]}, {"step": "tile", "length": 4, "by": 3}]}, {"last": seqs, "more": more}, f"file://{tmp_path}/out")
+    assert rows(got, "id", "tile_no", "tile") == [("a", 1, "ACGT"), ("a", 2, "TACG"), ("a", 3, "GTAA"), ("c", 1, "TTTT"), ("e", 1, "GGGG")]
+    assert json.loads((tmp_path / "out/status.json").read_text())["steps"][1]["state"] == "done"
+    stats = pipeline.run(spark, {"steps": [{"step": "assess", "columns": ["n"]}]}, {"last": seqs.selectExpr("length(seq) as n")}, str(tmp_path / "stats"))
+    assert rows(stats, "metric", "n", "mean") == [("n", 3, 8.0)]
+    with pytest.raises(FileNotFoundError):
+        pipeline.load_config(spark, str(tmp_path / "none.json"))
+
+
+def test_command_line(spark, tmp_path):
+    """From a VCF to an assessed probe set, one command after the other."""
+    import random
+
+    from strandloom.__main__ import main
+
+    rng = random.Random(6)
+    genome = "".join(rng.choice("ACGT") for _ in range(30_000))
+    at = lambda name: str(tmp_path / name)
+    (tmp_path / "g.fa").write_text(">chr1 x\n" + "\n".join(genome[i : i + 60] for i in range(0, len(genome), 60)) + "\n")
+    places = range(100, 29_900, 400)
+    other = {"A": "G", "C": "T", "G": "A", "T": "C"}
+    (tmp_path / "v.vcf").write_text("##fileformat=VCFv4.2\n" + "".join(f"chr1\t{p}\t.\t{genome[p - 1]}\t{other[genome[p - 1]]}\t50\tPASS\t.\n" for p in places))
+    (tmp_path / "keep.bed").write_text("chr1\t0\t20000\tregion\n")
+    main(["extract", at("v.vcf"), "-o", at("snps"), "--keep", at("keep.bed")])
+    assert text.read_snp_tsv(spark, at("snps")).count() == sum(p <= 20_000 for p in places)
+    main(["filter", at("snps"), "-o", at("good"), "--genome", at("g.fa"), "--gc", "30", "70", "--tm", "-1", "-1", "--complexity", "3"])
+    good = text.read_snp_tsv(spark, at("good")).count()
+    assert 20 < good <= 50
+    main(["select", at("good"), "-o", at("chosen"), "--total", "20", "--strategy", "random"])
+    main(["build", at("chosen"), "-o", at("probes"), "--genome", at("g.fa")])
+    probes = text.read_fasta(spark, at("probes")).collect()
+    assert len(probes) == 20 and all(r.seq in genome and len(r.seq) == 81 for r in probes)
+    main(["assess", at("probes"), "-o", at("stats")])
+    assert {r.metric: r.n for r in spark.read.json(at("stats")).collect()} == dict.fromkeys(("gc", "tm", "complexity", "entropy"), 20)
+    main(["tile", at("probes"), "-o", at("tiles"), "--length", "40", "--step", "20"])
+    main(["merge", at("probes"), at("probes"), "-o", at("merged")])
+    assert text.read_fasta(spark, at("merged")).count() == 20
+    main(["sample", at("merged"), "-o", at("few"), "--number", "5"])
+    main(["adapter", at("few"), "-o", at("long"), "--five", "ACGT"])
+    main(["rename", at("long"), "-o", at("named"), "--prefix", "p"])
+    assert sorted(r.id for r in text.read_fasta(spark, at("named")).collect()) == [f"p_{i:04d}" for i in range(1, 6)]
+    main(["dedup", at("tiles"), "-o", at("single")])
+    main(["convert", at("few"), "-o", at("table")])
+    main(["validate", at("few"), "-o", at("counts")])
+    assert spark.read.json(at("counts")).first().n_rows == 5
+    (tmp_path / "p.json").write_text('{"steps": [{"step": "clean"}, {"step": "select", "strategy": "uniform", "total": 10, "window": 5000}, {"step": "build"}]}')
+    main(["run", at("p.json"), "--variants", at("v.vcf"), "--genome", at("g.fa"), "-o", at("run")])
+    assert spark.read.parquet(at("run") + "/02_build").count() == 10
