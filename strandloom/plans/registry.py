@@ -952,7 +952,7 @@ def x4_tm_simple(spark, d):
 
 @query("x7_hairpin_energy")
 def x7_hairpin_energy(spark, d):
-    """Approximate energies; not a folding engine's values."""
+    """Least free energies of folding by published stacking and loop energies; no SQL, see the tests."""
     return view(spark, d, "v_probes").select("id", fold.hairpin_energy(F.col("seq")).alias("hairpin"))
 
 

@@ -116,9 +116,45 @@ def test_hairpin_alignment(spark):
     assert got == [py_align(x) for x in s] + [None]
 
 
-def test_hairpin_stem_of_any_length():
-    for pairs in (12, 13, 30):
-        assert fold.hairpin_stem(["A" * pairs + "CCCC" + "T" * pairs])[0] == round(1.5 * (pairs - 1) - 1.4 * math.log(4), 2)
+def py_fold(s):
+    """The same energies by plain recursion."""
+    pair = {"A": "T", "T": "A", "C": "G", "G": "C"}
+    back = {"A": "T", "C": "G", "G": "C", "T": "A"}
+    stack = lambda x: fold.STACKS.get(x, fold.STACKS.get(back[x[1]] + back[x[0]]))
+    import functools
+
+    @functools.cache
+    def inside(i, j):
+        if j - i < 4 or pair.get(s[i]) != s[j]:
+            return 1e6
+        best = fold._sized(fold.HAIRPIN_LOOPS, 3, j - i - 1)
+        for k in range(i + 1, min(j - 4, i + 32)):
+            for q in range(j - 1, k + 3, -1):
+                left, right = k - i - 1, j - q - 1
+                if left + right > fold.LOOP:
+                    break
+                e = inside(k, q)
+                if left + right == 0:
+                    e += stack(s[i] + s[k])
+                else:
+                    e += fold.loop_energy(left, right)
+                    if left + right == 1:
+                        e += stack(s[i] + s[k])
+                best = min(best, e)
+        return best
+
+    whole = [0.0] * (len(s) + 1)
+    for j in range(1, len(s) + 1):
+        whole[j] = min([whole[j - 1]] + [whole[i] + inside(i, j - 1) + (0.05 if s[i] in "AT" else 0) for i in range(j - 4)])
+    return whole[-1]
+
+
+def test_fold_energies(spark):
+    rng = random.Random(33)
+    s = ["".join(rng.choice("ACGT") for _ in range(rng.randint(0, 45))) for _ in range(25)] + ["", "GGGGGAAAACCCCC", "GGGGGGAAAACCCCCCTTTGCGCGCAAAGCGCGC", "A" * 30 + "CCCC" + "T" * 30]
+    assert fold.fold_energies(s).tolist() == pytest.approx([py_fold(x) for x in s], abs=1e-4)
+    got = [r[0] for r in spark.createDataFrame([("GGGGGAAAACCCCC",), (None,), ("",), ("NNNN",)], "s string").select(fold.hairpin_energy("s")).collect()]
+    assert got == [pytest.approx(4 * 1.84 - 3.5, abs=0.011), None, 0.0, 0.0]
 
 
 def test_intervals(spark):
