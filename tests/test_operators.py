@@ -251,6 +251,13 @@ def test_dimer(spark, kind):
     assert dict(rows(kmers.dimer_raw(df, "id", "seq", 4, kind), "id", "hits")) == py_dimer(pool, kind)
 
 
+@pytest.mark.parametrize("kind", ["total", "classic"])
+def test_dimer_broadcasts_no_kmers(spark, tmp_path, kind):
+    spark.createDataFrame([("a", "ACGTTGCATTGACC"), ("b", "GGTCAATGCAACGT")], "id string, seq string").write.parquet(str(tmp_path / "p"))
+    plan = kmers.dimer_raw(spark.read.parquet(str(tmp_path / "p")), "id", "seq", 4, kind)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan  # the pool's size alone is broadcast
+
+
 def test_dimer_groups(spark):
     a = "ACGTTGCATTGACCAGTAGGCT"
     df = spark.createDataFrame([("a", a), ("b", a), ("c", a[:-2] + "AA"), ("d", "T" * 22), ("e", None)], "id string, seq string")
