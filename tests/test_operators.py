@@ -258,6 +258,47 @@ def test_dimer_broadcasts_no_kmers(spark, tmp_path, kind):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan  # the pool's size alone is broadcast
 
 
+def test_kmer_edges_of_odd_pools(spark):
+    rng = random.Random(11)
+    letters = lambda n, of="ACGT": "".join(rng.choice(of) for _ in range(n))
+    base = [letters(40) for _ in range(5)]
+    made = [(f"s{i}", b[: rng.randint(25, 40)] + letters(rng.randint(0, 9), "ACGTNRé")) for i in range(40) for b in [rng.choice(base)]]
+    made += [("s0", letters(30)), ("low", base[0].lower()), ("copy", base[0]), ("", ""), ("short", "ACG"), ("n", "N" * 30), ("r", "ACRT" * 6), ("q", "ACRT" * 6), ("null", None)]
+    comp = lambda m: min(m, m.translate(str.maketrans("ACGT", "TGCA"))[::-1])
+    for k, part, most in ((5, 0.5, 12), (11, 0.5, 100), (33, 0.3, 100)):
+        ks = {}
+        for i, s in made:
+            ks.setdefault(i, set()).update(comp(s.upper()[j : j + k]) for j in range(len(s or "") - k + 1) if "N" not in s.upper()[j : j + k])
+        freq = {}
+        for x in ks.values():
+            for m in x:
+                freq[m] = freq.get(m, 0) + 1
+        want = {}
+        for a, b in itertools.combinations(sorted(ks), 2):
+            shared, smaller = sum(freq[m] <= most for m in ks[a] & ks[b]), min(len(ks[a]), len(ks[b]))
+            if shared and shared >= part * smaller:
+                want[a, b] = (shared, smaller)
+        got = kmers.shared_kmer_edges(spark.createDataFrame(made, "id string, seq string"), "id", "seq", k, part, most).collect()
+        assert {(r.a, r.b): (r.shared, r.smaller) for r in got} == want and len(got) == len(want) > 5
+
+
+def test_pairs_of_one_shared_kmer_leave_no_task(spark, monkeypatch):
+    import pyarrow as pa
+    from strandloom.operators import kmerpairs
+
+    monkeypatch.setattr(kmerpairs, "LISTED", 50)  # several lists
+    rng = random.Random(3)
+    seqs = ["ACGTTGCATTG" + "".join(rng.choice("ACGT") for _ in range(70)) for _ in range(90)]
+    seqs += [seqs[0][:60] + "A" * 21]
+    b = pa.RecordBatch.from_pydict({"s": list(range(91)), "w": [1] * 91, "seqs": [[x] for x in seqs]})
+    rows = pa.Table.from_batches(kmerpairs._dealt(iter([b]), 11))
+    out = set()
+    for g in range(kmerpairs.GROUPS):
+        part = rows.filter(pa.compute.equal(rows["part"], g))
+        out |= {(x, y) for r in kmerpairs._counted(iter(part.to_batches()), 0.5, 100) for x, y in zip(r["a"].to_pylist(), r["b"].to_pylist())}
+    assert out == {(0, 90)}  # 4095 pairs share a k-mer
+
+
 def test_dimer_groups(spark):
     a = "ACGTTGCATTGACCAGTAGGCT"
     df = spark.createDataFrame([("a", a), ("b", a), ("c", a[:-2] + "AA"), ("d", "T" * 22), ("e", None)], "id string, seq string")
