@@ -307,6 +307,16 @@ def test_dimer_groups(spark):
     assert kmers.dimer_groups(df.limit(0), "id", "seq").count() == 0
 
 
+def test_dimer_groups_of_copies_are_one_class(spark, monkeypatch):
+    a = "ACGTTGCATTGACCAGTAGGCT"
+    df = spark.createDataFrame([(f"a{i:02d}", a) for i in range(60)] + [("b", a[:-2] + "AA"), ("d", "T" * 22)], "id string, seq string")
+    seen, plain = [], kmers.connected
+    monkeypatch.setattr(kmers, "connected", lambda e, *x: seen.append(e.count()) or plain(e, *x))
+    g = {r.id: (r.group_id, r.degree, r.keep) for r in kmers.dimer_groups(df, "id", "seq").collect()}
+    assert g == {f"a{i:02d}": ("a00", 60, i == 0) for i in range(60)} | {"b": ("a00", 60, False), "d": ("d", 0, True)}
+    assert seen == [2]  # not 1830 pairs of sequences
+
+
 def test_families_of_many_copies(spark):
     rng = random.Random(9)
     letters = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
