@@ -317,6 +317,15 @@ def test_dimer_groups_of_copies_are_one_class(spark, monkeypatch):
     assert seen == [2]  # not 1830 pairs of sequences
 
 
+def test_group_stats_of_copies(spark, monkeypatch):
+    a = "ACGTTGCATTGACCAGTAGGCT"
+    df = spark.createDataFrame([(f"a{i:02d}", a) for i in range(60)] + [("c1", "AAAC" * 5), ("c2", "AAAC" * 5), ("d", "T" * 22)], "id string, seq string")
+    seen, plain = [], kmers.connected
+    monkeypatch.setattr(kmers, "connected", lambda e, *x: seen.append(e.count()) or plain(e, *x))
+    assert kmers.group_stats(kmers.dimer_groups(df, "id", "seq"), "id").collect() == [(2, 60, 60, 31.0)]
+    assert seen == [2]  # not 1771 pairs of sequences
+
+
 def test_families_of_many_copies(spark):
     rng = random.Random(9)
     letters = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
