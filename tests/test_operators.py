@@ -326,6 +326,81 @@ def test_group_stats_of_copies(spark, monkeypatch):
     assert seen == [2]  # not 1771 pairs of sequences
 
 
+def _dimer_groups_by_hand(seqs, k=11, part=0.5, most=100):
+    comp = lambda m: min(m, m.translate(str.maketrans("ACGT", "TGCA"))[::-1])
+    ks = [{comp(s[i : i + k]) for i in range(len(s) - k + 1) if "N" not in s[i : i + k]} for s in seqs]
+    freq = {}
+    for m in itertools.chain(*ks):
+        freq[m] = freq.get(m, 0) + 1
+    group, degree = list(range(len(seqs))), [0] * len(seqs)
+    for i, j in itertools.combinations(range(len(seqs)), 2):
+        shared = sum(freq[m] <= most for m in ks[i] & ks[j])
+        if shared and shared >= part * min(len(ks[i]), len(ks[j])):
+            degree[i], degree[j] = degree[i] + 1, degree[j] + 1
+            lo, hi = sorted((group[i], group[j]))
+            group = [lo if x == hi else x for x in group]
+    best = {g: min((degree[i], i) for i, x in enumerate(group) if x == g)[1] for g in set(group)}
+    return [(i, g, d, best[g] == i) for i, (g, d) in enumerate(zip(group, degree))]
+
+
+def _near_copies(rng, n, of):
+    letters = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    made = [letters(70) for _ in range(30)] + ["", "ACGT", "ACGTN" * 8, "RYK" * 9, "RYK" * 9, "T" * 30]
+    for _ in range(of):
+        base = letters(80)
+        for _ in range(n):
+            x = list(base)
+            for i in rng.sample(range(80), rng.choice([0, 1, 2, 3])):
+                x[i] = rng.choice("ACGT")
+            made.append("".join(x)[: rng.choice([80, 80, 60])])
+    rng.shuffle(made)
+    return made
+
+
+@pytest.mark.parametrize(("block", "listed", "most"), [(1000, 3_000_000, 100), (40, 900, 100), (60, 50, 25), (25, 2000, 12)])
+def test_dimer_groups_over_blocks(spark, monkeypatch, block, listed, most):
+    from strandloom.operators import kmerlinks
+
+    monkeypatch.setattr(kmerlinks, "BLOCK", block)
+    monkeypatch.setattr(kmerlinks, "LISTED", listed)
+    made = _near_copies(random.Random(block), 15, 6)
+    df = spark.createDataFrame(list(enumerate(made)), "id int, seq string")
+    want = _dimer_groups_by_hand(made, most=most)
+    assert rows(kmers.dimer_groups(df, "id", "seq", max_freq=most), "id", "group_id", "degree", "keep") == want
+    sizes = [n for g in {w[1] for w in want} if (n := sum(w[1] == g for w in want)) > 1]
+    got = kmers.dimer_group_stats(df, "id", "seq", max_freq=most).first()
+    assert tuple(got) == (len(sizes), sum(sizes) - len(sizes), max(sizes), pytest.approx(sum(sizes) / len(sizes)))
+
+
+def test_group_stats_link_no_group_twice(spark, monkeypatch):
+    a = "ACGTTGCATTGACCAGTAGGCTACCGATATCGGGCTAATCCAGT"
+    made = [a[:i] + c + a[i + 1 :] for i in range(0, 44, 2) for c in "ACGT" if c != a[i]]  # 66 near copies: some 2000 links
+    df = spark.createDataFrame(list(enumerate(made)), "id int, seq string")
+    seen, plain = [], kmers.connected
+    monkeypatch.setattr(kmers, "connected", lambda e, *x: seen.append(e.count()) or plain(e, *x))
+    assert tuple(kmers.dimer_group_stats(df, "id", "seq").first()) == (1, 65, 66, 66.0) and seen == [65]
+    assert tuple(kmers.dimer_group_stats(df.limit(0), "id", "seq").first()) == (0, 0, 0, 0.0)
+    twice = spark.createDataFrame([(1, "ACG"), (1, "ACT"), (2, "AAA")], "id int, seq string")  # an id with two rows, as in SQL
+    assert tuple(kmers.dimer_group_stats(twice, "id", "seq").first()) == (1, 1, 2, 2.0)
+
+
+def test_links_tell_two_sequences_of_one_hash_apart():
+    import pyarrow as pa
+    from strandloom.operators import kmerlinks
+
+    b = pa.RecordBatch.from_pydict({"s": [7, 7], "t": [1, 2], "seqs": [["ACGTTGCATTGACC"], ["TTTTGGGACACCAA"]]})
+    with pytest.raises(RuntimeError, match="one hash"):
+        list(kmerlinks._linked(iter([b]), 11, 0, 1, 0.5, False, 100))
+
+
+def test_connected_long_chain_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(graph, "ONE_TASK", 0)
+    order = list(range(200))
+    random.Random(6).shuffle(order)
+    e = spark.createDataFrame([(order[i], order[i + 1]) for i in range(199)] + [(500, 500), (None, 3)], "a long, b long")
+    assert dict(rows(graph.connected(e, "a", "b"), "id", "group_id")) == {i: 0 for i in range(200)} | {500: 500}
+
+
 def test_families_of_many_copies(spark):
     rng = random.Random(9)
     letters = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
