@@ -473,6 +473,94 @@ def test_latin_1_block_is_read_to_its_end():
     assert "voil" in cut and "voilã" not in cut
 
 
+def windows_by_rule(text):
+    """The windows of a text as words, read line by line and sentence by sentence."""
+    tokens = []
+    for line in mailtext.plain(text or "").split("\n"):
+        found = (mailtext._TOKEN if "@" in line else mailtext._PLAIN).findall(line)
+        tokens += ["."] if not line or line.isspace() else found
+    sentences = [[]]
+    for x in tokens:
+        if x[0] in ".!?;:\t":
+            sentences.append([])
+            continue
+        x = "@" if mailtext._ADDRESS.fullmatch(x) else mailtext._spelled(x)
+        sentences[-1] += [x] if len(x) <= mailtext.WORD else [x[i : i + mailtext.WORD] for i in range(0, len(x) - mailtext.HALF, mailtext.HALF)]
+    out, before, short = set(), [], []
+    for here in filter(None, sentences):
+        if len(here) > mailtext.WINDOW:
+            for i in range(0, len(here) - mailtext.WINDOW + mailtext.STRIDE, mailtext.STRIDE):
+                i = min(i, len(here) - mailtext.WINDOW)
+                out.add(tuple(here[i : i + mailtext.WINDOW]))
+        elif len(here) > 1:
+            out.add(tuple(here))
+        if len(here) < mailtext.SCRAP:
+            short = (short or before)[-mailtext.STRIDE :] + here
+        elif short:
+            out.add(tuple(short + here[: mailtext.WINDOW - len(short)]))
+            short = []
+        before = here
+    return out | ({tuple(short)} if short else set())
+
+
+def test_windows_of_many_texts_follow_the_rule():
+    rng = random.Random(3)
+    bits = [" "] * 9 + ["\n"] * 4 + list("abcde") * 3 + ["\t", "\r\n", "\n\n", "\n \n", ". ", "! ", " a b c d ", " w x y z.", "a@b.cc", ">", "<p>", "*", "'", "_", "-", ".", "=41=42", "=\n", "&lt;", "\x0b", "\x85", "é", "s.t.u", "b*d ", "1 2 3 4 5", "x" * 40, "QUJD" * 8 + "\n", "> " + "QUJD" * 8 + "\n"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 150))) for _ in range(3000)] + [None, "", "\n", "one", "word " * 24, "word " * 25, "QUJD" * 8]
+    w, got = mailtext.Words(), [set() for _ in texts]
+    for i in range(0, len(texts), 500):
+        ids, start, size, text = w.cut(texts[i : i + 500])
+        for a, n, t in zip(start, size, text):
+            got[i + t].add(tuple(w.words[j] for j in ids[a : a + n]))
+    assert got == [windows_by_rule(t) for t in texts] and sum(map(len, got)) > 10_000
+    assert [{tuple(w.words[j] for j in x) for x in w.windows(t)} for t in texts[-300:]] == got[-300:]
+    assert [len(x) for x in w.cut([])] == [0] * 4
+
+
+def test_words_are_searched_once_a_piece(monkeypatch):
+    """Lines made of pieces that were met aren't searched for words again, nor texts without packed lines for such."""
+    calls = {"_PLAIN": 0, "_BASE64": 0}
+
+    class Counted:
+        def __init__(self, name):
+            self.name, self.pattern = name, getattr(mailtext, name)
+
+        def __getattr__(self, what):
+            calls[self.name] += 1
+            return getattr(self.pattern, what)
+
+    for name in calls:
+        monkeypatch.setattr(mailtext, name, Counted(name))
+    rng = random.Random(4)
+    w, some = mailtext.Words(), [f"word{chr(97 + i)}" for i in range(20)]
+    seen = [w.windows("\n".join(" ".join(rng.choices(some, k=9)) for _ in range(20)) + ".") for _ in range(50)]
+    assert len(set().union(*seen)) > 500 and len(w.words) == 20
+    assert calls["_PLAIN"] <= 2 * 20 + 1 and calls["_BASE64"] == 0
+
+
+def test_scores_are_those_of_the_trained_network(monkeypatch):
+    """Reading without a trace, in batches and with the memory of windows started anew, gives the network's own scores."""
+    rng = random.Random(5)
+    net = gru.Network(["pig", "you", "plate"], 2)
+    net.w = {k: v + np.random.default_rng(3).standard_normal(v.shape).astype(np.float32) / 4 for k, v in net.w.items()}
+    texts = [". ".join(" ".join(rng.choices(["you", "pig", "plate", "a", "of", "r0tten", "xylophones", "incomprehensibilities" * 2], k=rng.randint(1, 40))) for _ in range(rng.randint(1, 5))) for _ in range(60)] + [None, ""]
+    w, best = mailtext.Words(), []
+    for t in texts:
+        x = sorted(w.windows(t))
+        if x:
+            ids, lengths = gru.pack(x)
+            best.append(float(gru.sigmoid(net.windows(net.gate_tables(net.word_vectors(w.words)[0]), ids, lengths)[0]).max()))
+        else:
+            best.append(0.0)
+    model = abuse.Model(net, 0.5)
+    once, counts = model.score(texts)
+    assert once == pytest.approx(best, abs=1e-5) and counts.tolist() == [len(w.windows(t)) for t in texts]
+    assert len(set(best)) > 40
+    monkeypatch.setattr(abuse, "CACHE", 20)
+    parts = [model.score(texts[i : i + 7]) for i in range(0, len(texts), 7)]
+    assert np.concatenate([s for s, _ in parts]) == pytest.approx(best, abs=1e-5) and np.concatenate([n for _, n in parts]).tolist() == counts.tolist()
+
+
 def test_gradients():
     net = gru.Network(["a", "bad", "dog"], 1)
     for k in net.w:
